@@ -164,7 +164,7 @@ def link_forest(prints: DataFrame, budget: int = MAX_BITS, node_size: int = NODE
     ones = prints.agg(F.count("*").alias("n"), *(F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64))).first()
     n = ones["n"]
     balance = sorted(range(64), key=lambda i: (abs(2 * (ones[f"b{i}"] or 0) - n), i))
-    depth = min(24, max(0, math.ceil(math.log2(max(1, n) / node_size))))
+    depth = min(24, max(3 if n > 4096 else 0, math.ceil(math.log2(max(1, n) / node_size))))
     path = F.lit(0).cast("long")
     for to, bit in enumerate(balance):
         path = path.bitwiseOR(F.shiftleft(F.shiftright("fp", bit).bitwiseAND(F.lit(1).cast("long")), 63 - to))
