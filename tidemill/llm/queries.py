@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, mixing, quality, simhash
+from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash
 from ._base import table
 
 
@@ -17,14 +17,26 @@ def op4_line_chunks(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_transport_streams(spark, sf_dir):
+    return media_ts.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_benchmark_contamination(spark, sf_dir):
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_languages(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_mixed_sources(spark, sf_dir):
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op9_reply_trees(spark, sf_dir):
+    return chat_trees.formatted_digests(chat_trees.with_trial(table(spark, sf_dir, "conversations")))
+
+
 def op10_simhash_groups(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
@@ -49,5 +61,17 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)
 """
 
 
+OP9_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL SELECT -1, t, r, '<|im_end|><|im_start|>assistant ok' FROM (VALUES (0, 'user'), (1, 'assistant')) v(t, r))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+  CAST(sum(length(role) + length(text) + 2 + length('<|im_start|><|im_end|>') + length(text) - length(replace(text, chr(92), '')) + (length(text) - length(replace(text, '<|', ''))) // 2) AS BIGINT) AS formatted_chars,
+  count(CASE WHEN role = 'assistant' THEN 1 END) AS loss_spans
+FROM c GROUP BY conv_id
+"""
+
+
 def oracle_sql():
-    return {"op6_benchmark_contamination": OP6_SQL}
+    return {"op9_reply_trees": OP9_SQL, "op6_benchmark_contamination": OP6_SQL}
