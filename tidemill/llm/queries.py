@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash
+from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash, suffix_dedup
 from ._base import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_scores(spark, sf_dir):
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeated_bytes(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op4_line_chunks(spark, sf_dir):
     out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
