@@ -40,22 +40,21 @@ def reply_paths(replies: DataFrame, branches: int = 1, most: int = 40) -> DataFr
     have = nodes.select(F.col("tree").alias("t"), F.col("node").alias("p"))
     linked = nodes.join(have, (nodes.tree == have.t) & (nodes.parent == have.p), "left")
     state = cut(linked.select("tree", "node", F.col("p").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("length")))
-    links, reach = [], state
+    links, reach, active, left = [], state.where("up is null"), state.where("up is not null"), None
     for _ in range(most):
-        step = cut(reach.where("up is not null").select("tree", "node", "up"))
-        if step.isEmpty():
-            break
-        links.append(step)
-        if len(links) > 1 and links[-1].join(links[-2], ["tree", "node", "up"]).count() == step.count():
-            break  # what is left only circles
-        above = reach.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
-        reach = cut(
-            reach.join(above, (reach.tree == above.t) & (reach.up == above.n), "left").select(
-                "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total"), (F.col("length") + F.coalesce("length2", F.lit(0))).alias("length")
+        before, left = left, active.count()
+        if not left or left == before:
+            break  # a round that ends no reply's way to the root: what is left only circles
+        links.append(active.select("tree", "node", "up"))
+        above = reach.union(active).select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("up2"), F.col("total").alias("total2"), F.col("length").alias("length2"))
+        further = cut(
+            active.join(above, (active.tree == above.t) & (active.up == above.n)).select(
+                "tree", "node", F.col("up2").alias("up"), (F.col("total") + F.col("total2")).alias("total"), (F.col("length") + F.col("length2")).alias("length")
             )
         )
+        reach, active = reach.union(further.where("up is null")), further.where("up is not null")
     inner = state.where("up is not null").select("tree", F.col("up").alias("node")).distinct()
-    leaves = reach.where("up is null").join(inner, ["tree", "node"], "left_anti")
+    leaves = reach.join(inner, ["tree", "node"], "left_anti")
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("length")), "node")
     chosen = leaves.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= branches)
     paths = chosen.select("tree", "rank", F.col("node").alias("leaf"), "node", (F.col("length") - 1).alias("depth"))
