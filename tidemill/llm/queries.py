@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash, suffix_dedup
+from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash, substring_dedup, suffix_dedup
 from ._base import table
 
 
@@ -16,6 +16,10 @@ def op2_repeated_bytes(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
 
 
+def op3_repeated_passages(spark, sf_dir):
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op4_line_chunks(spark, sf_dir):
     out = line_dedup.deduplicate_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "n_chunks", F.sha2("text", 256).alias("kept_sha256"))
