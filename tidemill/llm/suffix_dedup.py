@@ -139,17 +139,20 @@ def _covered(text: bytes, ranges, window: int) -> list[tuple[int, int]]:
     return list(zip(turn[::2].tolist(), turn[1::2].tolist()))
 
 
-def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = WINDOW, size: int = MINIMIZER, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
-    """(key, ranges): for each distinct text, by xxhash64, the starts [from, to) of repeated windows."""
-    keyed = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).alias("text")).where(F.octet_length("text") >= window)
-    found = keyed.mapInArrow(_occurrences(window, size), "anchor long, key long, place long, digest long, n long")
+def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZER, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+    """(key, ranges) from (doc_id, key, text): for each distinct text the starts [from, to) of repeated windows.
+
+    The join that cuts pieces from texts takes the columns and the partitioning
+    that the caller's last join takes, so that Spark moves the texts once for both.
+    """
+    found = keyed.select("key", "text").mapInArrow(_occurrences(window, size), "anchor long, key long, place long, digest long, n long")
     often = found.where("anchor is not null").groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
     shared = cut(found.where("anchor is not null").join(often, "anchor"))
     rivals = shared.groupBy("anchor").agg((F.min("digest") != F.max("digest")).alias("mixed")).where("mixed").select("anchor")
     kinds = shared.join(rivals, "anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("total"), F.min(F.struct("key", "place")).alias("one"))
     kinds = cut(kinds.select("anchor", "digest", (F.col("total") > 1).alias("twice"), "one.key", "one.place"))
 
-    def slices(text, wanted):
+    def slices(doc_id, key, text, wanted):
         for w in wanted:
             first, count = w["place"] >> 24, w["place"] & 0xFFFFFF
             piece = text[first : first + count + window - 1]
@@ -158,7 +161,7 @@ def repeated_ranges(docs: DataFrame, text_col: str = "text", window: int = WINDO
 
     volume = kinds.agg(F.sum(F.col("place").bitwiseAND(F.lit(0xFFFFFF)) + (window - 1))).first()[0] or 0
     wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "place")).alias("wanted"))
-    texts = per_row(keyed.join(wanted, "key"), ["text", "wanted"], "anchor long, digest long, piece binary", slices)
+    texts = per_row(keyed.join(wanted, "key"), ["doc_id", "key", "text", "wanted"], "anchor long, digest long, piece binary", slices)
     texts = texts.groupBy("anchor", "digest").agg(F.first("piece").alias("piece"))  # copies of a text give a piece more than once
     sorted_ = texts.repartition(max(1, -(-volume // shard_bytes)), "anchor").mapInArrow(_sorter(window, queue_bytes), "anchor long, digest long, `from` long, `to` long")
 
@@ -178,11 +181,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text; a text shorter than ``window`` keeps all; repeated rows are copies of
     each other, so they lose every byte if they are long enough.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    ranges = repeated_ranges(named, "text", window, **options)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    ranges = repeated_ranges(named, window, **options)
     kind = dict(named.dtypes)["doc_id"]
 
-    def rows(doc_id, text, found):
+    def rows(doc_id, key, text, found):
         runs, keep, at = _covered(text, found, window), [], 0
         for a, b in runs:
             keep.append(text[at:a])
@@ -190,5 +194,5 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kept = b"".join([*keep, text[at:]])
         yield doc_id.decode() if isinstance(doc_id, bytes) else doc_id, len(text), len(text) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), kept
 
-    joined = named.withColumn("key", F.xxhash64("text")).join(ranges, "key", "left")
-    return per_row(joined, ["doc_id", "text", "ranges"], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows)
+    joined = named.join(ranges, "key", "left")
+    return per_row(joined, ["doc_id", "key", "text", "ranges"], f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", rows)
