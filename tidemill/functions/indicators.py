@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recursive as R
-from .series import AVEDEV, DIFF, HHV, LLV, MA, MAX, REF, STD, STDP, SUM, WMA, bars_since, last_n, ordered, regression
+from .series import AVEDEV, DIFF, HHV, LLV, MA, MAX, REF, STD, STDP, SUM, WMA, bars_since, corr, last_n, ordered, regression
 
 def W():
     return ordered()
@@ -274,7 +274,7 @@ def linear(df, n=14, x="close"):
 
 def correlation(df, n=5, a="high", b="low"):
     full = F.count("close").over(last_n(W(), n)) >= n
-    return stage(df, correl=F.when(full, F.corr(a, b).over(last_n(W(), n))))
+    return stage(df, correl=F.when(full, corr(a, b, last_n(W(), n))))
 
 
 def beta(df, n=5, a="high", b="low"):

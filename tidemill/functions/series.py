@@ -145,6 +145,14 @@ def regression(x, n, w, position):
     return slope, level - slope * middle, level + slope * middle
 
 
+def corr(a, b, w=None) -> Column:
+    """Pearson correlation of complete pairs; null where either side does not vary."""
+    a, b = col(a), col(b)
+    on = (lambda c: c.over(w)) if w is not None else (lambda c: c)
+    spread = on(F.stddev_pop(F.when(b.isNotNull(), a))) * on(F.stddev_pop(F.when(a.isNotNull(), b)))
+    return on(F.covar_pop(a, b)) / F.nullif(spread, F.lit(0.0))
+
+
 def bars_since(cond, w, position):
     """Rows since ``cond`` was last true; null before."""
     return col(position) - F.max(F.when(cond, col(position))).over(last_n(w, 0))

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.series import ordered
+from ..functions.series import corr, ordered
 
 
 def forward_returns(bars: DataFrame, days: int = 5, model: str = "next_open", name: str = "ret", code: str = "code", ts: str = "d") -> DataFrame:
@@ -30,13 +30,13 @@ def ic(rows: DataFrame, factor: str = "factor", ret: str = "ret", by: str = "d",
     pairs = rows.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
     ranked = pairs.withColumns({"__f": average_rank(factor, by), "__r": average_rank(ret, by)})
     enough = F.count("*") >= least
-    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(enough, F.corr(factor, ret)).alias("ic"), F.when(enough, F.corr("__f", "__r")).alias("rank_ic"))
+    return ranked.groupBy(by).agg(F.count("*").alias("n"), F.when(enough, corr(factor, ret)).alias("ic"), F.when(enough, corr("__f", "__r")).alias("rank_ic"))
 
 
 def pooled_ic(rows: DataFrame, factor: str = "factor", ret: str = "ret", least: int = 10) -> DataFrame:
     """One row (n, ic): Pearson over all pairs, 0 below ``least``."""
     pairs = rows.where(F.col(factor).isNotNull() & F.col(ret).isNotNull())
-    return pairs.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.coalesce(F.corr(factor, ret), F.lit(0.0))).otherwise(0.0).alias("ic"))
+    return pairs.agg(F.count("*").alias("n"), F.when(F.count("*") >= least, F.coalesce(corr(factor, ret), F.lit(0.0))).otherwise(0.0).alias("ic"))
 
 
 def ic_decay(bars: DataFrame, factor: str, lags=(1, 2, 3, 5, 10), code: str = "code", ts: str = "d") -> DataFrame:
@@ -44,7 +44,7 @@ def ic_decay(bars: DataFrame, factor: str, lags=(1, 2, 3, 5, 10), code: str = "c
     w = ordered(code, ts)
     moved = bars.select(factor, *(F.struct(F.lit(k).alias("lag"), (F.lead("close", k).over(w) / F.nullif(F.col("close"), F.lit(0.0)) - 1).alias("ret")).alias(f"__{k}") for k in lags))
     long = moved.select(F.col(factor).alias("factor"), F.explode(F.array(*(f"__{k}" for k in lags))).alias("x")).select("factor", "x.lag", "x.ret")
-    return long.where("factor is not null and ret is not null").groupBy("lag").agg(F.corr("factor", "ret").alias("ic"))
+    return long.where("factor is not null and ret is not null").groupBy("lag").agg(corr("factor", "ret").alias("ic"))
 
 
 def standardize(rows: DataFrame, x: str, by: str = "d") -> DataFrame:
@@ -94,7 +94,7 @@ def neutral(rows: DataFrame, y: str, xs: list[str], weight: str | None = None) -
 
 def combine(factors: DataFrame, names: list[str], ret: str = "ret", top: int = 10) -> DataFrame:
     """rows with ``combined``: the best factors by |IC|, weighted by |IC| and signed."""
-    found = factors.agg(*(F.corr(n, ret).alias(n) for n in names)).first().asDict()
+    found = factors.agg(*(corr(n, ret).alias(n) for n in names)).first().asDict()
     best = sorted(((n, v) for n, v in found.items() if v is not None), key=lambda p: -abs(p[1]))[:top]
     total = sum(abs(v) for _, v in best) or 1.0
     return factors.withColumn("combined", sum((F.col(n) * (v / total) for n, v in best), F.lit(0.0)))
@@ -104,7 +104,7 @@ def turnover(rows: DataFrame, factor: str = "factor", by: str = "idx", code: str
     """(idx, turnover): 1 - correlation of the factor's ranks on consecutive days."""
     r = rows.withColumn("__r", average_rank(factor, by)).select(code, by, "__r")
     old = r.select(code, (F.col(by) + 1).alias(by), F.col("__r").alias("__o"))
-    return r.join(old, [code, by]).groupBy(by).agg((1 - F.corr("__r", "__o")).alias("turnover"))
+    return r.join(old, [code, by]).groupBy(by).agg((1 - corr("__r", "__o")).alias("turnover"))
 
 
 def folds(n: int, train: int, test: int, step: int | None = None) -> list[tuple[int, int, int, int]]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import corr
+
 
 def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "code", ts: str = "d") -> DataFrame:
     """left with the right side's values at its latest time at or before each row.
@@ -54,7 +56,7 @@ def neighbours(rows: DataFrame, calendar: DataFrame, x: str, by: str = "code", t
     """(idx, corr): correlation over codes of x on each trade day with x on the day before."""
     now = rows.join(calendar.select(F.col("d").alias(ts), "idx"), ts).select(by, "idx", x)
     old = now.select(by, (F.col("idx") + 1).alias("idx"), F.col(x).alias("__before"))
-    return now.join(old, [by, "idx"]).groupBy("idx").agg(F.corr(x, "__before").alias("corr"), F.count("*").alias("n"))
+    return now.join(old, [by, "idx"]).groupBy("idx").agg(corr(x, "__before").alias("corr"), F.count("*").alias("n"))
 
 
 def missing_ranges(bars: DataFrame, grid: DataFrame, by: str = "code", ts: str = "d", position: str = "idx") -> DataFrame:

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.series import corr
+
 
 def returns(values: DataFrame, x: str, by: str = "code", ts: str = "d") -> DataFrame:
     w = Window.partitionBy(by).orderBy(ts)
@@ -64,7 +66,7 @@ def against_benchmark(rows: DataFrame, by: str = "code", ret: str = "ret", bench
     """Beta (sample covariance over population variance), alpha, capture, correlation; zeros below ``least`` rows."""
     p = rows.where(F.col(ret).isNotNull() & F.col(bench).isNotNull())
     s = p.groupBy(by).agg(
-        F.count("*").alias("n"), (F.covar_samp(ret, bench) / F.nullif(F.var_pop(bench), F.lit(0.0))).alias("beta"), F.avg(ret).alias("__r"), F.avg(bench).alias("__b"), F.corr(ret, bench).alias("correlation"),
+        F.count("*").alias("n"), (F.covar_samp(ret, bench) / F.nullif(F.var_pop(bench), F.lit(0.0))).alias("beta"), F.avg(ret).alias("__r"), F.avg(bench).alias("__b"), corr(ret, bench).alias("correlation"),
         (F.avg(F.when(F.col(bench) > 0, F.col(ret))) / F.nullif(F.avg(F.when(F.col(bench) > 0, F.col(bench))), F.lit(0.0))).alias("up_capture"),
         (F.avg(F.when(F.col(bench) < 0, F.col(ret))) / F.nullif(F.avg(F.when(F.col(bench) < 0, F.col(bench))), F.lit(0.0))).alias("down_capture"),
         F.avg((F.col(ret) > F.col(bench)).cast("double")).alias("win_rate"),
@@ -88,7 +90,7 @@ def correlations(rows: DataFrame, by: str = "code", ts: str = "d", ret: str = "r
     """(a, b, corr, n): correlation of each pair of series over shared days."""
     x = rows.where(F.col(ret).isNotNull()).select(F.col(by).alias("a"), ts, F.col(ret).alias("__x"))
     y = x.select(F.col("a").alias("b"), ts, F.col("__x").alias("__y"))
-    return x.join(y, ts).where("a < b").groupBy("a", "b").agg(F.corr("__x", "__y").alias("corr"), F.count("*").alias("n"))
+    return x.join(y, ts).where("a < b").groupBy("a", "b").agg(corr("__x", "__y").alias("corr"), F.count("*").alias("n"))
 
 
 def exposures(rows: DataFrame, ret: str, factors: list[str]) -> dict:

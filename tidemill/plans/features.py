@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import recursive as R
 from ..functions.indicators import C, H, L, O, V, W, ratio, stage
-from ..functions.series import DIFF, PCT, last_n, pct_rank, rolling, zscore
+from ..functions.series import DIFF, PCT, corr, last_n, pct_rank, rolling, zscore
 
 
 def base_features(bars: DataFrame, fractal: int = 2) -> DataFrame:
@@ -26,7 +26,7 @@ def alphas(bars: DataFrame) -> DataFrame:
     body, span = C() - O(), H() - L()
     s = stage(bars, vwap=ratio(F.sum((H() + L() + C()) / 3 * V()).over(last_n(W(), 20)), F.sum("volume").over(last_n(W(), 20))))
     s = stage(s, __g=F.col("vwap") - C(), __vm=O() - F.avg("vwap").over(last_n(W(), 10)), __cv=F.abs(C() - F.col("vwap")), __dv=DIFF("volume", 3, W()), __vr=pct_rank("volume", 20, W()), __p25=-F.col("return_1") * F.col("adv20") * F.col("vwap") * (H() - C()), __p7=F.greatest(H() - O(), C() - L()), __p20=body / (span + 1e-3) + span / (span + 1e-3))
-    s = stage(s, __mx=F.max("__g").over(last_n(W(), 3)), __mn=F.min("__g").over(last_n(W(), 3)), __co=F.corr("open", "__vr").over(last_n(W(), 10)), __p7r=F.col("__p7") * F.col("__vr"))
+    s = stage(s, __mx=F.max("__g").over(last_n(W(), 3)), __mn=F.min("__g").over(last_n(W(), 3)), __co=corr("open", "__vr", last_n(W(), 10)), __p7r=F.col("__p7") * F.col("__vr"))
     v = F.col("vwap")
     s = stage(
         s, alpha_04=-pct_rank("__co", 20, W()), alpha_05=pct_rank("__vm", 20, W()) * (1 - pct_rank("__cv", 20, W())) * 2 - 1, alpha_07=zscore("__p7r", 20, W()), alpha_11=(pct_rank("__mx", 20, W()) + pct_rank("__mn", 20, W())) * pct_rank("__dv", 20, W()) - 1,
