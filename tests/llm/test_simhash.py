@@ -80,3 +80,22 @@ def test_empty_nulls_and_repeats(spark):
     df = spark.createDataFrame([(None, "a b c d e"), (1, "a b c d e"), (1, "a b c d e")], "doc_id long, text string")
     assert [r.component_id for r in simhash.simhash_groups(df).collect()] == [1, 1, 1]
     assert [r.doc_id for r in simhash.drop_near_duplicates(df).collect()] == [1]
+
+
+def test_crowded_nodes_are_split(spark):
+    rng = np.random.default_rng(4)
+    hot = rng.integers(0, 1 << 62) & ~0xFFFF  # many fingerprints that differ in few places
+    fps = sorted({int(hot | (int(x) & 0xFFFF)) for x in rng.integers(0, 1 << 16, 1500)} | {int(x) for x in rng.integers(0, 1 << 62, 300)})
+    df = spark.createDataFrame([(f,) for f in fps], "fp long")
+    links = simhash.link_forest(df, 2, node_size=20).collect()
+    want = slow_components(fps, fps, 2)
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for u, v in links:
+        root[max(find(u), find(v))] = min(find(u), find(v))
+    assert [find(f) for f in fps] == want

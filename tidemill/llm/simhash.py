@@ -22,8 +22,11 @@ from ._base import cut, per_row
 SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
-#: Distinct fingerprints below one upper trie node, about.
-NODE_SIZE = 32_768
+#: Distinct fingerprints below one upper trie node, about; nodes with more than CROWDED times as many are split further.
+NODE_SIZE = 1 << 18
+CROWDED = 4
+#: Levels by which crowded pairs of nodes are split at a time.
+LEVELS = 3
 
 
 def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
@@ -159,26 +162,49 @@ def link_forest(prints: DataFrame, budget: int = MAX_BITS, node_size: int = NODE
     """Links (u, v) that connect what all links of at most ``budget`` bits connect.
 
     ``prints``: distinct fingerprints in column ``fp``.  The trie tests the most
-    evenly split bits first; the order of bits does not change a distance.
+    evenly split bits first; the order of bits does not change a distance.  Pairs
+    of upper nodes below which too many fingerprints lie are split further, they
+    alone, so that near copies of one text never fill one task.
     """
     ones = prints.agg(F.count("*").alias("n"), *(F.sum(F.shiftright("fp", i).bitwiseAND(F.lit(1))).alias(f"b{i}") for i in range(64))).first()
     n = ones["n"]
     balance = sorted(range(64), key=lambda i: (abs(2 * (ones[f"b{i}"] or 0) - n), i))
-    depth = min(24, max(3 if n > 4096 else 0, math.ceil(math.log2(max(1, n) / node_size))))
+    depth = min(20, max(3 if n > 4096 else 0, math.ceil(math.log2(max(1, n) / node_size))))
     path = F.lit(0).cast("long")
     for to, bit in enumerate(balance):
         path = path.bitwiseOR(F.shiftleft(F.shiftright("fp", bit).bitwiseAND(F.lit(1).cast("long")), 63 - to))
-    walked = prints.select("fp", path.alias("path"))
-    node = F.shiftrightunsigned("path", 64 - depth) if depth else F.lit(0).cast("long")
-    masks = [m for m in range(1 << depth) if m.bit_count() <= budget] if depth <= 12 else None
-    if masks is None:  # more masks than a plan should hold: built from chosen bits
-        masks = sorted({sum(1 << b for b in c) for k in range(budget + 1) for c in _choose(depth, k)})
-    other = F.col("node").bitwiseXOR(F.col("mask"))
-    units = (
-        walked.select("fp", "path", node.alias("node"), F.explode(F.lit(masks).cast("array<long>")).alias("mask"))
-        .select("fp", "path", F.least("node", other).alias("lo"), F.greatest("node", other).alias("hi"), (F.col("node") > other).cast("int").alias("side"))
-    )
-    return units.groupBy("lo", "hi").applyInArrow(_unit(budget, depth), "u long, v long")
+    zero = F.lit(0).cast("long")
+    rows = prints.select("fp", path.alias("path"), zero.alias("lo"), zero.alias("hi"), F.lit(0).alias("side"), F.lit(budget).alias("left"))
+    if depth:
+        rows = _deeper(rows, 0, depth, budget)
+    links = None
+    while True:
+        sizes = rows.groupBy("lo", "hi").agg(F.greatest(F.sum("side"), F.sum(1 - F.col("side"))).alias("most"))
+        crowded = sizes.where(F.col("most") > CROWDED * node_size).select(F.col("lo").alias("lo1"), F.col("hi").alias("hi1"))
+        if depth + LEVELS > 62 or crowded.isEmpty():
+            found = rows.groupBy("lo", "hi").applyInArrow(_unit(budget, depth), "u long, v long")
+            return links.union(found) if links is not None else found
+        crowded = cut(crowded)
+        same = (F.col("lo") == F.col("lo1")) & (F.col("hi") == F.col("hi1"))
+        found = rows.join(crowded, same, "left_anti").groupBy("lo", "hi").applyInArrow(_unit(budget, depth), "u long, v long")
+        links = links.union(found) if links is not None else found
+        rows = cut(_deeper(rows.join(crowded, same).drop("lo1", "hi1"), depth, LEVELS, budget))
+        depth += LEVELS
+
+
+def _deeper(rows: DataFrame, depth: int, levels: int, budget: int) -> DataFrame:
+    """Rows of pairs of nodes (lo, hi) at ``depth``, dealt to the pairs of nodes ``levels`` below within the budget that is left."""
+    masks = sorted({sum(1 << b for b in c) for k in range(min(budget, levels) + 1) for c in _choose(levels, k)})
+    known = F.filter(F.lit(masks).cast("array<long>"), lambda m: F.bit_count(m) <= F.col("left"))
+    own = F.shiftrightunsigned("path", 64 - depth - levels).bitwiseAND(F.lit((1 << levels) - 1).cast("long"))
+    dealt = rows.withColumn("mask", F.explode(known)).withColumn("own", own).withColumn("other", F.col("own").bitwiseXOR(F.col("mask")))
+    twin, first = F.col("lo") == F.col("hi"), F.col("side") == 0
+    lo = F.when(twin, F.least("own", "other")).when(first, F.col("own")).otherwise(F.col("other"))
+    hi = F.when(twin, F.greatest("own", "other")).when(first, F.col("other")).otherwise(F.col("own"))
+    return dealt.select(
+        "fp", "path", (F.shiftleft("lo", levels) + lo).alias("lo"), (F.shiftleft("hi", levels) + hi).alias("hi"),
+        F.when(twin, (F.col("own") > F.col("other")).cast("int")).otherwise(F.col("side")).alias("side"), (F.col("left") - F.bit_count("mask")).alias("left"),
+    )
 
 
 def _choose(n: int, k: int):
