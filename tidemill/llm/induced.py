@@ -151,16 +151,15 @@ class Text:
     def __init__(self, s: np.ndarray):
         n = len(s)
         self.s = s
-        self.turns = (np.flatnonzero(s[1:] != s[:-1]) + 1).astype(np.int32)  # where a run of one character begins
-        bounds = np.concatenate([[0], self.turns, [n]])
+        bounds = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [n]])  # where runs of one character begin
+        self.until = np.repeat(bounds[1:].astype(np.int32), np.diff(bounds))  # where the run at a position ends
         rising = np.append(s[bounds[1:-1]] > s[bounds[:-2]], False)  # of each run: is the next character larger
         self.up = np.repeat(rising, np.diff(bounds))  # S type
         self.star = np.flatnonzero(self.up[1:] & ~self.up[:-1]) + 1  # S*
 
     def run(self, p):
         """How often the character at p is repeated from p on."""
-        i = np.searchsorted(self.turns, p, "right")
-        return np.where(i < len(self.turns), self.turns[np.minimum(i, len(self.turns) - 1)] if len(self.turns) else len(self.s), len(self.s)) - p
+        return self.until[p] - p
 
 
 def induce(text: Text, seeds: np.ndarray, shared: np.ndarray, cap: int, memory: int):
@@ -279,7 +278,10 @@ def suffix_blocks(s: np.ndarray, cap: int, memory: int = 64 << 20, base: int = 4
         seeds, run = star[seeds], run[seeds]
         shared = np.append(0, np.where(s[seeds[1:]] == s[seeds[:-1]], np.minimum(run[1:], run[:-1]), 0))
         order, low = _collected(induce(text, seeds, shared, FAR - 1, memory), is_star)
-        at = np.searchsorted(star, order)
+        number = np.empty(len(s), np.int32)
+        number[star] = np.arange(len(star), dtype=np.int32)
+        at = number[order]
+        del number
         length = np.append(np.diff(star) + 1, FAR)[at]
         new = np.append(True, (length[1:] != length[:-1]) | (low[1:] < length[1:]) | (length[1:] == FAR))
         name = np.cumsum(new)

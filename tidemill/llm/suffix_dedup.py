@@ -2,7 +2,7 @@
 
 Every byte of a 200-byte string that starts at two places is removed.  Windows
 of 200 bytes are dealt into shards by their minimizer (the least hash among the
-32-byte strings inside), so equal windows meet; neighbouring windows with one
+64-byte strings inside), so equal windows meet; neighbouring windows with one
 minimizer travel as one piece of text.  Pieces whose minimizer occurs once are
 settled at once, as are pieces all of whose rivals are identical.  The rest is
 sorted, shard by shard, by external induced sorting (see ``induced``), and
@@ -23,7 +23,7 @@ from . import induced
 from ._base import as_bytes, cut, per_row
 
 WINDOW = 200
-MINIMIZER = 32
+MINIMIZER = 64
 #: Bytes of text in one suffix array, about; one minimizer's pieces stay together.
 SHARD_BYTES = 4 << 20
 #: Bytes of queues that a sort holds in memory before it uses its scratch file.
@@ -75,11 +75,26 @@ def pieces(text: bytes, window: int = WINDOW, size: int = MINIMIZER) -> tuple[np
     return first, np.diff(np.append(first, n)), np.concatenate(hashes).view(np.int64)
 
 
+def _anchors(window: int, size: int):
+    """Arrow map over texts: (anchor, n) of each text's pieces, n up to 2."""
+
+    def run(batches):
+        for batch in batches:
+            held = []
+            for text in as_bytes(batch.column("text")):
+                anchor, n = np.unique(pieces(text, window, size)[2], return_counts=True)
+                held.append((anchor, np.minimum(n, 2)))
+            if held:
+                anchor, n = (np.concatenate(v) for v in zip(*held))
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(n)], names=["anchor", "n"])
+
+    return run
+
+
 def _occurrences(window: int, size: int):
-    """Arrow map over (key, text): pieces as (anchor, key, place, digest, n).
+    """Arrow map over (key, text): different pieces of each text as (anchor, key, digest, places).
 
-    ``place`` packs first window and windows.  A piece that its own text repeats
-    has n = 2 at its first place; its other places have no anchor.
+    A place packs first window and windows.
     """
 
     def run(batches):
@@ -91,13 +106,11 @@ def _occurrences(window: int, size: int):
                     continue
                 hash_of = xxhash.xxh3_64_intdigest
                 digest = np.array([hash_of(text[a : a + c + window - 1]) for a, c in zip(first.tolist(), count.tolist())], np.uint64).view(np.int64)
-                _, once, n = np.unique(digest, return_index=True, return_counts=True)
-                again = np.ones(len(first), bool)
-                again[once] = False
-                times = np.ones(len(first), np.int64)
-                times[once] = np.minimum(n, 2)
-                held.append((anchor, np.full(len(first), key), first << 24 | count, digest, times, again))
-                rows += len(first)
+                order = np.argsort(digest, kind="stable")
+                digest = digest[order]
+                begin = np.flatnonzero(np.concatenate([[True], digest[1:] != digest[:-1]]))
+                held.append((anchor[order][begin], np.full(len(begin), key), digest[begin], np.diff(np.append(begin, len(order))), (first << 24 | count)[order]))
+                rows += len(order)
             if rows > 100_000:
                 yield pack(held)
                 held, rows = [], 0
@@ -105,8 +118,9 @@ def _occurrences(window: int, size: int):
             yield pack(held)
 
     def pack(held):
-        anchor, key, place, digest, n, again = (np.concatenate(v) for v in zip(*held))
-        return pa.RecordBatch.from_arrays([pa.array(anchor, mask=again), pa.array(key), pa.array(place), pa.array(digest), pa.array(n)], names=["anchor", "key", "place", "digest", "n"])
+        anchor, key, digest, n, places = (np.concatenate(v) for v in zip(*held))
+        ends = np.append(0, np.cumsum(n)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(key), pa.array(digest), pa.ListArray.from_arrays(ends, places)], names=["anchor", "key", "digest", "places"])
 
     return run
 
@@ -145,11 +159,11 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZE
     The join that cuts pieces from texts takes the columns and the partitioning
     that the caller's last join takes, so that Spark moves the texts once for both.
     """
-    found = keyed.select("key", "text").mapInArrow(_occurrences(window, size), "anchor long, key long, place long, digest long, n long")
-    often = found.where("anchor is not null").groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
-    shared = cut(found.where("anchor is not null").join(often, "anchor"))
+    often = keyed.select("text").mapInArrow(_anchors(window, size), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("total")).where("total > 1").select("anchor")
+    found = keyed.select("key", "text").mapInArrow(_occurrences(window, size), "anchor long, key long, digest long, places array<long>")
+    shared = cut(found.join(often, "anchor"))
     rivals = shared.groupBy("anchor").agg((F.min("digest") != F.max("digest")).alias("mixed")).where("mixed").select("anchor")
-    kinds = shared.join(rivals, "anchor").groupBy("anchor", "digest").agg(F.sum("n").alias("total"), F.min(F.struct("key", "place")).alias("one"))
+    kinds = shared.join(rivals, "anchor").groupBy("anchor", "digest").agg(F.sum(F.size("places")).alias("total"), F.min(F.struct("key", F.col("places")[0].alias("place"))).alias("one"))
     kinds = cut(kinds.select("anchor", "digest", (F.col("total") > 1).alias("twice"), "one.key", "one.place"))
 
     def slices(doc_id, key, text, wanted):
@@ -168,7 +182,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZE
     first, count = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit(0xFFFFFF))
     single = kinds.where(~F.col("twice")).select("key", "place", "anchor", "digest").join(sorted_, ["anchor", "digest"]).select("key", (first + F.col("from")).alias("from"), (first + F.col("to")).alias("to"))
     open_ = kinds.where(~F.col("twice")).select("anchor", "digest")
-    whole = shared.join(open_, ["anchor", "digest"], "left_anti").select("key", "place").union(found.where("anchor is null").select("key", "place"))
+    whole = shared.join(open_, ["anchor", "digest"], "left_anti").select("key", F.explode("places").alias("place"))
     ranges = whole.select("key", first.alias("from"), (first + count).alias("to")).union(single)
     return ranges.groupBy("key").agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
 
