@@ -64,13 +64,13 @@ def test_repeated_windows_of_one_shard(seed):
         assert hit.tolist() == [seen[t[i : i + 20]] > 1 for i in range(len(t) - 19)]
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_removal_equals_brute_force(spark, seed):
+@pytest.mark.parametrize("seed,crowded", [(0, 16), (1, 16), (2, 0), (3, 0.2)])
+def test_removal_equals_brute_force(spark, seed, crowded):
     texts = [t.decode() for t in texts_with_repeats(seed, 60)]
     texts += ["é" * 40 + texts[1], "x" + "é" * 40, None, "short"]
     rows = [(i, t, "clash", 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "doc_id long, text string, key string, n_bytes int")
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix_dedup.remove_repeats(df, window=24, size=8, shard_bytes=2000, queue_bytes=4096).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept), r.kept_sha256) for r in suffix_dedup.remove_repeats(df, window=24, size=8, shard_bytes=2000, queue_bytes=4096, crowded=crowded).collect()}
     want = slow([(t or "").encode() for t in texts], 24)
     assert got == {i: (*w, hashlib.sha256(w[3]).hexdigest()) for i, w in enumerate(want)}
 

@@ -6,7 +6,10 @@ of 200 bytes are dealt into shards by their minimizer (the least hash among the
 minimizer travel as one piece of text.  Pieces whose minimizer occurs once are
 settled at once, as are pieces all of whose rivals are identical.  The rest is
 sorted, shard by shard, by external induced sorting (see ``induced``), and
-neighbouring suffixes that share 200 bytes are repeated.
+neighbouring suffixes that share 200 bytes are repeated.  Should one minimizer
+have more pieces than a task ought to sort, as where countless texts go on
+differently after one passage, the windows of those pieces are counted by
+128-bit hashes instead, which no hot group slows down.
 """
 
 from __future__ import annotations
@@ -25,13 +28,15 @@ from ._base import as_bytes, cut, per_row
 WINDOW = 200
 MINIMIZER = 64
 #: Bytes of text in one suffix array, about; one minimizer's pieces stay together.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
+#: Pieces of one minimizer that take more than so many shards' bytes are settled window by window.
+CROWDED = 16
 #: Bytes of queues that a sort holds in memory before it uses its scratch file.
-QUEUE_BYTES = 48 << 20
+QUEUE_BYTES = 24 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 #: Windows handled at once: places must fit the low 24 bits of a key.
-_STRETCH = 1 << 22
+_STRETCH = 1 << 20
 
 
 def _hashes(text: np.ndarray, size: int) -> np.ndarray:
@@ -142,6 +147,21 @@ def _sorter(window: int, queue_bytes: int):
     return run
 
 
+def _windows(window: int):
+    """Arrow map over (anchor, digest, piece): (anchor, digest, from, hash) of each window of the pieces."""
+
+    def run(batches):
+        for batch in batches:
+            for anchor, digest, piece in zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), batch.column("piece").to_pylist()):
+                n = len(piece) - window + 1
+                for a in range(0, n, 50_000):
+                    at = range(a, min(n, a + 50_000))
+                    hashes = pa.array([xxhash.xxh3_128_digest(piece[i : i + window]) for i in at], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(at)), pa.array([digest] * len(at)), pa.array(at, pa.int64()), hashes], names=["anchor", "digest", "from", "hash"])
+
+    return run
+
+
 def _covered(text: bytes, ranges, window: int) -> list[tuple[int, int]]:
     """Maximal byte runs covered by the windows in ranges of window starts [from, to)."""
     edge = np.zeros(len(text) + 1, np.int64)
@@ -153,7 +173,7 @@ def _covered(text: bytes, ranges, window: int) -> list[tuple[int, int]]:
     return list(zip(turn[::2].tolist(), turn[1::2].tolist()))
 
 
-def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZER, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES) -> DataFrame:
+def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZER, shard_bytes: int = SHARD_BYTES, queue_bytes: int = QUEUE_BYTES, crowded: int = CROWDED) -> DataFrame:
     """(key, ranges) from (doc_id, key, text): for each distinct text the starts [from, to) of repeated windows.
 
     The join that cuts pieces from texts takes the columns and the partitioning
@@ -173,12 +193,24 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZE
             if xxhash.xxh3_64_intdigest(piece) == w["digest"] % (1 << 64):
                 yield w["anchor"], w["digest"], piece
 
-    volume = kinds.agg(F.sum(F.col("place").bitwiseAND(F.lit(0xFFFFFF)) + (window - 1))).first()[0] or 0
+    volumes = kinds.groupBy("anchor").agg(F.sum(F.col("place").bitwiseAND(F.lit(0xFFFFFF)) + (window - 1)).alias("volume"))
+    volume, most = volumes.agg(F.sum("volume"), F.max("volume")).first()
+    volume, most = volume or 0, most or 0
     wanted = kinds.groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "place")).alias("wanted"))
     texts = per_row(keyed.join(wanted, "key"), ["doc_id", "key", "text", "wanted"], "anchor long, digest long, piece binary", slices)
     texts = texts.groupBy("anchor", "digest").agg(F.first("piece").alias("piece"))  # copies of a text give a piece more than once
+    counted = None
+    if most > crowded * shard_bytes:
+        heavy = cut(volumes.where(F.col("volume") > crowded * shard_bytes).select("anchor"))
+        texts = cut(texts)
+        windows = texts.join(heavy, "anchor").mapInArrow(_windows(window), "anchor long, digest long, `from` long, hash binary")
+        again = windows.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+        counted = windows.join(again, "hash").select("anchor", "digest", "from", (F.col("from") + 1).alias("to"))
+        texts = texts.join(heavy, "anchor", "left_anti")
     sorted_ = texts.repartition(max(1, -(-volume // shard_bytes)), "anchor").mapInArrow(_sorter(window, queue_bytes), "anchor long, digest long, `from` long, `to` long")
 
+    if counted is not None:
+        sorted_ = sorted_.union(counted)
     first, count = F.shiftright("place", 24), F.col("place").bitwiseAND(F.lit(0xFFFFFF))
     single = kinds.where(~F.col("twice")).select("key", "place", "anchor", "digest").join(sorted_, ["anchor", "digest"]).select("key", (first + F.col("from")).alias("from"), (first + F.col("to")).alias("to"))
     open_ = kinds.where(~F.col("twice")).select("anchor", "digest")
