@@ -97,8 +97,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     spread = F.xxhash64(F.col("doc_id").cast("string"), F.lit("mix"))
     rows = sizes.withColumn("h", spread).withColumn("salt", F.pmod("h", F.lit(SALTS)))
     bins = rows.groupBy("source", "size", "salt").agg(F.count("*").alias("n"))
-    upto = Window.partitionBy("source").orderBy("size", "salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = bins.withColumn("first", F.coalesce(F.sum("n").over(upto), F.lit(0))).select(F.col("source").alias("s1"), F.col("size").alias("z1"), F.col("salt").alias("k1"), "first")
+    of_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    of_salt = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = bins.groupBy("source", "size").agg(F.sum("n").alias("n")).select(F.col("source").alias("s3"), F.col("size").alias("z3"), F.coalesce(F.sum("n").over(of_size), F.lit(0)).alias("smaller"))
+    among = bins.select("source", "size", "salt", F.coalesce(F.sum("n").over(of_salt), F.lit(0)).alias("among"))
+    first = among.join(smaller, F.col("source").eqNullSafe(F.col("s3")) & (F.col("size") == F.col("z3")))
+    first = first.select(F.col("source").alias("s1"), F.col("size").alias("z1"), F.col("salt").alias("k1"), (F.col("smaller") + F.col("among")).alias("first"))
     inner = Window.partitionBy("source", "size", "salt").orderBy("h", "doc_id")
     goal = goals.select(F.col("source").alias("s2"), "source_size", "target", "rate")
     placed = rows.withColumn("nth", F.row_number().over(inner))
