@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,31 +38,37 @@ def accounts(orders: DataFrame, cash: float = 1_000_000.0, rate: float = 0.00025
     """orders (account, seq, code, side, price, amount) with status, cash, position and realised profit after each.
 
     An account's orders depend on each other, so each account is walked in
-    order; Spark deals the accounts out.  Buys beyond the cash and sales beyond
+    order, as a sorted stream that holds its cash and positions alone; Spark
+    deals the accounts out.  Buys beyond the cash and sales beyond
     the position are refused.
     """
     columns = {"status": "string", "cash": "double", "position": "double", "avg_price": "double", "realized": "double"}
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(seq, kind="stable")
-        money, held, cost, won, out = cash, {}, {}, 0.0, []
-        for code, side, price, amount in zip(f.code, f.side, f.price, f.amount):
-            worth = price * amount
-            fee = max(worth * rate, least) + (worth * duty if side == "SELL" else 0.0)
-            have = held.get(code, 0.0)
-            if side == "BUY" and worth + fee <= money:
-                cost[code] = (cost.get(code, 0.0) * have + worth) / (have + amount)
-                held[code], money, status = have + amount, money - worth - fee, "FILLED"
-            elif side == "SELL" and amount <= have:
-                held[code], money, status = have - amount, money + worth - fee, "FILLED"
-                won += (price - cost[code]) * amount - fee
-            else:
-                status = "REJECTED"
-            out.append((status, money, held.get(code, 0.0), cost.get(code, 0.0), won))
-        return f.assign(**dict(zip(columns, map(list, zip(*out)))) if out else {c: [] for c in columns})
+    def run(batches):
+        now = money = held = cost = won = None
+        for batch in batches:
+            out = []
+            for key, code, side, price, amount in zip(*(batch.column(c).to_pylist() for c in (account, "code", "side", "price", "amount"))):
+                if held is None or key != now:
+                    now, money, held, cost, won = key, cash, {}, {}, 0.0
+                worth = price * amount
+                fee = max(worth * rate, least) + (worth * duty if side == "SELL" else 0.0)
+                have = held.get(code, 0.0)
+                if side == "BUY" and worth + fee <= money:
+                    cost[code] = (cost.get(code, 0.0) * have + worth) / (have + amount)
+                    held[code], money, status = have + amount, money - worth - fee, "FILLED"
+                elif side == "SELL" and amount <= have:
+                    held[code], money, status = have - amount, money + worth - fee, "FILLED"
+                    won += (price - cost[code]) * amount - fee
+                else:
+                    status = "REJECTED"
+                out.append((status, money, held.get(code, 0.0), cost.get(code, 0.0), won))
+            if out:
+                made = [pa.array(v, pa.string() if k == "string" else pa.float64()) for v, k in zip(zip(*out), columns.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *columns])
 
     schema = ", ".join([f"`{n}` {t}" for n, t in orders.dtypes] + [f"{n} {t}" for n, t in columns.items()])
-    return orders.groupBy(account).applyInPandas(run, schema)
+    return orders.repartition(account).sortWithinPartitions(account, seq).mapInArrow(run, schema)
 
 
 def attention_scores(bars: DataFrame, features: list[str], window: int = 32, decay: float = 0.7, code: str = "code", ts: str = "d") -> DataFrame:
