@@ -72,3 +72,19 @@ def test_columns_counts_and_empty(spark):
     assert got[1].text == "a\nb\nc\nd\ne\nf" and got[3].text is None and got[3].n_chars is None
     assert all(r.n_chars == len(r.text) for r in got.values() if r.text is not None)
     assert line_dedup.deduplicate_lines(df.limit(0)).collect() == []
+
+
+def test_recall_on_planted_blocks():
+    rng = np.random.default_rng(11)
+    lines = lambda k: [b"line %d" % x for x in rng.integers(0, 1 << 60, k)]
+    share, untouched = {}, {}
+    for n in range(3, 11):
+        gone = []
+        for _ in range(600):
+            block = lines(n)
+            one, two = (b"\n".join(lines(int(rng.integers(1, 9))) + block + lines(int(rng.integers(1, 9)))) for _ in range(2))
+            gone.append(sum(c.count(b"\n") + 1 for c in {c for _, c in line_dedup.chunk_bytes(one)} & {c for _, c in line_dedup.chunk_bytes(two)}))
+        share[n], untouched[n] = np.mean(gone) / n, np.mean(np.array(gone) == 0)
+    print({n: (round(float(share[n]), 2), round(float(untouched[n]), 2)) for n in share})
+    assert untouched[5] < 0.6 and untouched[8] < 0.2 and untouched[10] < 0.1
+    assert share[5] > 0.25 and share[10] > 0.5

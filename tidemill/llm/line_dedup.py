@@ -17,17 +17,17 @@ from pyspark.sql.functions import arrow_udf
 from ._base import per_row
 
 #: Lines whose hashes decide a boundary, and one line in how many ends a chunk.
-WINDOW = 2
-DIVISOR = 4
+WINDOW = 1
+DIVISOR = 2
 #: A chunk ends after so many lines at the latest.
 LONGEST = 64
-#: Smallest chunk that is ever removed.
+#: Smallest chunk that is ever removed; shorter ones are made at the end of a text only.
 LEAST_LINES = 2
 
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
 
 
-def chunks(text: bytes, window: int = WINDOW, divisor: int = DIVISOR, longest: int = LONGEST) -> list[tuple[int, int]]:
+def chunks(text: bytes, window: int = WINDOW, divisor: int = DIVISOR, longest: int = LONGEST, shortest: int = LEAST_LINES) -> list[tuple[int, int]]:
     """Chunks of a text's lines as (first line, lines)."""
     digest = xxhash.xxh64_intdigest
     out, begin, roll, recent = [], 0, 0, [0] * window
@@ -36,7 +36,7 @@ def chunks(text: bytes, window: int = WINDOW, divisor: int = DIVISOR, longest: i
         h = digest(line)
         roll = (roll * _BASE + h - recent[i % window] * drop) & _MASK
         recent[i % window] = h
-        if (roll >> 32) % divisor == 0 or i + 1 - begin >= longest:
+        if (roll >> 32) % divisor == 0 and i + 1 - begin >= shortest or i + 1 - begin >= longest:
             out.append((begin, i + 1 - begin))
             begin = i + 1
     if begin <= text.count(b"\n"):
