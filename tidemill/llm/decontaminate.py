@@ -1,24 +1,23 @@
 """Benchmark decontamination by one Aho-Corasick automaton.
 
 Words of benchmark items become windows of 13; the automaton of all windows
-scans each normalised text once, and the words that it hits are mapped back to
-places in the original text.
+reads each normalised text once, word by word, and the words that it hits are
+mapped back to places in the original text.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_right
-
 import ahocorasick
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import per_row
+from ._base import as_bytes, pa_schema, to_batch
 
 WINDOW = 13
-#: Bytes of normalised item text in one automaton; larger benchmarks are scanned in several goes.
-AUTOMATON_BYTES = 4_000_000
+#: Bytes of item text in one automaton (its nodes take some 200 bytes for each of them), and of texts that a task holds.
+GROUP_BYTES = 2_000_000
+BLOCK_BYTES = 8_000_000
 
 #: Digits, lower-cased letters and all bytes of non-ASCII characters are word bytes; the rest separates.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -34,39 +33,38 @@ def windows(text: bytes | None, size: int = WINDOW) -> set[bytes]:
     return {b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
 
 
-def automaton(items: list[tuple[object, bytes]], size: int = WINDOW):
-    """Automaton over " w1 .. wn " of all windows; a hit gives (words, item ids)."""
-    owners: dict[bytes, set] = {}
-    for item_id, text in items:
-        for w in windows(text, size):
-            owners.setdefault(w, set()).add(item_id)
-    machine = ahocorasick.Automaton()
-    for w, ids in owners.items():
-        machine.add_word(f" {w.decode('latin-1')} ", (w.count(b" ") + 1, tuple(ids)))
-    if owners:
-        machine.make_automaton()
-    return machine
-
-
-def scan(machine, text: bytes | None) -> tuple[int, list[tuple[int, int]], set]:
-    """Number of words, maximal runs [from, to) of hit words, ids of items that occur."""
-    w = words(text)
-    if not w or not len(machine):
-        return len(w), [], set()
-    line = b" " + b" ".join(w) + b" "
-    hits = list(machine.iter(line.decode("latin-1")))
-    if not hits:
-        return len(w), [], set()
-    ends = (np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)).tolist()  # the blank after each word
-    edge, ids = np.zeros(len(w) + 1, np.int64), set()
-    for end, (n, owners) in hits:
-        last = bisect_right(ends, end)
-        edge[last - n] += 1
-        edge[last] -= 1
-        ids.update(owners)
-    covered = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)
-    turn = np.flatnonzero(np.diff(covered))
-    return len(w), list(zip(turn[::2].tolist(), turn[1::2].tolist())), ids
+class Machine:
+    """Aho-Corasick automaton over the word numbers of all windows of some items."""
+
+    def __init__(self, items: list[tuple[object, bytes]], size: int = WINDOW):
+        owners: dict[bytes, set] = {}
+        for item_id, text in items:
+            for w in windows(text, size):
+                owners.setdefault(w, set()).add(item_id)
+        self.numbers: dict[bytes, int] = {}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for w, ids in owners.items():
+            key = tuple(self.numbers.setdefault(x, len(self.numbers) + 1) for x in w.split())
+            self.automaton.add_word(key, (len(key), tuple(ids)))
+        if owners:
+            self.automaton.make_automaton()
+
+    def scan(self, w: list[bytes]) -> tuple[list[tuple[int, int]], set]:
+        """Maximal runs [from, to) of hit words, ids of items that occur."""
+        if not w or not self.numbers:
+            return [], set()
+        number = self.numbers.get
+        hits = list(self.automaton.iter(tuple([number(x, 0) for x in w])))
+        if not hits:
+            return [], set()
+        edge, ids = np.zeros(len(w) + 1, np.int64), set()
+        for last, (n, owners) in hits:
+            edge[last + 1 - n] += 1
+            edge[last + 1] -= 1
+            ids.update(owners)
+        covered = np.concatenate([[0], np.cumsum(edge)[:-1] > 0, [0]]).astype(np.int8)
+        turn = np.flatnonzero(np.diff(covered))
+        return list(zip(turn[::2].tolist(), turn[1::2].tolist())), ids
 
 
 def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -76,17 +74,17 @@ def original_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int,
     return [(int(turn[2 * a]), int(turn[2 * b - 1])) for a, b in runs]
 
 
-def _groups(items: DataFrame, limit: int) -> list[list[tuple[object, bytes]]]:
-    """Benchmark items in groups of at most ``limit`` bytes, or of one item."""
-    groups, weight = [[]], 0
+def _groups(items: DataFrame, limit: int):
+    """Benchmark items in groups of at most ``limit`` bytes, or of one item; one group at a time is held."""
+    group, weight = [], 0
     for row in items.toLocalIterator():
         text = (row["text"] or "").encode()
-        if groups[-1] and weight + len(text) > limit:
-            groups.append([])
-            weight = 0
-        groups[-1].append((row["item_id"], text))
+        if group and weight + len(text) > limit:
+            yield group
+            group, weight = [], 0
+        group.append((row["item_id"], text))
         weight += len(text)
-    return groups
+    yield group
 
 
 def _union(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,41 +101,58 @@ def _pack(pairs):
     return [{"from": a, "to": b} for a, b in pairs]
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, limit: int = AUTOMATON_BYTES) -> DataFrame:
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, limit: int = GROUP_BYTES, block: int = BLOCK_BYTES) -> DataFrame:
     """Per row: doc_id, n_words, runs (hit word ranges), spans (their byte ranges), item_ids.
 
     Null texts have no words; an empty benchmark hits nothing; items with a null
-    id or no words are ignored; equal rows give equal results.  An automaton
-    goes to tasks only with items of at most ``limit`` bytes (or one item): a
-    larger benchmark is one pass for each group of items, without a shuffle.
+    id or no words are ignored; equal rows give equal results.  Items go out in
+    groups of at most ``limit`` bytes (or one item), each a broadcast of its
+    own.  A task holds ``block`` bytes of texts and one automaton: it scans them
+    with the automaton of each group in turn, so a benchmark of any size is one
+    pass over the table; with one group the automaton is built once.
     """
-    groups = _groups(benchmark.select("item_id", "text").where("item_id is not null"), limit)
     kind, span = dict(docs.dtypes)[id_col], "array<struct<`from`: long, `to`: long>>"
     context = docs.sparkSession.sparkContext
-
-    def step(shared, last: bool):
-        held = []
-
-        def rows(doc_id, text, runs, ids):
-            if not held:
-                held.append(automaton(shared.value, window))
-            n, more, owners = scan(held[0], text)
-            runs = _union([(r["from"], r["to"]) for r in runs] + more)
-            ids = sorted({*ids, *map(str, owners)})
-            doc_id = doc_id.decode() if isinstance(doc_id, bytes) else doc_id
-            if last:
-                yield doc_id, n, _pack(runs), _pack(original_spans(text, runs) if runs else []), ids
-            else:
-                yield doc_id, text, _pack(runs), ids
-
-        return rows
-
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.lit([]).cast(span).alias("runs"), F.lit([]).cast("array<string>").alias("item_ids"))
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        schema = f"doc_id {kind}, n_words long, runs {span}, spans {span}, item_ids array<string>" if last else f"doc_id {kind}, text string, runs {span}, item_ids array<string>"
-        df = per_row(df, ["doc_id", "text", "runs", "item_ids"], schema, step(context.broadcast(group), last))
-    return df
+    groups = [context.broadcast(group) for group in _groups(benchmark.select("item_id", "text").where("item_id is not null"), limit)]
+    schema = f"doc_id {kind}, n_words long, runs {span}, spans {span}, item_ids array<string>"
+    out = pa_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        built: list[Machine] = []
+
+        def machines():
+            for group in groups:
+                if len(groups) > 1 or not built:
+                    built.clear()  # one automaton at a time
+                    built.append(Machine(group.value, window))
+                yield built[0]
+
+        def scanned(held):
+            found = [([], set()) for _ in held]
+            split = [words(text) for _, text in held]
+            for machine in machines():
+                for (runs, ids), w in zip(found, split):
+                    more, owners = machine.scan(w)
+                    runs += more
+                    ids |= owners
+            rows = []
+            for (doc_id, text), (runs, ids), w in zip(held, found, split):
+                runs = _union(runs)
+                rows.append((doc_id, len(w), _pack(runs), _pack(original_spans(text, runs) if runs else []), sorted(map(str, ids))))
+            return to_batch(rows, out)
+
+        held, weight = [], 0
+        for batch in batches:
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_bytes(batch.column("text"))):
+                held.append((doc_id, text))
+                weight += 64 + len(text or b"")
+                if weight > block:
+                    yield scanned(held)
+                    held, weight = [], 0
+        if held:
+            yield scanned(held)
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
