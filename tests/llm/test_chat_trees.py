@@ -32,11 +32,29 @@ def test_template_round_trip(spark):
 
 
 def test_long_conversation_meets_in_parts(spark):
-    rows = [(7, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(300)] + [(None, 0, "user", "lost")]
+    rows = [(7, i, "assistant" if i % 2 else "user", f"text {i}") for i in range(300)] + [(None, 0, "user", "nobody's")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = chat_trees.formatted_digests(df).collect()
-    assert len(got) == 1 and got[0].n_turns == 300
-    assert got[0].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows[:-1]).encode()).hexdigest()
+    got = {r.conv_id: r for r in chat_trees.formatted_digests(df).collect()}
+    assert set(got) == {7, None} and got[7].n_turns == 300 and got[None].n_turns == 1
+    assert got[7].turns_sha256 == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows[:-1]).encode()).hexdigest()
+
+
+def test_the_trial_meets_no_other_conversation(spark):
+    rows = [(-1, 0, "user", "mine"), (-1, None, "user", "first"), (3, -70, "user", "b"), (3, 5, "assistant", "c"), (3, 5, "assistant", "c")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted((r.conv_id, r.n_turns, r.loss_chars) for r in chat_trees.formatted_digests(chat_trees.with_trial(df)).collect())
+    assert got == [(-1, 2, 0), (-1, 2, len("<|im_end|><|im_start|>assistant ok")), (3, 3, 2)]
+
+
+def test_repeated_nodes_and_null_trees(spark):
+    rows = [("t", "a", None, 1.0), ("t", "b", "a", 1.0), ("t", "b", "a", 1.0), ("t", "c", "b", 2.0), ("t", "c", None, 9.0), ("t", None, "a", 5.0), (None, "x", None, 1.0), (None, "y", "x", 1.0)]
+    df = spark.createDataFrame(rows, "tree string, node string, parent string, score double")
+    found = {}
+    for r in chat_trees.reply_paths(df, branches=9).orderBy("depth").collect():
+        found.setdefault((r.tree, r["rank"]), []).append(r.node)
+    assert found == {("t", 1): ["c"], ("t", 2): ["a", "b"], (None, 1): ["x", "y"]}
+    with_texts = df.withColumn("role", df.node).withColumn("text", df.node)
+    assert {r.conv_id: r.part.count("<|im_start|>") for r in chat_trees.format_trees(with_texts).collect()} == {"t": 1, None: 2}
 
 
 def test_empty(spark):
