@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -19,19 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the cluster's shared checkpoint folder.
 
-    The files outlive executors, and Spark's cleaner removes them once nothing
-    refers to them.  A folder of our own is set only where the session has none.
+    The files outlive executors.  Spark's cleaner removes them once nothing
+    refers to them if spark.cleaner.referenceTracking.cleanCheckpoints is set;
+    otherwise they stay until the folder is emptied.
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where it is unset, as in tests, one of our own."""
-    context = spark.sparkContext
+    """The session's spark.checkpoint.dir; in local mode, where it may be unset, one of our own.
+
+    Raises on a cluster without one: a folder of one machine is none there.
+    """
+    context, given = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+        if given is None and not re.match(r"local(\[[^,]*(,\s*\d+)?\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
+    return given or context.getCheckpointDir()
 
 
 def stored(df: DataFrame) -> tuple[DataFrame, str]:

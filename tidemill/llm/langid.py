@@ -89,7 +89,8 @@ def profiles(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text"
     known = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
     counted = known.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return counted.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    first = counted.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= size)  # a group limit before the shuffle
+    return first.select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 class Ranker:

@@ -79,8 +79,9 @@ def statistics(text: bytes | None) -> list[float]:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, x): the statistics of each row's whole text."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return per_row(source, ["doc_id", "text"], "doc_id long, x array<double>", lambda doc_id, text: [(doc_id, [float(v) for v in statistics(text)])])
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    name = lambda v: v.decode() if isinstance(v, bytes) else v
+    return per_row(source, ["doc_id", "text"], f"doc_id {dict(source.dtypes)['doc_id']}, x array<double>", lambda doc_id, text: [(name(doc_id), [float(v) for v in statistics(text)])])
 
 
 def fourier(x: np.ndarray, mean: np.ndarray, spread: np.ndarray, features: int, scale: float) -> np.ndarray:
@@ -165,11 +166,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Learns from labelled rows whose crc32(id) mod 3 is not 1; an id labelled
     more than once counts by its mean label; null labels are ignored.  Null and
     empty texts have the statistics 0 and are scored like any other.  A null id
-    is not held out.  Without labels every score is 0.5.
+    is not held out.  Ids are of any type.  Without labels every score is 0.5.
     """
     stats = cut(document_statistics(docs, id_col, text_col))
     held_out = F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False))
-    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
+    kind = dict(stats.dtypes)["doc_id"]
+    known = labels.select(F.col(id_col).cast(kind).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y is not null").groupBy("doc_id").agg(F.avg("y").alias("y"))
     model = fit(cut(stats.where(~held_out).join(known, "doc_id")))
 
     def run(batches):
@@ -178,7 +180,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 score = model(_matrix(batch))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return stats.withColumn("held_out", held_out).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.withColumn("held_out", held_out).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -217,7 +217,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
     """(node, root) for each node with a link: root is the component's smallest node.
 
     Alternating large and small stars (Kiveris et al. 2014), each a grouped
-    minimum and a join; two numbers a round come to the driver.
+    minimum and a join; two numbers a round come to the driver.  Nodes may be
+    of any type that has an order.  Raises if ``rounds`` do not suffice.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
@@ -240,6 +241,8 @@ def components(links: DataFrame, rounds: int = 64) -> DataFrame:
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components have not settled in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
