@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -54,6 +55,12 @@ def forget(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are gone; it acts when the driver's JVM collects."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a value's text, modulo n (null for null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
