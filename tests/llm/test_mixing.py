@@ -55,20 +55,56 @@ def test_targets_are_met(spark, seed, sources):
     assert sorted(map(str, mixing.mixed(df).collect())) == sorted(map(str, found))
 
 
+def slow_rates(bins, target, cap=3, ridge=mixing.RIDGE):
+    """Rates of bins (source, size, n) by coordinate descent on the dual: bisection for each source within one for nu."""
+    tokens = sum(z * n for _, z, n in bins)
+    mean = sum(z * n * np.log(z) for _, z, n in bins if z) / tokens
+    x = {z: np.log(z) - mean if z else 0.0 for _, z, _ in bins}
+    total = {s: sum(z * n for t, z, n in bins if t == s) for s in target}
+    rate = lambda z: cap / (1 + (cap - 1) * np.exp(-z))
+
+    def solved(nu):
+        lam = {}
+        for s in target:
+            if 0 < target[s] < cap * total[s]:
+                a, b = -50.0, 50.0
+                for _ in range(100):
+                    lam[s] = (a + b) / 2
+                    more = sum(z * n * rate(lam[s] + nu * x[z]) for t, z, n in bins if t == s) > target[s]
+                    a, b = (a, lam[s]) if more else (lam[s], b)
+        return {(s, z): rate(lam[s] + nu * x[z]) if s in lam else cap * (target[s] > 0) for s, z, _ in bins}
+
+    a, b = -9.0, 9.0
+    for _ in range(60):
+        nu = (a + b) / 2
+        rates = solved(nu)
+        slope = sum(z * n * x[z] * rates[s, z] for s, z, n in bins) + tokens * ridge * nu
+        a, b = (a, nu) if slope > 0 else (nu, b)
+    return rates
+
+
 def test_rates_solve_the_dual(spark):
-    goals = spark.createDataFrame([("a", 1000, 1700.0), ("b", 1000, 3000.0), ("c", 10, 0.5), ("d", 0, 0.0), ("e", 500, 500.0)], "source string, source_size long, target double")
-    got = {r.source: r.rate for r in mixing.tilts(goals).collect()}
-    assert np.allclose([got[s] for s in "abcde"], [1.7, 3.0, 0.05, 0.0, 1.0], atol=1e-6)
+    rng = np.random.default_rng(0)
+    bins = [(s, int(z), int(n)) for s, top in (("a", 30), ("b", 300), ("c", 9), ("e", 90), (None, 60)) for z, n in zip(rng.choice(np.arange(top), 5, replace=False), rng.integers(1, 9, 5))] + [("d", 0, 4)]
+    total = {s: sum(z * n for t, z, n in bins if t == s) for s in ("a", "b", "c", "d", "e", None)}
+    target = {s: total[s] * f for s, f in (("a", 1.7), ("b", 0.3), ("c", 3.0), ("d", 0.0), ("e", 1.0), (None, 2.5))}
+    df = spark.createDataFrame(bins, "source string, size long, n long")
+    goals = spark.createDataFrame([(s, total[s], target[s]) for s in total], "source string, source_size long, target double")
+    got = {(r.source, r.size): r.rate for r in mixing.tilts(df, goals).collect()}
+    want = slow_rates(bins, target)
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    assert len({round(got["b", z], 4) for s, z, _ in bins if s == "b"}) > 1  # the tilt differs within a source
 
 
 def test_copies_in_the_corpus(spark):
-    df = spark.createDataFrame(documents(5, ["a", "b", "c"]), "doc_id long, text string, source string")
+    df = spark.createDataFrame([(*r, 7, "x") for r in documents(5, ["a", "b", "c"])], "doc_id long, text string, source string, copy int, copies string")
     copies = {r.doc_id: r.copies for r in mixing.mixed(df).collect()}
     out = mixing.repeat_documents(df)
-    assert out.columns == [*df.columns, "copy"]
+    assert out.columns == [*df.columns, "copy_"]
     seen = defaultdict(list)
     for r in out.collect():
-        seen[r.doc_id].append(r.copy)
+        assert r["copy"] == 7 and r.copies == "x"
+        seen[r.doc_id].append(r.copy_)
     assert {i: sorted(c) for i, c in seen.items()} == {i: list(range(1, n + 1)) for i, n in copies.items() if n}
 
 

@@ -61,6 +61,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it as long as ``df`` has such a column."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, n: int):
     """crc32 of a value's text, modulo n (null for null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
