@@ -49,3 +49,15 @@ def test_stages_take_empty_tables(spark):
 
 def test_chat_query_equals_its_sql(spark):
     assert_same(queries.op9_reply_trees(spark, "/root/testdata/sf0.01"), queries.OP9_SQL, "/root/testdata/sf0.01")
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    names = "held_out score predicted y n_lines n_removed n_chunks doubt own id key r digest fingerprint fp component_id rejected_id bad_id stay_id stay_n runs copies copy size rate target h nth source_size".split()
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    docs = docs.select("*", *((docs.doc_id + k).alias(n) for k, n in enumerate(names)), docs.text.alias("__text"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        assert out.columns == [*docs.columns, *["copy_"] * ("mixing" in name)]
+        rows = out.collect()
+        assert rows and all(r[n] == r.doc_id + k for r in rows for k, n in enumerate(names))
+        assert {(r.doc_id, r["__text"]) for r in rows} <= {(r.doc_id, r.text) for r in docs.collect()}

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import as_bytes, pa_schema, to_batch
+from ._base import as_bytes, free_name, pa_schema, to_batch
 
 WINDOW = 13
 #: Bytes of item text in one automaton (its nodes take some 200 bytes for each of them), and of texts that a task holds.
@@ -170,5 +170,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` whose id has no contaminated text; columns unchanged, null ids stay."""
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad_id")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("__bad_id"), "left_anti")
+    name = free_name(docs, "bad_id")
+    bad = found.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs[id_col] == F.col(name), "left_anti")

@@ -63,6 +63,7 @@ def _digest(chunk: bytes) -> bytes:
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES, digest=_digest) -> DataFrame:
     """``docs`` with text_col reduced and columns n_lines, n_removed (lines), n_chunks (chunks removed).
 
+    Columns of ``docs`` with these names are replaced; the others stay as they are.
     The place kept of a repeated chunk is the one with the smallest id (null
     first), then text key, then position.  Rows that share id and text are one
     document and get the same result.  A null text stays null with no lines;
@@ -94,16 +95,19 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     found = per_row(source, ["doc_id", "text"], f"digest binary, doc_id {kind}, key long, k int", places)
     here = F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key")) & (F.col("k") == F.col("first_k"))
-    doubt = found.join(repeated, "digest").where(~here).groupBy("doc_id", "key").agg(F.collect_set(F.struct("k", "chunk")).alias("__doubt"))
+    doubt = found.join(repeated, "digest").where(~here).groupBy("doc_id", "key").agg(F.collect_set(F.struct("k", "chunk")).alias("doubt"))
 
-    # second look at the whole text: remove what has the very bytes of its first place
-    wide = docs.withColumn("__key", F.xxhash64(F.col(text_col)))
-    joined = wide.join(doubt.select(F.col("doc_id").alias("__id"), F.col("key").alias("__k"), "__doubt"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__k")), "left")
-    reduced = rewrite(F.col(text_col), F.col("__doubt"))
-    out = joined.withColumn("__r", reduced).withColumn(text_col, F.col("__r.text"))
-    for column in ("n_lines", "n_removed", "n_chunks"):
-        out = out.withColumn(column, F.col(f"__r.{column}"))
-    return out.drop("__key", "__id", "__k", "__doubt", "__r")
+    out = _reduced(docs, doubt, id_col, text_col)
+    counts = {c: F.col(f"r.{c}") for c in ("n_lines", "n_removed", "n_chunks")}
+    own = [F.col("r.text").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns if c not in counts]
+    return out.select(*own, *(v.alias(c) for c, v in counts.items()))
+
+
+def _reduced(docs: DataFrame, doubt: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(own, r): each row and its text without what has the very bytes of its first place, after a second look at the whole text."""
+    wide = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_key"))
+    joined = wide.join(doubt, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("text_key") == F.col("key")), "left")
+    return joined.select("own", rewrite(F.col("own")[text_col], F.col("doubt")).alias("r"))
 
 
 def _rewrite(text: bytes | None, doubt) -> tuple[bytes | None, int, int, int]:
@@ -136,7 +140,8 @@ def rewrite(text, doubt):
 
 def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
     """``docs`` with repeated chunks gone from the text, same columns; ``count_col``, if there, counts anew."""
-    out = deduplicate_lines(docs, id_col, text_col)
-    if count_col in docs.columns:
-        out = out.withColumn(count_col, F.char_length(F.col(text_col)).cast(dict(docs.dtypes)[count_col]))
-    return out.select(*docs.columns)
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    out = deduplicate_lines(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), own.alias("own")), "id", "text")
+    text = F.col("text")
+    made = {text_col: text, count_col: F.char_length(text).cast(dict(docs.dtypes).get(count_col, "long"))}
+    return out.select(*(made.get(c, F.col("own")[c]).alias(c) for c in docs.columns))

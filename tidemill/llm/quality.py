@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crc_mod, cut, per_row
+from ._base import crc_mod, cut, free_name, per_row
 
 #: Statistics of one text, in this order.
 STATISTICS = (
@@ -190,5 +190,6 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     that share an id go only if each of their texts is rejected.
     """
     scored = quality_scores(docs, labels, id_col, text_col)
-    rejected = scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias("__rejected_id"))
-    return docs.join(rejected, docs[id_col] == F.col("__rejected_id"), "left_anti")
+    name = free_name(docs, "rejected_id")
+    rejected = scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias(name))
+    return docs.join(rejected, docs[id_col] == F.col(name), "left_anti")

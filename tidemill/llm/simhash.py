@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import cut, per_row
+from ._base import cut, free_name, per_row
 
 SEED = 42
 SHINGLE = 4
@@ -268,8 +268,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat an id are reduced to one.  Columns stay as they are.
     """
     groups = simhash_groups(docs, id_col, text_col, **options)
-    stay = cut(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")).select(F.col("doc_id").alias("__stay_id"), F.col("n").alias("__stay_n")))
-    kept = docs.join(stay, F.col(id_col).eqNullSafe(F.col("__stay_id")))
-    once = kept.where("__stay_n = 1").select(*docs.columns)
-    again = kept.where("__stay_n > 1").select(*docs.columns).dropDuplicates([id_col])
+    ids, n = free_name(docs, "stay_id"), free_name(docs, "stay_n")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = docs.join(cut(stay.select(F.col("doc_id").alias(ids), F.col("n").alias(n))), docs[id_col].eqNullSafe(F.col(ids)))
+    once = kept.where(F.col(n) == 1).select(*docs.columns)
+    again = kept.where(F.col(n) > 1).select(*docs.columns).dropDuplicates([id_col])
     return once.unionByName(again)
