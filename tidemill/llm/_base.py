@@ -73,6 +73,23 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(n)
 
 
+#: Texts whose 64-bit hashes may be equal by chance before a run is refused.
+MOST_CLASHES = 10_000
+
+
+def text_key(hashed: DataFrame):
+    """A 64-bit key by the columns h1 and h2 (see ``with_hashes``): h1, or h2 where texts of one h1 differ in h2."""
+    clash = hashed.groupBy("h1").agg(F.min("h2").alias("a"), F.max("h2").alias("b")).where("a != b").select("h1").limit(MOST_CLASHES + 1).collect()
+    if len(clash) > MOST_CLASHES:
+        raise ValueError("too many texts with equal hashes")
+    return F.when(F.col("h1").isin([r.h1 for r in clash]), F.col("h2")).otherwise(F.col("h1")) if clash else F.col("h1")
+
+
+def with_hashes(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with two different 64-bit hashes of the text, h1 and h2."""
+    return df.withColumns({"h1": F.xxhash64(text_col), "h2": F.xxhash64(F.lit(1), F.col(text_col))})
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
