@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import induced
-from ._base import as_bytes, cut, per_row
+from ._base import as_bytes, cut, per_row, release, text_key, with_hashes
 
 WINDOW = 200
 MINIMIZER = 64
@@ -32,7 +32,7 @@ SHARD_BYTES = 2 << 20
 #: Pieces of one minimizer that take more than so many shards' bytes are settled window by window.
 CROWDED = 16
 #: Bytes of queues that a sort holds in memory before it uses its scratch file.
-QUEUE_BYTES = 24 << 20
+QUEUE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15
 _PLACE = np.uint64((1 << 24) - 1)
 #: Windows handled at once: places must fit the low 24 bits of a key.
@@ -185,6 +185,8 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, size: int = MINIMIZE
     rivals = shared.groupBy("anchor").agg((F.min("digest") != F.max("digest")).alias("mixed")).where("mixed").select("anchor")
     kinds = shared.join(rivals, "anchor").groupBy("anchor", "digest").agg(F.sum(F.size("places")).alias("total"), F.min(F.struct("key", F.col("places")[0].alias("place"))).alias("one"))
     kinds = cut(kinds.select("anchor", "digest", (F.col("total") > 1).alias("twice"), "one.key", "one.place"))
+    del often, found, rivals
+    release(keyed.sparkSession)
 
     def slices(doc_id, key, text, wanted):
         for w in wanted:
@@ -228,7 +230,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each other, so they lose every byte if they are long enough.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    named = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
+    hashed = with_hashes(docs.select(F.col(id_col).alias("doc_id"), text.alias("text")))
+    named = hashed.select("doc_id", text_key(hashed).alias("key"), "text")
     ranges = repeated_ranges(named, window, **options)
     kind = dict(named.dtypes)["doc_id"]
 
