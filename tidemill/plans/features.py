@@ -51,19 +51,24 @@ def session_features(bars: DataFrame, ts: str = "ts", first: int = 4) -> DataFra
 
 
 def spectrum(bars: DataFrame, x: str = "return_1", window: int = 32) -> DataFrame:
-    """High-band share, peak frequency and entropy of the spectrum of the last ``window`` values."""
+    """Share of the upper two fifths of the spectrum of the last ``window`` values, its peak as a share of the bins, and its entropy.
+
+    The mean is taken out and the constant bin left out; null values are 0, and
+    rows with fewer values before them have 0 in all three.
+    """
 
     def run(f):
         v = np.nan_to_num(f[x].to_numpy(float))
-        out = np.full((3, len(v)), np.nan)
+        out = np.zeros((3, len(v)))
         if len(v) >= window:
             views = np.lib.stride_tricks.sliding_window_view(v, window)
             p = np.abs(np.fft.rfft(views - views.mean(axis=1, keepdims=True), axis=1))[:, 1:] ** 2
-            total = p.sum(axis=1, keepdims=True)
+            total, bins = p.sum(axis=1, keepdims=True), p.shape[1]
             q = p / np.where(total > 0, total, 1)
-            out[0, window - 1 :] = q[:, int(q.shape[1] * 0.6) :].sum(axis=1)
-            out[1, window - 1 :] = (p.argmax(axis=1) + 1) / window
-            out[2, window - 1 :] = -(q * np.log(np.where(q > 0, q, 1))).sum(axis=1) / np.log(q.shape[1])
+            out[0, window - 1 :] = q[:, max(1, -(-bins * 3 // 5)) :].sum(axis=1)
+            out[1, window - 1 :] = (p.argmax(axis=1) + 1) / bins
+            share = np.maximum(q, 1e-12)
+            out[2, window - 1 :] = -(share * np.log(share)).sum(axis=1) / np.log(bins)
         return {"fft_high": out[0], "fft_peak": out[1], "fft_entropy": out[2]}
 
     return R.per_code(bars, run, {"fft_high": "double", "fft_peak": "double", "fft_entropy": "double"})

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import candles, dates, indicators as I, series as S
 from ..operators import backtest, bars as B, factors as Q, joins as J, market as M, portfolio as P, resample as T, risk as K, signals as G
 from ..sources import tables as D
-from . import features as X
+from . import features as X, oracles as O
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -268,9 +268,9 @@ def indicator(name: str, build, columns: tuple[str, ...], sql: str) -> None:
 
 indicator("boll", I.boll, ("boll", "ub", "lb"), f"SELECT code, d, round({roll('avg', 'close', 20)}, 4) AS boll, round({roll('avg', 'close', 20)} + 2 * {roll('stddev_samp', 'close', 20)}, 4) AS ub, round({roll('avg', 'close', 20)} - 2 * {roll('stddev_samp', 'close', 20)}, 4) AS lb FROM bars".replace("END + 2 *", "END + 2 * (").replace("END - 2 *", "END - 2 * (").replace("END, 4) AS ub", "END), 4) AS ub").replace("END, 4) AS lb", "END), 4) AS lb"))
 indicator("bbands", I.bbands, ("upper", "middle", "lower"), f", s AS (SELECT code, d, {roll('avg', 'close', 5)} AS m, {roll('stddev_pop', 'close', 5)} AS s FROM bars) SELECT code, d, round(m + 2 * s, 4) AS upper, round(m, 4) AS middle, round(m - 2 * s, 4) AS lower FROM s")
-indicator("bbi", I.bbi, ("bbi",), f", s AS (SELECT code, d, {roll('avg', 'close', 3)} AS a, {roll('avg', 'close', 6)} AS b, {roll('avg', 'close', 12)} AS c, {roll('avg', 'close', 24)} AS e FROM bars) SELECT code, d, round((a + b + c + e) / 4 + 1e-6, 4) AS bbi FROM s")
-# sums of cents over 96 lie halfway between two fourth digits now and then: both sides are moved off that by the same amount
-QUERIES["bbi"] = lambda spark, sf: rounded(I.bbi(D.day_bars(spark, sf)).withColumn("bbi", F.col("bbi") + 1e-6), "code", "d", "bbi")
+# sums of cents over 96 lie halfway between two fourth digits now and then, but never between two seventh ones
+indicator("bbi", I.bbi, ("bbi",), f", s AS (SELECT code, d, {roll('avg', 'close', 3)} AS a, {roll('avg', 'close', 6)} AS b, {roll('avg', 'close', 12)} AS c, {roll('avg', 'close', 24)} AS e FROM bars) SELECT code, d, round((a + b + c + e) / 4, 7) AS bbi FROM s")
+QUERIES["bbi"] = lambda spark, sf: rounded(I.bbi(D.day_bars(spark, sf)), "code", "d", "bbi", digits=7)
 indicator("dma", I.dma, ("ddd", "ama"), f", s AS (SELECT code, d, ({roll('avg', 'close', 10)}) - ({roll('avg', 'close', 50)}) AS ddd FROM bars) SELECT code, d, round(ddd, 4) AS ddd, round({roll('avg', 'ddd', 10)}, 4) AS ama FROM s")
 indicator("mtm", I.mtm, ("mtm", "mtmma"), f", s AS (SELECT code, d, close - {lag('close', 12)} AS mtm FROM bars) SELECT code, d, round(mtm, 4) AS mtm, round({roll('avg', 'mtm', 6)}, 4) AS mtmma FROM s")
 indicator("roc", I.roc, ("roc", "rocma"), f", s AS (SELECT code, d, 100 * (close - {lag('close', 12)}) / {lag('close', 12)} AS roc FROM bars) SELECT code, d, round(roc, 4) AS roc, round({roll('avg', 'roc', 6)}, 4) AS rocma FROM s")
@@ -792,3 +792,5 @@ def _(spark, sf):
 
 QUERIES["spectrum"] = lambda spark, sf: rounded(X.spectrum(X.base_features(D.day_bars(spark, sf))), "code", "d", "fft_high", "fft_peak", "fft_entropy")
 QUERIES["strokes"] = lambda spark, sf: X.strokes(D.day_bars(spark, sf))
+
+SQL |= {name: plain(sql) for name, sql in O.SQL.items()}
