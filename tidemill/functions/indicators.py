@@ -332,3 +332,78 @@ def peaks_since(df, x="close", k=2):
     return stage(s, since_peak=bars_since(F.col("__peak"), W(), "__p")).drop("__p", "__peak")
 
 
+def hilbert_set(df, x="close"):
+    """ht_period, ht_inphase, ht_quadrature, mama, fama (from row 32), ht_phase, ht_sine, ht_lead, ht_trendline, ht_mode (from row 63)."""
+
+    def run(f: pd.DataFrame):
+        early, late = R.hilbert(f[x], 12), R.hilbert(f[x], 37)
+        shown = lambda v, first: np.where(np.arange(len(v)) >= first, v, np.nan)
+        phase = shown(late["phase"], 63)
+        return {
+            **{k: shown(early[v], 32) for k, v in (("ht_period", "period"), ("ht_inphase", "inphase"), ("ht_quadrature", "quadrature"), ("mama", "mama"), ("fama", "fama"))},
+            "ht_phase": phase, "ht_sine": np.sin(np.radians(phase)), "ht_lead": np.sin(np.radians(phase + 45)), "ht_trendline": shown(late["trendline"], 63), "ht_mode": shown(late["mode"], 63),
+        }
+
+    names = ("ht_period", "ht_inphase", "ht_quadrature", "mama", "fama", "ht_phase", "ht_sine", "ht_lead", "ht_trendline", "ht_mode")
+    return R.per_code(df, run, {k: "double" for k in names})
+
+
+def macd_of_means(df, fast=12, slow=26, signal=9, x="close"):
+    """(difference, signal, rest) of plain means."""
+    s = stage(df, macdext=MA(x, fast, W()) - MA(x, slow, W()))
+    s = stage(s, macdext_signal=MA("macdext", signal, W()))
+    return stage(s, macdext_hist=F.col("macdext") - F.col("macdext_signal"))
+
+
+def recursive_more(df, n=14):
+    """adxr, macd_fix, macd_fix_signal, sarext, and the recursive parts of stop_ma and stop_atr, of 10 rows."""
+    s = recursive_set(df, n)
+
+    def run(f: pd.DataFrame):
+        h, l, c = (f[k].to_numpy(float) for k in ("high", "low", "close"))
+        before = np.append(np.nan, c[:-1])
+        tr = np.where(np.isnan(before), np.nan, np.fmax(h - l, np.fmax(np.abs(h - before), np.abs(l - before))))
+        adx = f["adx_w"].to_numpy(float)
+        dif, signal = R.macd_fixed(c)
+        return {"adxr": (adx + np.append(np.full(n - 1, np.nan), adx[: -(n - 1)])) / 2 if len(adx) >= n else np.full(len(adx), np.nan), "macd_fix": dif, "macd_fix_signal": signal, "sarext": R.sar_way(h, l), "stop_ma": R.ta_ema((f["open"].to_numpy(float) + h + l + c) / 4, 10), "stop_atr": R.wilder(tr, 10)}
+
+    return R.per_code(s, run, {k: "double" for k in ("adxr", "macd_fix", "macd_fix_signal", "sarext", "stop_ma", "stop_atr")})
+
+
+def stoch_rsi(df, k=5, d=3, x="rsi_w"):
+    """Fast stochastic of an index, and its mean."""
+    s = stage(df, stochrsi_k=ratio((F.col(x) - LLV(x, k, W())) * 100, HHV(x, k, W()) - LLV(x, k, W())))
+    return stage(s, stochrsi_d=MA("stochrsi_k", d, W()))
+
+
+def atr_stops(df):
+    """stop_way and stop_line: the side last crossed of stop_ma +- stop_atr, and the line on the other side; needs both columns."""
+    top, bottom = F.col("stop_ma") + F.col("stop_atr"), F.col("stop_ma") - F.col("stop_atr")
+    s = stage(df, __u=C() < top, __d=bottom < C())
+    crossed = F.when(F.lag("__d").over(W()) & ~F.col("__d"), -1.0).when(F.lag("__u").over(W()) & ~F.col("__u"), 1.0)
+    s = stage(s, __x=crossed)
+    s = stage(s, stop_way=F.last("__x", ignorenulls=True).over(last_n(W(), 0)))
+    return stage(s, stop_line=F.col("stop_ma") - F.col("stop_way") * F.col("stop_atr")).drop("__u", "__d", "__x")
+
+
+def volume_hull(df, n=5):
+    """vhma: hull mean of the volume-weighted mean price, and its direction (-2, 0, 2) against one and two rows before."""
+    s = R.per_code(stage(df, __cv=C() * V()), lambda f: {"__s": R.ta_ema(f["__cv"], n) / R.ta_ema(f["volume"], n)}, {"__s": "double"})
+    s = hull(s, n, "__s").withColumnRenamed("hma", "vhma")
+    up = lambda k: F.when(F.col("vhma") > F.lag("vhma", k).over(W()), 1).otherwise(-1)
+    return stage(s, vhma_way=up(1) + up(2)).drop("__cv", "__s")
+
+
+def adx_of_means(df, n=14, smooth=14, limit=18):
+    """adx_hull and its trend (-1, 0, 1), with hull means for Wilder's; rows before n + 2 count 0."""
+    s = stage(df, __p=F.row_number().over(W()), __up=ratio(DIFF("high", 1, W()), REF("high", 1, W())), __dn=-ratio(DIFF("low", 1, W()), REF("low", 1, W())))
+    s = stage(true_range(s, "__tr"), __a=F.when((F.col("__up") > F.col("__dn")) & (F.col("__up") > 0), F.col("__up")).otherwise(0.0), __b=F.when((F.col("__dn") > F.col("__up")) & (F.col("__dn") > 0), F.col("__dn")).otherwise(0.0))
+    for x, to in (("__tr", "__t"), ("__a", "__h"), ("__b", "__l")):
+        s = hull(s, n, x).withColumnRenamed("hma", to)
+    part = lambda c: F.when(F.col("__p") > n + 2, F.coalesce(ratio(100 * F.col(c), F.col("__t")), F.lit(0.0))).otherwise(0.0)
+    s = stage(s, __plus=part("__h"), __minus=part("__l"))
+    total = F.col("__plus") + F.col("__minus")
+    s = hull(stage(s, __x=F.abs(F.col("__plus") - F.col("__minus")) / F.when(total == 0, 1.0).otherwise(total)), smooth, "__x")
+    s = stage(s, adx_hull=F.when(F.col("__p") > smooth + 2, 100 * F.col("hma")).otherwise(0.0))
+    way = F.when((F.col("adx_hull") > limit) & (F.col("__plus") > F.col("__minus")), 1).when((F.col("adx_hull") > limit) & (F.col("__plus") < F.col("__minus")), -1).otherwise(0)
+    return stage(s, adx_way=way).drop("__p", "__up", "__dn", "__tr", "__a", "__b", "__t", "__h", "__l", "__plus", "__minus", "__x", "hma")

@@ -185,3 +185,85 @@ def hurst(x) -> float:
     if len(points) < 2:
         return float("nan")
     return float(np.polyfit(*zip(*points), 1)[0])
+
+
+def sar_way(high, low, step: float = 0.02, most: float = 0.2) -> np.ndarray:
+    """The parabolic stop, negative while the position is short."""
+    line, h = sar(high, low, step, most), np.asarray(high, float)
+    return np.where(line >= h, -line, line)
+
+
+def macd_fixed(x, signal: int = 9) -> tuple[np.ndarray, np.ndarray]:
+    """(difference, signal) of means with the fixed factors 0.15 and 0.075, both seeded at row 25 by means of 12 and 26 rows."""
+    x, dif = np.asarray(x, float), np.full(len(x), np.nan)
+    if len(x) < 26:
+        return dif, dif.copy()
+    fast, slow = x[14:26].mean(), x[:26].mean()
+    dif[25] = fast - slow
+    for i in range(26, len(x)):
+        fast, slow = fast + 0.15 * (x[i] - fast), slow + 0.075 * (x[i] - slow)
+        dif[i] = fast - slow
+    return dif, ta_ema(dif, signal)
+
+
+def hilbert(price, start: int, fast: float = 0.5, slow: float = 0.05) -> dict[str, np.ndarray]:
+    """Ehlers' homodyne discriminator and what is derived from its period, from row ``start`` on.
+
+    Keys: period, inphase, quadrature, mama, fama, phase (degrees), trendline,
+    mode (1: trend).  Prices are smoothed with weights 4, 3, 2, 1; values
+    before ``start`` count 0.
+    """
+    x = np.asarray(price, float)
+    n, pad = len(x), 6
+    out = {k: np.full(n, np.nan) for k in ("period", "inphase", "quadrature", "mama", "fama", "phase", "trendline", "mode")}
+    smooth, detrended, quad, inner = (np.zeros(n + pad) for _ in range(4))
+    period = steady = phase = before = mama = fama = re = im = i2 = q2 = 0.0
+    sine = lead = 0.0
+    lines, days = [0.0, 0.0, 0.0], 0
+
+    def turned(series, i):
+        return (0.0962 * (series[i] - series[i - 6]) + 0.5769 * (series[i - 2] - series[i - 4])) * (0.075 * period + 0.54)
+
+    for t in range(start, n):
+        i = t + pad
+        smooth[i] = (4 * x[t] + 3 * x[t - 1] + 2 * x[t - 2] + x[t - 3]) / 10
+        detrended[i] = turned(smooth, i)
+        quad[i], inner[i] = turned(detrended, i), detrended[i - 3]
+        old_i, old_q = i2, q2
+        q2 = 0.2 * (quad[i] + turned(inner, i)) + 0.8 * old_q
+        i2 = 0.2 * (inner[i] - turned(quad, i)) + 0.8 * old_i
+        re = 0.2 * (i2 * old_i + q2 * old_q) + 0.8 * re
+        im = 0.2 * (i2 * old_q - q2 * old_i) + 0.8 * im
+        last = period
+        if re and im:
+            period = 2 * np.pi / np.arctan(im / re)
+        period = 0.2 * min(max(max(min(period, 1.5 * last), 0.67 * last), 6.0), 50.0) + 0.8 * last
+        steady = 0.33 * period + 0.67 * steady
+        angle = np.degrees(np.arctan(quad[i] / inner[i])) if inner[i] else 0.0
+        weight = max(fast / max(before - angle, 1.0), slow)
+        before = angle
+        mama = weight * x[t] + (1 - weight) * mama
+        fama = weight / 2 * mama + (1 - weight / 2) * fama
+        whole, was = int(steady + 0.5), phase
+        ages = np.arange(min(whole, 50))
+        turn, back = 2 * np.pi * ages / max(whole, 1), np.where(ages <= i, smooth[np.maximum(i - ages, 0)], 0.0)
+        real, imag = float(np.sin(turn) @ back), float(np.cos(turn) @ back)
+        phase = np.degrees(np.arctan(real / imag)) if imag else phase + 90 * np.sign(real)
+        phase += 90 + (360 / steady if steady else 0) + (180 if imag < 0 else 0)
+        phase -= 360 if phase > 315 else 0
+        mean = x[max(0, t - whole + 1) : t + 1].mean() if whole else 0.0
+        line = (4 * mean + 3 * lines[0] + 2 * lines[1] + lines[2]) / 10
+        lines = [mean, *lines[:2]]
+        old_sine, old_lead = sine, lead
+        sine, lead = np.sin(np.radians(phase)), np.sin(np.radians(phase + 45))
+        mode = 1
+        if sine > lead and old_sine <= old_lead or sine < lead and old_sine >= old_lead:
+            days, mode = 0, 0
+        days += 1
+        if days < steady / 2 or steady and 0.67 * 360 / steady < phase - was < 1.5 * 360 / steady:
+            mode = 0
+        if line and abs((smooth[i] - line) / line) >= 0.015:
+            mode = 1
+        for k, v in zip(out, (steady, inner[i], quad[i], mama, fama, phase, line, mode)):
+            out[k][t] = v
+    return out

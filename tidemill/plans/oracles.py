@@ -146,6 +146,27 @@ SELECT r.code, r.d, round(a.y, 4) AS atr_w, round(x.dx, 4) AS dx, round(ax.y, 4)
   round(2 * o.y - oo.y, 4) AS dema, round(sar.shown, 4) AS sar, round(f3.y - f10.y, 4) AS adosc, round(CASE WHEN st.way > 0 THEN st.lo ELSE st.hi END, 4) AS trend_line, CAST(CASE WHEN st.hi IS NULL THEN 0 ELSE st.way END AS DOUBLE) AS trend
 FROM r {joined('a', 'x', 'ax', 'g', 'l', 'kama', 'o', 'oo', 'sar', 'f3', 'f10', 'st')}"""
 
+_FAST, _SLOW = "w.fast + " + num(0.15) + " * (r.close - w.fast)", "w.slow + " + num(0.075) + " * (r.close - w.slow)"
+_FIX = f"""fx AS (SELECT code, k, close, avg(close) OVER (PARTITION BY code ORDER BY k ROWS BETWEEN 11 PRECEDING AND CURRENT ROW) AS m12, avg(close) OVER (PARTITION BY code ORDER BY k ROWS BETWEEN 25 PRECEDING AND CURRENT ROW) AS m26 FROM r),
+{walk('mf', 'fx', {'fast': ('r.m12', f'CASE WHEN r.k <= 26 THEN r.m12 ELSE {_FAST} END'), 'slow': ('r.m26', f'CASE WHEN r.k <= 26 THEN r.m26 ELSE {_SLOW} END')})}, md AS (SELECT code, k, CASE WHEN k >= 26 THEN fast - slow END AS dif FROM mf)"""
+SQL["ta_more"] = SQL["ta_recursive"].split("SELECT r.code, r.d, round(a.y")[0] + f""", {wilder('t10', 'p', 'tr', 10)}, v AS (SELECT code, k, (open + high + low + close) / 4 AS x FROM r), {ta_mean('o10', 'v', 'x', 10)}, {_FIX}, {ta_mean('ms', 'md', 'dif', 9)},
+y AS (SELECT g.code, g.k, 100 * g.y / nullif(g.y + l.y, 0) AS rsi FROM g JOIN l USING (code, k)), yk AS (SELECT code, k, (rsi - {trailing('min', 'rsi', 5)}) * 100 / nullif({trailing('max', 'rsi', 5)} - {trailing('min', 'rsi', 5)}, 0) AS kk FROM y), yd AS (SELECT code, k, kk, {trailing('avg', 'kk', 3)} AS dd FROM yk),
+ar AS (SELECT code, k, (y + {prev('y', 13)}) / 2 AS adxr FROM ax), e1 AS (SELECT code, k, {trailing('avg', 'volume', 12)} - {trailing('avg', 'volume', 26)} AS x FROM r), e2 AS (SELECT code, k, x, {trailing('avg', 'x', 9)} AS s FROM e1),
+c0 AS (SELECT r.code, r.k, o10.y AS m, t10.y AS w, close < o10.y + t10.y AS u, o10.y - t10.y < close AS dn FROM r {joined('o10', 't10')}), c1 AS (SELECT *, CASE WHEN {prev('dn')} AND NOT dn THEN -1.0 WHEN {prev('u')} AND NOT u THEN 1.0 END AS x FROM c0),
+c2 AS (SELECT *, last_value(x IGNORE NULLS) OVER ({PER} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS way FROM c1)
+SELECT r.code, r.d, round(ar.adxr, 4) AS adxr, round(md.dif, 4) AS macd_fix, round(ms.y, 4) AS macd_fix_signal, round(CASE WHEN sar.shown >= r.high THEN -sar.shown ELSE sar.shown END, 4) AS sarext, round(yd.kk, 4) AS stochrsi_k, round(yd.dd, 4) AS stochrsi_d, round(e2.x, 4) AS macdext, round(e2.s, 4) AS macdext_signal,
+  round(c2.m, 4) AS stop_ma, round(c2.way, 4) AS stop_way, round(m - way * w, 4) AS stop_line FROM r {joined('ar', 'md', 'ms', 'sar', 'yd', 'e2', 'c2')}"""
+SQL["volume_hull"] = f"""{ROWS}, v AS (SELECT code, k, close * volume AS cv, volume FROM r), {ta_mean('a', 'v', 'cv', 5)}, {ta_mean('b', 'v', 'volume', 5)}, s AS (SELECT a.code, a.k, a.y / b.y AS x FROM a JOIN b USING (code, k)),
+h AS (SELECT code, k, 2 * {_wma('x', 2)} - {_wma('x', 5)} AS y FROM s), z AS (SELECT code, k, {_wma('y', 2)} AS v FROM h)
+SELECT r.code, r.d, round(v, 4) AS vhma, CASE WHEN v > vp THEN 1 ELSE -1 END + CASE WHEN v > vq THEN 1 ELSE -1 END AS vhma_way FROM r JOIN (SELECT *, {prev('v')} AS vp, {prev('v', 2)} AS vq FROM z) z USING (code, k)"""
+_hull = lambda x, n, to: (f"2 * {_wma(x, n // 2)} - {_wma(x, n)} AS {to}_", f"{_wma(to + '_', int(n**0.5))} AS {to}")
+_h = [_hull(x, 14, to) for x, to in (("tr", "t"), ("a", "h"), ("b", "l"))]
+SQL["adx_hull"] = f"""{ROWS}, m AS (SELECT code, k, CASE WHEN {prev('close')} IS NOT NULL THEN {_TR} END AS tr, (high - {prev('high')}) / {prev('high')} AS up, -(low - {prev('low')}) / {prev('low')} AS dn FROM r),
+n AS (SELECT code, k, tr, CASE WHEN up > dn AND up > 0 THEN up ELSE 0.0 END AS a, CASE WHEN dn > up AND dn > 0 THEN dn ELSE 0.0 END AS b FROM m), h1 AS (SELECT code, k, {', '.join(x for x, _ in _h)} FROM n), h2 AS (SELECT code, k, {', '.join(x for _, x in _h)} FROM h1),
+p AS (SELECT code, k, CASE WHEN k > 16 THEN coalesce(100 * h / nullif(t, 0), 0) ELSE 0 END AS plus, CASE WHEN k > 16 THEN coalesce(100 * l / nullif(t, 0), 0) ELSE 0 END AS minus FROM h2), x AS (SELECT *, abs(plus - minus) / CASE WHEN plus + minus = 0 THEN 1 ELSE plus + minus END AS x FROM p),
+y AS (SELECT *, {_hull('x', 14, 'y')[0]} FROM x), z AS (SELECT *, {_hull('x', 14, 'y')[1]} FROM y), q AS (SELECT *, CASE WHEN k > 16 THEN 100 * y ELSE 0 END AS adx FROM z)
+SELECT r.code, r.d, round(adx, 4) AS adx_hull, CASE WHEN adx > 18 AND plus > minus THEN 1 WHEN adx > 18 AND plus < minus THEN -1 ELSE 0 END AS adx_way FROM r JOIN q USING (code, k)"""
+
 # ---- candlestick patterns -----------------------------------------------------------------------
 
 _BACK = lambda x, n: f"avg({x}) OVER ({PER} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"

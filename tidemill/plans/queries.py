@@ -258,6 +258,11 @@ for _name, _f, _columns in (
 ):
     QUERIES[_name] = lambda spark, sf, f=_f, c=_columns: rounded(f(D.day_bars(spark, sf)), "code", "d", *c)
 
+QUERIES["ta_more"] = lambda spark, sf: rounded(I.atr_stops(I.stoch_rsi(I.macd_of_means(I.recursive_more(D.day_bars(spark, sf)), x="volume"))), "code", "d", "adxr", "macd_fix", "macd_fix_signal", "sarext", "stochrsi_k", "stochrsi_d", "macdext", "macdext_signal", "stop_ma", "stop_way", "stop_line")
+QUERIES["volume_hull"] = lambda spark, sf: rounded(I.volume_hull(D.day_bars(spark, sf)), "code", "d", "vhma", "vhma_way")
+QUERIES["adx_hull"] = lambda spark, sf: rounded(I.adx_of_means(D.day_bars(spark, sf)), "code", "d", "adx_hull", "adx_way")
+QUERIES["hilbert"] = lambda spark, sf: rounded(I.hilbert_set(D.day_bars(spark, sf)), "code", "d", "ht_period", "ht_inphase", "ht_quadrature", "mama", "fama", "ht_phase", "ht_sine", "ht_lead", "ht_trendline", "ht_mode")
+
 # ---- windowed indicators ------------------------------------------------------------------------
 
 
