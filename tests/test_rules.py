@@ -26,20 +26,77 @@ def test_slippage(spark):
         market.slippage(F.lit(10.0), "side", "other")
 
 
+def grid(n, step, high):
+    """All weights of n assets in multiples of step, none above high."""
+    if n == 1:
+        return [(1.0,)]
+    out = [()]
+    for _ in range(n - 1):
+        out = [(*w, x) for w in out for x in np.arange(0, high + 1e-9, step) if sum(w) + x <= 1 + 1e-9]
+    return [(*w, 1 - sum(w)) for w in out if -1e-9 <= 1 - sum(w) <= high + 1e-9]
+
+
 def test_weights(spark):
-    x = np.random.default_rng(42).normal(0.001, 0.02, (252, 5))
-    assets = [f"a{k}" for k in range(5)]
+    x = np.random.default_rng(42).normal(0.001, 0.02, (252, 4)) * [1, 2, 0.5, 1.5]
+    assets = [f"a{k}" for k in range(4)]
     wide = spark.createDataFrame(pd.DataFrame(x, columns=assets))
-    for method in ("risk_parity", "mvo", "hrp", "max_div", "black_litterman"):
-        w = portfolio.optimize(wide, assets, method)
-        assert set(w) == set(assets) and sum(w.values()) == pytest.approx(1) and min(w.values()) >= -1e-9
-    cov = np.cov(x, rowvar=False)
+    mu, cov = x.mean(axis=0), portfolio.shrunk(np.cov(x, rowvar=False, bias=True))
+    got = {m: np.array(list(portfolio.optimize(wide, assets, m, 0.6, aversion=3.0, views={0: 0.01}).values())) for m in ("risk_parity", "mvo", "hrp", "max_div", "black_litterman")}
+    assert all(w.sum() == pytest.approx(1) and w.min() >= -1e-9 and w.max() <= 0.6 + 1e-9 for w in got.values())
+    all_ = np.array(grid(4, 0.02, 0.6))
+    risk_of = lambda w: np.einsum("...i,ij,...j->...", w, cov, w)
+    utility = lambda w, m=mu, c=None: w @ m - 1.5 * (risk_of(w) if c is None else np.einsum("...i,ij,...j->...", w, c, w))
+    spread = lambda w: w @ np.sqrt(np.diag(cov)) / np.sqrt(risk_of(w))
+    assert utility(got["mvo"]) >= utility(all_).max() - 1e-9 and spread(got["max_div"]) >= spread(all_).max() - 1e-9
+    # the view is a row of evidence beside the prior: both means weighed by their precisions
+    prior, doubt = 3.0 * cov @ np.full(4, 0.25), 1.0
+    precision = np.linalg.inv(0.05 * cov)
+    pick = np.eye(4)[[0]]
+    posterior = np.linalg.inv(precision + pick.T @ pick / doubt) @ (precision @ prior + pick.T @ [0.01] / doubt)
+    wide_cov = cov + np.linalg.inv(precision + pick.T @ pick / doubt)
+    assert utility(got["black_litterman"], posterior, wide_cov) >= utility(all_, posterior, wide_cov).max() - 1e-9
     p = portfolio.risk_parity(cov)
-    share = p * (cov @ p) / (p @ cov @ p)
-    assert share == pytest.approx(np.full(5, 0.2), abs=1e-3)
+    assert p * (cov @ p) / (p @ cov @ p) == pytest.approx(np.full(4, 0.25), abs=1e-3)
+    ab = np.array([cov[1, 1], cov[0, 0]]) / (cov[0, 0] + cov[1, 1])
+    cd = np.array([cov[3, 3], cov[2, 2]]) / (cov[2, 2] + cov[3, 3])
+    va, vc = ab @ cov[:2, :2] @ ab, cd @ cov[2:, 2:] @ cd
+    assert portfolio.hierarchical(cov) == pytest.approx(np.concatenate([vc * ab, va * cd]) / (va + vc), abs=1e-6)
     assert portfolio.optimize(wide.select("a0"), ["a0"]) == {"a0": 1.0} and portfolio.optimize(wide.select("a0"), []) == {}
 
 
+def test_exposures_equal_least_squares(spark):
+    rng = np.random.default_rng(3)
+    f = rng.normal(size=(300, 3))
+    y = 0.5 + f @ [1.0, -2.0, 0.0] + rng.normal(size=300)
+    got = risk.exposures(spark.createDataFrame(pd.DataFrame(np.c_[y, f], columns=["y", "a", "b", "c"])), "y", ["a", "b", "c"])
+    design = np.c_[np.ones(300), f]
+    beta, rest, _, _ = np.linalg.lstsq(design, y, rcond=None)
+    error = np.sqrt(np.diag(np.linalg.inv(design.T @ design)) * rest[0] / 296)
+    assert got["beta"] == pytest.approx(beta) and got["t"] == pytest.approx(beta / error) and got["r2"] == pytest.approx(1 - rest[0] / ((y - y.mean()) ** 2).sum())
+
+
+def test_bootstrap_draws_from_all_returns(spark):
+    rows = [("x", float(r)) for r in [-0.5] * 30 + [0.0] * 50 + [0.1] * 20] + [("x", None)]
+    df = spark.createDataFrame(rows, "code string, ret double")
+    got = risk.monte_carlo(df, paths=4000, horizon=1).first()
+    assert got.n == 4000 and got["mean"] == pytest.approx(-0.13, abs=0.02) and got["var"] == got.cvar == pytest.approx(0.5)
+    two = risk.monte_carlo(df, paths=4000, horizon=2).first()
+    assert two["mean"] == pytest.approx(0.87**2 - 1, abs=0.02)
+    assert risk.monte_carlo(df, paths=4000, horizon=2).first() == two
+    assert risk.monte_carlo(df.where("ret is null")).first().n == 0
+
+
+def test_as_of_replaces_and_scan_keeps_the_greatest(spark):
+    from tidemill.operators.joins import as_of
+    from tidemill.sources.tables import scan_bars
+
+    left = spark.createDataFrame([("a", 1, 9.0), ("a", 3, 9.0)], "code string, d int, adj double")
+    right = spark.createDataFrame([("a", 2, 0.5)], "code string, d int, adj double")
+    assert sorted((r.d, r.adj) for r in as_of(left, right, ["adj"]).collect()) == [(1, None), (3, 0.5)]
+    bars = spark.createDataFrame([("a", 1, 5.0, 1.0), ("a", 1, 7.0, 1.0), ("b", 1, 2.0, 3.0)], "code string, d int, close double, volume double")
+    assert sorted(map(tuple, scan_bars(bars, columns=["code", "close"]).collect())) == [("a", 7.0), ("b", 2.0)]
+
+
 def test_drawdown(spark):
     df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate([100_000, 105_000, 90_000, 95_000])], "code string, d int, equity double")
     row = risk.drawdown(df, "equity").where("d = 2").first().asDict()

@@ -52,6 +52,30 @@ def test_batches_are_written_once(spark, folder):
     out = tempfile.mkdtemp(prefix="spark-") + "/out"
     check = tempfile.mkdtemp(prefix="spark-")
     for _ in range(2):  # the second run finds nothing new
-        streams.write_batches(streams.event_stream(spark, folder, 10), out, check, ["user_id"], "event_id").awaitTermination()
-    got = spark.read.parquet(out)
-    assert got.count() == got.select("user_id").distinct().count() == spark.read.parquet(folder).select("user_id").distinct().count()
+        streams.write_batches(streams.event_stream(spark, folder, 1), out, check, ["user_id"], "event_id").awaitTermination()
+    assert spark.read.parquet(out).select("batch").distinct().count() == 4
+    got = {r.user_id: (r.event_id, r.value) for r in streams.read_batches(spark, out, ["user_id"], "event_id").collect()}
+    events = spark.read.parquet(f"{SF}/events.parquet").groupBy("user_id").agg(F.max("event_id").alias("e"), F.max_by("value", "event_id").alias("v"))
+    assert got == {r.user_id: (r.e, r.v) for r in events.collect()}
+
+
+def test_account_state_over_batches(spark):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    times = sorted(r.ts for r in events.select("ts").collect())
+    path, a, b = tempfile.mkdtemp(prefix="spark-") + "/events", times[len(times) // 3], times[2 * len(times) // 3]
+    for part in (F.col("ts") < F.lit(a), (F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)), F.col("ts") >= F.lit(b)):
+        events.where(part).coalesce(1).write.mode("append").parquet(path)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    try:
+        got = streams.available_rows(streams.account_state(streams.event_stream(spark, path)), "update")
+        assert got.select("batch").distinct().count() == 3
+        last = {r.user_id: r.r for r in got.groupBy("user_id").agg(F.max_by(F.struct("cash", "units"), "batch").alias("r")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    want = {}
+    for r in spark.read.parquet(f"{SF}/events.parquet").orderBy("ts", "event_id").collect():
+        cash, units = want.get(r.user_id, (0.0, 0))
+        want[r.user_id] = (cash - r.value, units + 1) if r.event_type == "purchase" else (cash + r.value * units, 0) if r.event_type == "error" else (cash, units)
+    assert {k: (round(v.cash, 6), v.units) for k, v in last.items()} == {k: (round(c, 6), u) for k, (c, u) in want.items()}

@@ -71,21 +71,42 @@ def accounts(orders: DataFrame, cash: float = 1_000_000.0, rate: float = 0.00025
     return orders.repartition(account).sortWithinPartitions(account, seq).mapInArrow(run, schema)
 
 
-def attention_scores(bars: DataFrame, features: list[str], window: int = 32, decay: float = 0.7, code: str = "code", ts: str = "d") -> DataFrame:
-    """bars with ``score``: a recurrent state fed by softmax-weighted means of the last feature rows."""
+def attention_scores(bars: DataFrame, features: list[str], window: int = 32, weights: list[float] | None = None, temperature: float = 1.0, hidden: int = 8, decay: float = 0.7, code: str = "code", ts: str = "d") -> DataFrame:
+    """bars with ``score``: a recurrent state fed by attention over the last ``window`` feature rows.
+
+    A row's heat is the weighted sum of its features times ``temperature``;
+    the softmax of the heats mixes the rows, a fixed projection takes the
+    mixture to ``hidden`` numbers that decay into each other, and a fixed
+    readout sums them.  Null features count 0; no row sees a later one.
+    """
+    lean = np.array(weights if weights is not None else [1.0] * len(features))
+    # Projection and readout.
+    projection = np.sin(np.arange(len(features) * hidden).reshape(len(features), hidden) / (len(features) + hidden + 1.0)) * 0.6
+    readout = np.linspace(-0.35, 0.35, hidden)
 
     def run(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(ts)
         x = np.nan_to_num(f[features].to_numpy(float))
-        spread = x.std(axis=0)
-        x = (x - x.mean(axis=0)) / np.where(spread > 0, spread, 1)
-        state, out = np.zeros(x.shape[1]), np.zeros(len(x))
+        heat = np.clip(x @ lean * temperature, -20, 20)
+        state, out = np.zeros(hidden), np.zeros(len(x))
         for i in range(len(x)):
-            seen = x[max(0, i - window + 1) : i + 1]
-            heat = seen.mean(axis=1)
-            a = np.exp(heat - heat.max())
-            state = decay * state + (1 - decay) * np.tanh((a / a.sum()) @ seen)
-            out[i] = state.mean()
+            seen = slice(max(0, i - window + 1), i + 1)
+            a = np.exp(heat[seen] - heat[seen].max())
+            state = decay * state + (1 - decay) * np.tanh((a / a.sum()) @ x[seen] @ projection)
+            out[i] = state @ readout
         return f.assign(score=out)
 
     return bars.groupBy(code).applyInPandas(run, ", ".join([f"`{n}` {t}" for n, t in bars.dtypes] + ["score double"]))
+
+
+def history(assets: DataFrame, account: str = "account", ts: str = "d", value: str = "assets") -> DataFrame:
+    """Account history with ``ret``, the change of its assets since its row before."""
+    before = F.lag(value).over(Window.partitionBy(account).orderBy(ts))
+    return assets.withColumn("ret", F.col(value) / F.nullif(before, F.lit(0.0)) - 1)
+
+
+def ranking(assets: DataFrame, most: int, least_rows: int = 2, account: str = "account", ts: str = "d", value: str = "assets") -> DataFrame:
+    """(account, total, months, orders, place): the ``most`` accounts with the largest change from first to last."""
+    s = assets.groupBy(account).agg((F.max_by(value, ts) / F.nullif(F.min_by(value, ts), F.lit(0.0)) - 1).alias("total"), F.count("*").alias("months"), F.sum("orders").alias("orders")).where(F.col("months") >= least_rows)
+    best = s.orderBy(F.desc("total"), account).limit(most)  # few rows, of which one task numbers the places
+    return best.withColumn("place", F.rank().over(Window.orderBy(F.desc("total"), account)))

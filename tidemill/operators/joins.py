@@ -12,7 +12,9 @@ def as_of(left: DataFrame, right: DataFrame, values: list[str], by: str = "code"
     """left with the right side's values at its latest time at or before each row.
 
     One union and one window: both sides move once, in time order within a key.
+    A column of left that is called like a value is replaced.
     """
+    left = left.drop(*values)
     empty = [F.lit(None).cast(t).alias(n) for n, t in right.select(*values).dtypes]
     own = left.select(*left.columns, *empty, F.lit(1).alias("__side"))
     other = right.select(*(F.col(c) if c in (by, ts) else F.lit(None).cast(t).alias(c) for c, t in left.dtypes), *values, F.lit(0).alias("__side"))
@@ -60,9 +62,14 @@ def neighbours(rows: DataFrame, calendar: DataFrame, x: str, by: str = "code", t
 
 
 def missing_ranges(bars: DataFrame, grid: DataFrame, by: str = "code", ts: str = "d", position: str = "idx") -> DataFrame:
-    """(code, from, to, n): runs of grid times for which a code has no bar, within its life."""
+    """(code, from, to, n): runs of grid times for which a code has no bar, within its life.
+
+    A life begins and ends on grid times; its positions are spelled out, so all joins are on equality.
+    """
+    at = grid.select(F.col(ts).alias("__t"), F.col(position).alias("__at"))
     life = bars.groupBy(by).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
-    want = life.join(grid, F.col(ts).between(F.col("__a"), F.col("__b"))).select(by, grid[ts].alias(ts), position)
+    ends = life.join(at.toDF("__a", "__i"), "__a").join(at.toDF("__b", "__j"), "__b")
+    want = ends.select(by, F.explode(F.sequence("__i", "__j")).alias("__at")).join(at, "__at").select(by, F.col("__t").alias(ts), F.col("__at").alias(position))
     lost = want.join(bars.select(by, ts).distinct(), [by, ts], "left_anti")
     island = F.col(position) - F.row_number().over(Window.partitionBy(by).orderBy(position))
     return lost.withColumn("__i", island).groupBy(by, "__i").agg(F.min(ts).alias("from"), F.max(ts).alias("to"), F.count("*").alias("n")).drop("__i")

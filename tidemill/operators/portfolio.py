@@ -24,10 +24,36 @@ def shrunk(cov: np.ndarray, share: float = 0.1) -> np.ndarray:
     return vectors @ np.diag(np.maximum(values, 1e-10)) @ vectors.T
 
 
-def mean_variance(mu: np.ndarray, cov: np.ndarray) -> np.ndarray:
-    w = np.linalg.pinv(cov) @ mu
-    w = w - min(w.min(), 0.0)
-    return w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+def onto_bounds(v: np.ndarray, low: float, high: float, total: float = 1.0) -> np.ndarray:
+    """Nearest weights within [low, high] that sum to ``total`` (as near as the bounds allow)."""
+    a, b = float((v - high).min()) - 1, float((v - low).max()) + 1
+    for _ in range(100):
+        shift = (a + b) / 2
+        a, b = (shift, b) if np.clip(v - shift, low, high).sum() > total else (a, shift)
+    return np.clip(v - (a + b) / 2, low, high)
+
+
+def climb(value, slope, n: int, low: float, high: float, rounds: int = 5000) -> np.ndarray:
+    """Weights that maximise a concave (or pseudo-concave) function within bounds, by projected steps with backtracking."""
+    w, step = onto_bounds(np.full(n, 1 / n), low, high), 1.0
+    now = value(w)
+    for _ in range(rounds):
+        g, step = slope(w), step * 4
+        while True:
+            new = onto_bounds(w + step * g, low, high)
+            then, move = value(new), new - w
+            if then >= now + 0.25 * float(g @ move) or step < 1e-18:
+                break
+            step /= 2
+        if np.abs(move).max() < 1e-13:
+            break
+        w, now = new, then
+    return w
+
+
+def mean_variance(mu: np.ndarray, cov: np.ndarray, aversion: float = 1.0, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    """Weights that maximise mu'w - aversion / 2 w'Cw within bounds; they sum to 1."""
+    return climb(lambda w: mu @ w - aversion / 2 * (w @ cov @ w), lambda w: mu - aversion * (cov @ w), len(mu), low, high)
 
 
 def risk_parity(cov: np.ndarray, rounds: int = 500) -> np.ndarray:
@@ -44,43 +70,43 @@ def risk_parity(cov: np.ndarray, rounds: int = 500) -> np.ndarray:
 
 
 def hierarchical(cov: np.ndarray) -> np.ndarray:
-    """Recursive bisection of the assets in order, halves weighted by inverse cluster variance."""
-    w, parts = np.ones(len(cov)), [list(range(len(cov)))]
-
-    def variance(items):
-        sub = cov[np.ix_(items, items)]
-        v = 1 / np.maximum(np.diag(sub), 1e-12)
-        v /= v.sum()
-        return v @ sub @ v
-
-    while parts:
-        items = parts.pop()
-        if len(items) < 2:
-            continue
-        a, b = items[: len(items) // 2], items[len(items) // 2 :]
-        va, vb = variance(a), variance(b)
-        share = 1 - va / (va + vb) if va + vb else 0.5
-        w[a] *= share
-        w[b] *= 1 - share
-        parts += [a, b]
-    return w / w.sum()
-
-
-def max_diversification(cov: np.ndarray) -> np.ndarray:
-    w = np.maximum(np.linalg.pinv(cov) @ np.sqrt(np.diag(cov)), 0)
-    return w / w.sum() if w.sum() > 0 else risk_parity(cov)
-
-
-def black_litterman(cov: np.ndarray, market: np.ndarray, views: dict[int, float], aversion: float = 2.5, tau: float = 0.05) -> np.ndarray:
-    prior = aversion * cov @ market
+    """Halves of the assets in order, and their halves, joined from single assets up: each side weighs as the other's variance."""
+
+    def joined(a: int, b: int) -> np.ndarray:
+        if b - a == 1:
+            return np.ones(1)
+        mid = a + (b - a) // 2
+        sides = [(joined(a, mid), cov[a:mid, a:mid]), (joined(mid, b), cov[mid:b, mid:b])]
+        left, right = (float(w @ c @ w) for w, c in sides)
+        share = 1 - left / (left + right + 1e-10)
+        return np.concatenate([share * sides[0][0], (1 - share) * sides[1][0]])
+
+    return joined(0, len(cov))
+
+
+def max_diversification(cov: np.ndarray, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    """Weights within bounds with the largest ratio of mean deviation to the portfolio's deviation."""
+    sd = np.sqrt(np.diag(cov))
+    scale = float(np.mean(np.diag(cov))) or 1.0
+    unit, unit_sd = cov / scale, sd / scale**0.5
+
+    def slope(w):
+        risk = np.sqrt(max(float(w @ unit @ w), 1e-10))
+        return unit_sd / risk - (w @ unit_sd) * (unit @ w) / risk**3
+
+    return climb(lambda w: (w @ unit_sd) / np.sqrt(max(float(w @ unit @ w), 1e-10)), slope, len(cov), low, high)
+
+
+def black_litterman(cov: np.ndarray, market: np.ndarray, views: dict[int, float], aversion: float = 1.0, tau: float = 0.05, confidence: float = 0.5, low: float = 0.0, high: float = 1.0) -> np.ndarray:
+    """Mean-variance weights of the posterior: returns implied by ``market``, and views held with ``confidence`` (0 to 1)."""
+    mean, spread = aversion * cov @ market, cov
     if views:
-        p = np.zeros((len(views), len(cov)))
-        for k, i in enumerate(views):
-            p[k, i] = 1.0
-        omega = np.diag(np.maximum(np.diag(p @ (tau * cov) @ p.T), 1e-12))
-        middle = np.linalg.pinv(p @ (tau * cov) @ p.T + omega)
-        prior = prior + tau * cov @ p.T @ middle @ (np.array(list(views.values())) - p @ prior)
-    return mean_variance(prior, aversion * cov)
+        pick = np.eye(len(cov))[list(views)]
+        doubt = (1 - confidence) / max(confidence, 1e-6) * np.eye(len(views))
+        gain = tau * cov @ pick.T @ np.linalg.inv(pick @ (tau * cov) @ pick.T + doubt)
+        mean = mean + gain @ (np.array(list(views.values())) - pick @ mean)
+        spread = cov + tau * cov - gain @ pick @ (tau * cov)
+    return mean_variance(mean, spread, aversion, low, high)
 
 
 def capped(weights: np.ndarray, cap: float, groups: list | None = None, group_cap: float = 1.0) -> np.ndarray:
@@ -104,16 +130,21 @@ def capped(weights: np.ndarray, cap: float, groups: list | None = None, group_ca
 
 
 def optimize(wide: DataFrame, assets: list[str], method: str = "risk_parity", cap: float = 1.0, **options) -> dict[str, float]:
-    """Weights by mvo, risk_parity, black_litterman, hrp or max_div, capped; {} without assets."""
+    """Weights by mvo, risk_parity, black_litterman, hrp or max_div, none above ``cap``; {} without assets.
+
+    options: aversion, views ({number: return}), confidence.  The bounded
+    problems hold the cap themselves; the others' excess flows to the rest.
+    """
     if not assets:
         return {}
     mu, cov = moments(wide, assets)
     cov = shrunk(cov)
     if len(assets) == 1:
         return {assets[0]: 1.0}
+    high = max(cap, 1 / len(assets))
     made = {
-        "mvo": lambda: mean_variance(mu, cov), "risk_parity": lambda: risk_parity(cov), "hrp": lambda: hierarchical(cov), "max_div": lambda: max_diversification(cov),
-        "black_litterman": lambda: black_litterman(cov, np.full(len(assets), 1 / len(assets)), options.get("views", {})),
+        "mvo": lambda: mean_variance(mu, cov, options.get("aversion", 1.0), high=high), "risk_parity": lambda: risk_parity(cov), "hrp": lambda: hierarchical(cov), "max_div": lambda: max_diversification(cov, high=high),
+        "black_litterman": lambda: black_litterman(cov, np.full(len(assets), 1 / len(assets)), options.get("views", {}), options.get("aversion", 1.0), confidence=options.get("confidence", 0.5), high=high),
     }[method]()
     return dict(zip(assets, capped(made, cap).tolist()))
 

@@ -111,20 +111,28 @@ def exposures(rows: DataFrame, ret: str, factors: list[str]) -> dict:
     return {"n": n, "beta": b.tolist(), "t": (b / se).tolist(), "r2": float(r2), "adjusted_r2": float(1 - (1 - r2) * (n - 1) / (n - k))}
 
 
-def monte_carlo(rows: DataFrame, paths: int = 10_000, horizon: int = 21, confidence: float = 0.95, seed: int = 42, ret: str = "ret", sample: int = 100_000) -> DataFrame:
-    """(n, var, cvar, mean) of bootstrapped paths; paths are dealt over tasks, each seeded by its number.
+def monte_carlo(rows: DataFrame, paths: int = 10_000, horizon: int = 21, confidence: float = 0.95, seed: int = 42, ret: str = "ret", levels: int = 1 << 12) -> DataFrame:
+    """(n, var, cvar, mean) of paths bootstrapped from all returns.
 
-    The returns drawn from are at most ``sample`` rows (a documented bound), spread by hash.
+    Returns are numbered from 0 by value within ``levels`` groups by hash, and
+    groups are told apart by their sizes (one number a group); each draw is a
+    number from a hash of seed, path and step, joined to its return.  Equal
+    input gives equal draws.  No returns: no paths.
     """
-    pool = np.array([r[0] for r in rows.where(F.col(ret).isNotNull()).select(ret).orderBy(F.xxhash64(ret), ret).limit(sample).collect()])
-
-    def run(batches):
-        import pandas as pd
-
-        for b in batches:
-            draws = [np.random.default_rng([seed, int(i)]).choice(pool, horizon) for i in b["id"]] if len(pool) else []
-            yield pd.DataFrame({"total": [float(np.prod(1 + d) - 1) for d in draws]})
-
-    totals = rows.sparkSession.range(paths).mapInPandas(run, "total double")
-    q = totals.agg(F.percentile("total", F.lit(1 - confidence)).alias("q"))
-    return totals.crossJoin(F.broadcast(q)).agg(F.count("*").alias("n"), (-F.first("q")).alias("var"), (-F.avg(F.when(F.col("total") <= F.col("q"), F.col("total")))).alias("cvar"), F.avg("total").alias("mean"))
+    known = rows.where(F.col(ret).isNotNull()).select(F.col(ret).alias("r"))
+    # of equal returns, any may be drawn for any other: they are numbered as a run
+    runs = known.groupBy("r").agg(F.count("*").alias("n")).withColumn("g", F.pmod(F.xxhash64("r"), F.lit(levels)))
+    total, before = 0, []
+    for g, n in sorted(map(tuple, runs.groupBy("g").agg(F.sum("n")).collect())):  # one row a group
+        before.append((g, total))
+        total += n
+    if not total:
+        return rows.sparkSession.createDataFrame([(0, None, None, None)], "n long, var double, cvar double, mean double")
+    before = rows.sparkSession.createDataFrame(before, "g long, before long")
+    inner = Window.partitionBy("g").orderBy("r")
+    first = runs.withColumn("first", F.sum("n").over(inner) - F.col("n")).join(F.broadcast(before), "g")
+    numbered = first.select("r", F.explode(F.sequence(F.col("before") + F.col("first"), F.col("before") + F.col("first") + F.col("n") - 1)).alias("i"))
+    steps = rows.sparkSession.range(paths * horizon).select((F.col("id") / horizon).cast("long").alias("path"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(total)).alias("i"))
+    totals = steps.join(numbered, "i").groupBy("path").agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total"))
+    q = totals.agg(F.percentile("total", F.lit(1 - confidence)).alias("q")).first()["q"]
+    return totals.agg(F.count("*").alias("n"), F.lit(-q).alias("var"), (-F.avg(F.when(F.col("total") <= q, F.col("total")))).alias("cvar"), F.avg("total").alias("mean"))

@@ -764,7 +764,7 @@ def account_orders(spark, sf):
     return o.select(F.col("o_custkey").alias("account"), F.col("o_orderkey").alias("seq"), F.col("o_orderpriority").alias("code"), F.when(F.col("o_orderstatus") == "F", "SELL").otherwise("BUY").alias("side"), F.col("o_totalprice").alias("price"), F.lit(1.0).alias("amount"))
 
 
-QUERIES["accounts"] = lambda spark, sf: rounded(backtest.accounts(account_orders(spark, sf)), "account", "seq", "status", "cash", "position", "avg_price", "realized")
+QUERIES["accounts"] = lambda spark, sf: rounded(backtest.accounts(account_orders(spark, sf)), "account", "seq", "status", "cash", "position", "avg_price", "realized", digits=7)  # fees are multiples of 0.0000025
 QUERIES["attention_scores"] = lambda spark, sf: rounded(backtest.attention_scores(X.base_features(D.day_bars(spark, sf)), ["return_1", "volume_z", "range_ratio"]), "code", "d", "score")
 
 # ---- features -----------------------------------------------------------------------------------
@@ -778,8 +778,9 @@ def _(spark, sf):
     return x.withColumn("adv20", F.round("adv20", 2))
 
 
-ALPHAS = ("alpha_04", "alpha_05", "alpha_07", "alpha_11", "alpha_12", "alpha_20", "alpha_25", "alpha_28", "alpha_41", "alpha_42", "alpha_51", "alpha_54", "alpha_60", "alpha_101")
-QUERIES["alphas"] = lambda spark, sf: rounded(X.alphas(X.base_features(D.day_bars(spark, sf))), "code", "d", *ALPHAS)
+#: Digits of each: products of ranks lie halfway between two fourth digits, money is large.
+ALPHAS = {"alpha_04": 4, "alpha_05": 6, "alpha_07": 4, "alpha_11": 6, "alpha_12": 4, "alpha_20": 4, "alpha_25": 4, "alpha_54": 2, "alpha_60": 2}
+QUERIES["alphas"] = lambda spark, sf: X.alphas(X.base_features(D.day_bars(spark, sf))).select("code", "d", *(F.round(c, n).alias(c) for c, n in ALPHAS.items()))
 
 
 @query("alphas_basic", f"""WITH {BARS}, v AS (SELECT *, sum((high + low + close) / 3 * volume) {over(20)} / nullif(sum(volume) {over(20)}, 0) AS v FROM bars) SELECT code, d, round((sqrt(high * low) - v) / nullif(close, 0), 4) AS alpha_41, round((v - close) / nullif(abs(v + close), 0), 4) AS alpha_42, round((close - open) / (high - low + 1e-3), 4) AS alpha_101,
@@ -798,4 +799,7 @@ def _(spark, sf):
 QUERIES["spectrum"] = lambda spark, sf: rounded(X.spectrum(X.base_features(D.day_bars(spark, sf))), "code", "d", "fft_high", "fft_peak", "fft_entropy")
 QUERIES["strokes"] = lambda spark, sf: X.strokes(D.day_bars(spark, sf))
 
+
+from . import more as _more  # noqa: E402, F401  registers its queries, and needs the names above
+
 SQL |= {name: plain(sql) for name, sql in O.SQL.items()}

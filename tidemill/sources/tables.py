@@ -33,7 +33,10 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def scan_bars(bars: DataFrame, codes=None, start=None, end=None, least_volume: float | None = None, columns=None, key=("code", "d")) -> DataFrame:
-    """Pushed-down scan: codes, closed date range, volume above a bound, projection, one row a key."""
+    """Pushed-down scan: codes, closed date range, volume above a bound, projection, one row a key.
+
+    Of rows that repeat a key the greatest by their other columns, in order, is kept.
+    """
     code, ts = key
     if codes is not None:
         bars = bars.where(F.col(code).isin([codes] if isinstance(codes, str) else list(codes)))
@@ -43,9 +46,12 @@ def scan_bars(bars: DataFrame, codes=None, start=None, end=None, least_volume: f
         bars = bars.where(F.col(ts) <= F.lit(end).cast(dict(bars.dtypes)[ts]))
     if least_volume is not None:
         bars = bars.where(F.col("volume") > least_volume)
-    if columns is not None:
-        bars = bars.select(*columns)
-    return bars.dropDuplicates(list(key))
+    rest = [c for c in bars.columns if c not in key and (columns is None or c in columns)]
+    if rest:
+        bars = bars.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__r")).select(*key, "__r.*")
+    else:
+        bars = bars.select(*key).distinct()
+    return bars.select(*columns) if columns is not None else bars
 
 
 def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
@@ -55,9 +61,16 @@ def read_csv_bars(spark: SparkSession, path: str) -> DataFrame:
     return df.select(symbol.alias("code"), F.to_timestamp("datetime").alias("ts"), *(F.col(c).cast("double").alias(c) for c in ("open", "high", "low", "close")), F.col("volume").cast("double").alias("volume")).distinct()
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str, **options) -> DataFrame:
-    """A relational store; Spark pushes filters and projections into the query."""
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load()
+def read_jdbc(spark: SparkSession, url: str, query: str, by: str | None = None, lower=None, upper=None, parts: int = 1, **options) -> DataFrame:
+    """A relational store; Spark pushes filters and projections into the query.
+
+    With ``by``, a number or time column, the range from ``lower`` to ``upper``
+    is read by ``parts`` tasks at once, and rows outside it by the outer ones.
+    """
+    reader = spark.read.format("jdbc").options(url=url, dbtable=f"({query}) q", **options)
+    if by is not None:
+        reader = reader.options(partitionColumn=by, lowerBound=str(lower), upperBound=str(upper), numPartitions=str(parts))
+    return reader.load()
 
 
 def read_sections(spark: SparkSession, path: str) -> DataFrame:

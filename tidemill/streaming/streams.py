@@ -84,10 +84,42 @@ def collect_available(stream: DataFrame, name: str, checkpoint: str, mode: str =
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, keys: list[str], seq: str):
-    """Upsert each batch into a Parquet table, exactly once for each batch: a batch writes its own folder."""
+    """Upsert a stream into a Parquet table, exactly once: a batch replaces its own folder with its last row of each key.
+
+    ``read_batches`` gives the table's rows: the last of each key over all batches.
+    """
     from ..operators.bars import latest
 
     def save(batch: DataFrame, number: int) -> None:
         latest(batch, keys, seq).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_batches(spark: SparkSession, path: str, keys: list[str], seq: str) -> DataFrame:
+    """The table that ``write_batches`` keeps: of each key the row with the largest ``seq``, of equal ones the later batch's."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in keys and c != "batch"]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(seq, "batch")).alias("r"))
+    return best.select(*keys, "r.*")
+
+
+def available_rows(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run over what is there now, batch by batch, and read the results from the session's checkpoint folder.
+
+    In complete mode each batch replaces the table; in update and append mode
+    batches add to it, with their numbers in column ``batch``.
+    """
+    import uuid
+
+    spark = stream.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        raise ValueError("spark.checkpoint.dir must be set")
+    path = f"{base}/stream-{uuid.uuid4().hex}"
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows" if mode == "complete" else f"{path}/rows/batch={number}")
+
+    stream.writeStream.foreachBatch(save).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/rows")
