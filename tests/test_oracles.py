@@ -17,4 +17,4 @@ def test_query_equals_its_sql(spark, name):
 
 def test_every_other_query_has_its_own_test():
     """What SQL does not say is held against other computations in test_paths.py and test_rules.py."""
-    assert set(queries.QUERIES) - set(queries.SQL) == {"hilbert", "longest_sequences", "monte_carlo", "portfolio_weights", "factor_exposures", "attention_scores"}
+    assert set(queries.QUERIES) - set(queries.SQL) == {"hilbert", "longest_sequences", "monte_carlo", "portfolio_weights", "factor_exposures", "attention_scores", "backtest_runs"}

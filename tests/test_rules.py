@@ -101,3 +101,50 @@ def test_drawdown(spark):
     df = spark.createDataFrame([("x", i, float(v)) for i, v in enumerate([100_000, 105_000, 90_000, 95_000])], "code string, d int, equity double")
     row = risk.drawdown(df, "equity").where("d = 2").first().asDict()
     assert any(v == pytest.approx(15 / 105) or v == pytest.approx(-15 / 105) for v in row.values() if isinstance(v, float))
+
+
+def test_runs_of_accounts_equal_a_plain_ledger(spark):
+    from tidemill.operators.backtest import run_accounts
+
+    rng = np.random.default_rng(7)
+    rows = []
+    for a in ("p", "q"):
+        for d in range(40):
+            for c in "abcdef":
+                if rng.random() < 0.9:
+                    o, z = float(rng.uniform(5, 15)), float(rng.uniform(5, 15))
+                    rows.append((a, d, c, o, z, float(rng.integers(0, 4)), 14.0, 6.0, float(rng.choice([0.0, 0.3]))))
+    df = spark.createDataFrame(rows, "account string, d int, code string, open double, close double, volume double, limit_up double, limit_down double, weight double")
+    got = {(r.account, r.d): r for r in run_accounts(df.repartition(5), 10_000.0, 10.0, 0.01, 0.001, 2.0, 0.001).collect()}
+    refused = 0
+    for a in ("p", "q"):
+        cash, amount, price = 10_000.0, {c: 0.0 for c in "abcdef"}, {}
+        for d in range(40):
+            today = {r[2]: r for r in rows if r[0] == a and r[1] == d}
+            worth = cash + sum(n * price[c] for c, n in amount.items() if n)
+            fees = 0.0
+            for c in sorted(today):
+                r, sale = today[c], today[c][3] * 0.99
+                if amount[c] and r[8] == 0:
+                    if r[5] == 0 or sale <= r[7]:
+                        refused += 1
+                        continue
+                    fee = max(2.0, amount[c] * sale * 0.001) + amount[c] * sale * 0.001
+                    cash, fees, amount[c] = cash + amount[c] * sale - fee, fees + fee, 0.0
+            for c in sorted(today):
+                r, buy = today[c], today[c][3] * 1.01
+                if r[8] and not amount[c]:
+                    if r[5] == 0 or buy >= r[6]:
+                        refused += 1
+                        continue
+                    n = np.floor(min(r[8] * worth, cash) / (buy * 10)) * 10
+                    while n > 0 and n * buy + max(2.0, n * buy * 0.001) > cash:
+                        n -= 10
+                    if n > 0:
+                        fee = max(2.0, n * buy * 0.001)
+                        cash, fees, amount[c] = cash - n * buy - fee, fees + fee, n
+            price |= {c: r[4] for c, r in today.items()}
+            r = got[a, d]
+            assert (r.cash, r.fees, r.held) == (pytest.approx(cash), pytest.approx(fees), sum(n > 0 for n in amount.values()))
+            assert r.equity == pytest.approx(cash + sum(n * price[c] for c, n in amount.items() if n)) and r.cash >= 0
+    assert sum(r.refused for r in got.values()) == refused > 10

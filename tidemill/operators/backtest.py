@@ -71,6 +71,88 @@ def accounts(orders: DataFrame, cash: float = 1_000_000.0, rate: float = 0.00025
     return orders.repartition(account).sortWithinPartitions(account, seq).mapInArrow(run, schema)
 
 
+def run_accounts(rows: DataFrame, cash: float = 1_000_000.0, lot: float = 100.0, slip: float = 0.0, rate: float = 0.0003, least: float = 0.0, duty: float = 0.001, account: str = "account", ts: str = "d", code: str = "code") -> DataFrame:
+    """(account, d, cash, equity, held, bought, sold, fees, refused): the run of each account through its bars.
+
+    rows: account, d, code, open, close, volume, limit_up, limit_down and
+    ``weight``, the share of equity that the row's code shall have that day
+    (null or 0: none), as decided before.  In order of code, what is no longer
+    wanted is sold at the open and what is wanted anew is bought in whole lots
+    for weight x the equity at the last closes, as far as cash goes.  Prices
+    slip against the account; suspended bars (no volume) do not trade, buys
+    are refused at the upper limit and sales at the lower.  Held codes without
+    a bar keep their last close.  An account is a parameter set: Spark deals
+    accounts out, and each is a sorted stream of days that holds its positions
+    and one day's bars alone.
+    """
+    kinds = dict(rows.dtypes)
+    columns = ("cash", "equity", "held", "bought", "sold", "fees", "refused")
+    schema = f"`{account}` {kinds[account]}, `{ts}` {kinds[ts]}, " + ", ".join(f"{c} double" for c in columns)
+
+    def day(state, bars):
+        held, last, money = state["held"], state["last"], state["cash"]
+        equity = money + sum(n * last[c] for c, n in held.items())
+        bought = sold = fees = refused = 0.0
+        for c, open_, _, volume, _, low, weight in bars:
+            if c in held and not weight:
+                price = open_ * (1 - slip)
+                if volume <= 0 or low and price <= low:
+                    refused += 1
+                    continue
+                worth = held.pop(c) * price
+                fee = max(worth * rate, least) + worth * duty
+                money, sold, fees = money + worth - fee, sold + worth, fees + fee
+        for c, open_, _, volume, high, _, weight in bars:
+            if weight and c not in held:
+                price = open_ * (1 + slip)
+                if volume <= 0 or high and price >= high:
+                    refused += 1
+                    continue
+                n = min(weight * equity, money, money / (1 + rate), money - least) // (price * lot) * lot
+                if n > 0:
+                    worth = n * price
+                    fee = max(worth * rate, least)
+                    held[c], money, bought, fees = n, money - worth - fee, bought + worth, fees + fee
+        for c, _, close, *_ in bars:
+            last[c] = close
+        for c in [c for c in last if c not in held]:
+            del last[c]
+        state["cash"] = money
+        return money, money + sum(n * last[c] for c, n in held.items()), float(len(held)), bought, sold, fees, refused
+
+    def run(batches):
+        now = when = state = None
+        bars: list[tuple] = []
+        out: list[tuple] = []
+        for batch in batches:
+            for who, at, *bar in zip(*(batch.column(c).to_pylist() for c in (account, ts, code, "open", "close", "volume", "limit_up", "limit_down", "weight"))):
+                if state is None or who != now or at != when:
+                    if bars:
+                        out.append((now, when, *day(state, bars)))
+                        bars = []
+                    if state is None or who != now:
+                        state = {"cash": cash, "held": {}, "last": {}}
+                    now, when = who, at
+                bars.append(tuple(bar))
+            if len(out) > 10_000:
+                yield to_batch(out)
+                out = []
+        if bars:
+            out.append((now, when, *day(state, bars)))
+        if out:
+            yield to_batch(out)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    made = to_arrow_schema(StructType.fromDDL(schema))
+
+    def to_batch(found):
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), made)], schema=made)
+
+    return rows.repartition(account).sortWithinPartitions(account, ts, code).mapInArrow(run, schema)
+
+
 def attention_scores(bars: DataFrame, features: list[str], window: int = 32, weights: list[float] | None = None, temperature: float = 1.0, hidden: int = 8, decay: float = 0.7, code: str = "code", ts: str = "d") -> DataFrame:
     """bars with ``score``: a recurrent state fed by attention over the last ``window`` feature rows.
 

@@ -46,11 +46,50 @@ def can_trade(side, fill) -> Column:
     return F.when(F.col("volume") <= 0, "suspended").when((F.col(side) == "BUY") & (fill >= F.col("limit_up")) & (F.col("limit_up") > 0), "limit_up").when((F.col(side) == "SELL") & (fill <= F.col("limit_down")) & (F.col("limit_down") > 0), "limit_down").otherwise("ok")
 
 
-def impact(value, volume, price, volatility, model: str = "square_root", k: float = 0.1) -> Column:
-    """Expected cost of a trade per share, at most 5% of the price."""
-    part = F.col(value) / F.nullif(F.col(volume) * F.col(price), F.lit(0.0))
-    cost = {"none": F.lit(0.0), "square_root": k * F.col(volatility) * F.sqrt(part), "linear": k * part, "almgren_chriss": k * F.col(volatility) * F.pow(part, 0.6) + 0.1 * k * part}[model] * F.col(price)
-    return F.least(F.greatest(F.coalesce(cost, F.lit(0.0)), F.lit(0.0)), 0.05 * F.col(price))
+def impact(value, volume, price, volatility, model: str = "square_root", k: float = 0.1, part: float = 0.15, gamma: float = 0.05, eta: float = 0.1) -> Column:
+    """Expected cost of a trade per share, at most 5% of the price; ``part`` is the largest share of volume that is thought viable."""
+    share = F.least(F.col(value) / F.greatest(F.col(volume) * F.col(price), F.lit(1.0)), F.lit(1.0))
+    cost = {
+        "none": F.lit(0.0), "square_root": k * F.col(volatility) * F.sqrt(share / part), "linear": k * F.col(volatility) * share,
+        "almgren_chriss": F.col(volatility) * (gamma + eta * F.sqrt(share / 0.01)),
+    }[model]
+    bounded = F.least(F.greatest(cost * part * F.col(price), F.lit(0.0)), 0.05 * F.col(price))
+    return F.when((F.col(volume) > 0) & (F.col(value) > 0), bounded).otherwise(0.0)
+
+
+def walked_impact(bars, total_bars, temporary: float = 0.0002) -> Column:
+    """Temporary impact left when an order is worked over ``bars`` of ``total_bars`` bars."""
+    return F.when(F.col(total_bars) <= 1, temporary * 0.5).otherwise(temporary * (0.5 + 0.5 / F.greatest(F.col(bars), F.lit(1))))
+
+
+def in_windows(ts, windows: list[tuple[str, str]]) -> Column:
+    """Whether a time of day lies in one of the closed windows (HH:mm, HH:mm); without windows it does."""
+    clock = F.date_format(ts, "HH:mm:ss.SSSSSS")
+    out = F.lit(not windows)
+    for a, b in windows:
+        out = out | clock.between(f"{a}:00.000000", f"{b}:00.000000")
+    return out
+
+
+def suspensions(bars: DataFrame, calendar: DataFrame, by: str = "code", ts: str = "d") -> DataFrame:
+    """(code, d, reason): trade days in a code's life without a bar (missing) or with one of no volume (no_volume)."""
+    at = calendar.select(F.col("d").alias("__t"), F.col("idx").alias("__at"))
+    life = bars.groupBy(by).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
+    ends = life.join(at.toDF("__a", "__i"), "__a").join(at.toDF("__b", "__j"), "__b")
+    days = ends.select(by, F.explode(F.sequence("__i", "__j")).alias("__at")).join(at, "__at").select(by, F.col("__t").alias(ts))
+    j = days.join(bars.select(by, ts, "volume"), [by, ts], "left")
+    reason = F.when(F.col("volume").isNull(), "missing").when(F.col("volume") == 0, "no_volume")
+    return j.select(by, ts, reason.alias("reason")).where("reason is not null")
+
+
+def pending(orders: DataFrame, done=("FILLED", "CANCELLED", "REJECTED"), status: str = "status") -> DataFrame:
+    """Orders that still wait; a null status waits."""
+    return orders.where(F.col(status).isNull() | ~F.col(status).isin(*done))
+
+
+def settled(positions: DataFrame) -> DataFrame:
+    """Positions (.., held_before, held_today, frozen) after the day's settlement: today's become earlier ones, nothing is frozen."""
+    return positions.withColumns({"held_before": F.col("held_before") + F.col("held_today"), "held_today": F.lit(0.0), "frozen": F.lit(0.0)})
 
 
 def commission(price, amount, rate: float = 0.00025, least: float = 5.0, duty: float = 0.001, side: str = "side") -> Column:
@@ -77,10 +116,19 @@ def account_equity(positions: DataFrame, prices: DataFrame) -> DataFrame:
     return j.groupBy("account").agg((F.first("cash") + F.sum(F.col("quantity") * F.coalesce("__p", "avg_price"))).alias("equity"))
 
 
-def regime(signals: DataFrame, by: str = "d") -> DataFrame:
-    """(by, breadth, event, gate): share of rising signals, mean event score, whether both allow risk."""
-    s = signals.groupBy(by).agg(F.avg((F.col("signal") > 0).cast("double")).alias("breadth"), F.avg("event").alias("event"))
-    return s.withColumn("gate", (F.col("breadth") >= 0.5) & (F.col("event") >= 0))
+def regime(signals: DataFrame, by: str = "d", breadth: float = 0.5, event: float = 0.0, volume: float = 0.0, score: float = 0.0) -> DataFrame:
+    """(by, breadth, event, activity, score, gate) of rows (by, signal, event, active, volume_score).
+
+    breadth: share of rising signals; event and volume: means of what is above
+    0; activity: share of active rows.  score weighs what lies above the
+    thresholds; the gate is open if each threshold is met and a fifth is active.
+    """
+    above = lambda c: F.avg(F.greatest(F.col(c), F.lit(0.0)))
+    s = signals.groupBy(by).agg(F.avg((F.col("signal") > 0).cast("double")).alias("breadth"), above("event").alias("event"), above("volume_score").alias("volume"), F.avg(F.col("active").cast("double")).alias("activity"))
+    over = lambda c, bound: F.greatest(F.col(c) - bound, F.lit(0.0))
+    s = s.withColumn("score", over("breadth", breadth) * 0.7 + over("event", event) * 0.9 + over("volume", volume) * 0.5 + F.col("activity") * 0.15)
+    met = (F.col("breadth") >= breadth) & (F.col("event") >= event) & (F.col("volume") >= volume)
+    return s.withColumn("gate", met & (F.col("activity") >= 0.2) & (F.col("score") >= score))
 
 
 def cross_section_z(rows: DataFrame, x: str, by: str = "d") -> DataFrame:

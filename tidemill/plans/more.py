@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, sessions as N
-from ..operators import backtest
+from ..operators import backtest, market as M
 from ..sources import catalog as C, tables as D
 from ..streaming import streams as Z
 from . import oracles as O
@@ -237,6 +237,74 @@ def _(spark, sf):
     return rounded(backtest.ranking(_history(spark, sf), 20, 3))
 
 
+# ---- market rules and runs ----------------------------------------------------------------------
+
+
+@query("suspensions", f"""WITH {TRADES}, {CAL}, b AS (SELECT code, d, CASE WHEN count(*) > 1 THEN sum(volume) ELSE 0 END AS volume FROM trades WHERE d IN (SELECT d FROM cal) GROUP BY 1, 2), l AS (SELECT code, min(d) AS a, max(d) AS z FROM b GROUP BY 1), g AS (SELECT code, cal.d FROM l JOIN cal ON cal.d BETWEEN a AND z)
+SELECT g.code, g.d, CASE WHEN b.volume IS NULL THEN 'missing' ELSE 'no_volume' END AS reason FROM g LEFT JOIN b ON g.code = b.code AND g.d = b.d WHERE b.volume IS NULL OR b.volume = 0""")
+def _(spark, sf):
+    cal = D.calendar(spark, sf)
+    b = D.trades(spark, sf).join(cal.select("d"), "d", "left_semi").groupBy("code", "d").agg(F.when(F.count("*") > 1, F.sum("volume")).otherwise(0.0).alias("volume"))
+    return M.suspensions(b, cal)
+
+
+@query("trade_windows", "SELECT event_id, CAST(ts AS TIME) BETWEEN TIME '09:30:00' AND TIME '11:30:00' OR CAST(ts AS TIME) BETWEEN TIME '13:00:00' AND TIME '15:00:00' AS open FROM events")
+def _(spark, sf):
+    return D.table(spark, sf, "events").select("event_id", M.in_windows("ts", [("09:30", "11:30"), ("13:00", "15:00")]).alias("open"))
+
+
+IMPACT = "CASE WHEN volume > 0 THEN least(greatest({0} * 0.15 * close, 0), 0.05 * close) ELSE 0 END"
+_share = "least(100000.0 / greatest(volume * close, 1), 1)"
+
+
+@query("impact_costs", f"""WITH {BARS}, v AS (SELECT code, d, close, volume, stddev_samp(r) OVER ({PER} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS s FROM (SELECT *, close / {lag('close')} - 1 AS r FROM bars))
+SELECT code, d, round({IMPACT.format(f'0.1 * s * sqrt({_share} / 0.15)')}, 4) AS square_root, round({IMPACT.format(f'0.1 * s * {_share}')}, 4) AS linear, round({IMPACT.format(f's * (0.05 + 0.1 * sqrt({_share} / 0.01))')}, 4) AS almgren, round(0.0002 * (0.5 + 0.5 / greatest(day(d) % 5, 1)), 6) AS walked FROM v WHERE s IS NOT NULL""")
+def _(spark, sf):
+    w = Window.partitionBy("code").orderBy("d")
+    b = D.day_bars(spark, sf).withColumn("r", F.col("close") / F.lag("close").over(w) - 1)
+    b = b.withColumns({"s": F.stddev_samp("r").over(w.rowsBetween(-19, 0)), "value": F.lit(100_000.0), "k": F.dayofmonth("d") % 5, "all": F.lit(5)}).where("s is not null")
+    cost = lambda m: F.round(M.impact("value", "volume", "close", "s", m), 4)
+    return b.select("code", "d", cost("square_root").alias("square_root"), cost("linear").alias("linear"), cost("almgren_chriss").alias("almgren"), F.round(M.walked_impact("k", "all"), 6).alias("walked"))
+
+
+@query("market_regime", f"""WITH {BARS}, s AS (SELECT d, close / {lag('close')} - 1 AS signal, (close - open) / open AS event, volume > 700 AS active, volume / 1000 - 1 AS vs FROM bars), g AS (SELECT d, avg(CASE WHEN signal > 0 THEN 1.0 ELSE 0 END) AS breadth, avg(greatest(event, 0)) AS event, avg(greatest(vs, 0)) AS volume, avg(CASE WHEN active THEN 1.0 ELSE 0 END) AS activity FROM s WHERE signal IS NOT NULL GROUP BY 1)
+SELECT d, round(breadth, 4) AS breadth, round(event, 4) AS event, round(activity, 4) AS activity, round(greatest(breadth - 0.5, 0) * 0.7 + greatest(event - 0.1, 0) * 0.9 + greatest(volume - 0.05, 0) * 0.5 + activity * 0.15, 7) AS score, breadth >= 0.5 AND event >= 0.1 AND volume >= 0.05 AND activity >= 0.2 AND greatest(breadth - 0.5, 0) * 0.7 + greatest(event - 0.1, 0) * 0.9 + greatest(volume - 0.05, 0) * 0.5 + activity * 0.15 >= 0.3 AS gate FROM g""")
+def _(spark, sf):
+    w = Window.partitionBy("code").orderBy("d")
+    s = D.day_bars(spark, sf).select("d", (F.col("close") / F.lag("close").over(w) - 1).alias("signal"), ((F.col("close") - F.col("open")) / F.col("open")).alias("event"), (F.col("volume") > 700).alias("active"), (F.col("volume") / 1000 - 1).alias("volume_score"))
+    m = M.regime(s.where("signal is not null"), "d", 0.5, 0.1, 0.05, 0.3)
+    return m.select("d", *(F.round(c, 4).alias(c) for c in ("breadth", "event", "activity")), F.round("score", 7).alias("score"), "gate")
+
+
+@query("pending_orders", "SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_orderstatus NOT IN ('F')")
+def _(spark, sf):
+    return M.pending(D.table(spark, sf, "orders").select("o_orderkey", F.col("o_orderstatus").alias("status")), ("F",))
+
+
+@query("settled_positions", f"WITH {TRADES} SELECT code, sum(CASE WHEN d < DATE '1998-01-01' THEN volume ELSE 0 END) + sum(CASE WHEN d >= DATE '1998-01-01' THEN volume ELSE 0 END) AS held_before, 0.0 AS held_today, 0.0 AS frozen FROM trades GROUP BY 1")
+def _(spark, sf):
+    late = F.col("d") >= F.lit("1998-01-01").cast("date")
+    p = D.trades(spark, sf).groupBy("code").agg(F.sum(F.when(~late, F.col("volume")).otherwise(0.0)).alias("held_before"), F.sum(F.when(late, F.col("volume")).otherwise(0.0)).alias("held_today"), F.lit(3.0).alias("frozen"))
+    return M.settled(p)
+
+
+def ranked_rows(spark, sf):
+    """Supplier by month as bars of three accounts, that want the 3, 5 and 10 codes with the least mean discount of the month before."""
+    t = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "month").alias("d"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("p"), "l_quantity", "l_discount", F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("at"))
+    b = t.groupBy("code", "d").agg(F.min_by("p", "at").alias("open"), F.max_by("p", "at").alias("close"), F.sum("l_quantity").alias("volume"), F.avg("l_discount").alias("score"))
+    w = Window.partitionBy("code").orderBy("d")
+    b = b.withColumns({"before": F.lag("close").over(w), "wish": F.lag("score").over(w)})
+    place = F.row_number().over(Window.partitionBy("d").orderBy(F.col("wish").asc_nulls_last(), "code"))
+    b = b.withColumns({"place": F.when(F.col("wish").isNotNull(), place), "limit_up": F.round(F.col("before") * 1.6, 2), "limit_down": F.round(F.col("before") * 0.5, 2)})
+    sets = F.explode(F.array(*(F.struct(F.lit(f"best {k}").alias("account"), F.lit(k).alias("k")) for k in (3, 5, 10))))
+    return b.withColumn("s", sets).select("s.account", "code", "d", "open", "close", "volume", "limit_up", "limit_down", F.when(F.col("place") <= F.col("s.k"), 1 / F.col("s.k")).otherwise(0.0).alias("weight"))
+
+
+@query("backtest_runs")
+def _(spark, sf):
+    return rounded(backtest.run_accounts(ranked_rows(spark, sf), lot=1.0, slip=0.001), digits=2)
+
+
 # ---- SQL of queries registered elsewhere --------------------------------------------------------
 
 O.SQL["portfolio_risk"] = f"""WITH {MONTHS}, x AS (SELECT 'a' || (dense_rank() OVER (ORDER BY code) - 1) AS asset, d, ret FROM r), cv AS (SELECT x.asset AS i, y.asset AS j, covar_pop(x.ret, y.ret) AS c FROM x JOIN x y ON x.d = y.d AND x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2),
