@@ -128,3 +128,57 @@ def grid_search(rows: DataFrame, score, grid: dict[str, list]) -> DataFrame:
 
     made = [score(rows, **dict(zip(grid, values))).select(F.lit(repr(dict(zip(grid, values)))).alias("params"), "score") for values in itertools.product(*grid.values())]
     return reduce(DataFrame.unionByName, made).orderBy(F.desc_nulls_last("score"), "params")
+
+
+def ic_statistics(daily: DataFrame, x: str = "ic", periods: int = 252) -> DataFrame:
+    """One row (n, mean, sd, ir, t, positive) of daily coefficients: ir is annualised by ``periods``."""
+    s = daily.where(F.col(x).isNotNull()).agg(F.count("*").alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"), F.avg((F.col(x) > 0).cast("double")).alias("positive"))
+    ratio = F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))
+    return s.select("n", "mean", "sd", (ratio * periods**0.5).alias("ir"), (ratio * F.sqrt("n")).alias("t"), "positive")
+
+
+def inflation(rows: DataFrame, factors: list[str]) -> dict[str, float]:
+    """Variance inflation of each factor by the others, from their correlations over complete rows; Spark sums, the driver inverts k x k."""
+    good = rows.where(" and ".join(f"`{f}` is not null" for f in factors))
+    pairs = [(i, j) for i in range(len(factors)) for j in range(i)]
+    row = good.agg(F.count("*").alias("n"), *(corr(factors[i], factors[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    matrix = np.eye(len(factors))
+    for i, j in pairs:
+        matrix[i, j] = matrix[j, i] = row[f"c{i}_{j}"] or 0.0
+    return dict(zip(factors, np.diag(np.linalg.pinv(matrix)).tolist()))
+
+
+def dummies(rows: DataFrame, x: str, values: list) -> DataFrame:
+    """``rows`` with a 0/1 column ``x_value`` for each of the values (of a group or an industry)."""
+    return rows.withColumns({f"{x}_{v}": (F.coalesce(F.col(x) == v, F.lit(False))).cast("int") for v in values})
+
+
+def block_turnover(bars: DataFrame, members: DataFrame, shares: DataFrame, by: str = "d", code: str = "code") -> DataFrame:
+    """(block, d, turnover): volume traded in a block's members over their shares; with one code a block, a stock's own."""
+    j = bars.select(code, by, "volume").join(shares.select(code, "shares"), code).join(members.select("block", code), code)
+    return j.groupBy("block", by).agg((F.sum("volume") / F.nullif(F.sum("shares"), F.lit(0.0))).alias("turnover"))
+
+
+def register(factors: DataFrame, path: str, version: int) -> DataFrame:
+    """Store factor values (name, code, d, value) as a version in a table; of one key the last version counts."""
+    from ..sources.sinks import upsert
+
+    return upsert(factors.select("name", "code", "d", "value"), path, ["name", "code", "d"], version)
+
+
+def unregister(spark, path: str, name: str, version: int) -> DataFrame:
+    """The factor table without a factor: its rows are rewritten as deleted (null) in a new version, and left out on reading."""
+    from ..sources.sinks import read_latest, upsert
+
+    gone = read_latest(spark, path, ["name", "code", "d"]).where(F.col("name") == name).withColumn("value", F.lit(None).cast("double"))
+    return upsert(gone.select("name", "code", "d", "value"), path, ["name", "code", "d"], version).where("value is not null")
+
+
+def factor_names(stored: DataFrame) -> DataFrame:
+    """(name, n, first, last) of the stored factors."""
+    return stored.where("value is not null").groupBy("name").agg(F.count("*").alias("n"), F.min("d").alias("first"), F.max("d").alias("last"))
+
+
+def factor_values(stored: DataFrame, names: list[str]) -> DataFrame:
+    """One column a factor, by code and day."""
+    return stored.where(F.col("name").isin(names)).groupBy("code", "d").pivot("name", names).agg(F.first("value"))

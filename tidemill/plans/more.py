@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates, sessions as N
-from ..operators import backtest, market as M
+from ..operators import backtest, factors as Q, market as M
 from ..sources import catalog as C, tables as D
 from ..streaming import streams as Z
 from . import oracles as O
-from .queries import BARS, CAL, MONTHS, PER, TICKS, TRADES, lag, over, query, rounded
+from .queries import BARS, CAL, FACTOR, MONTHS, PER, TICKS, TRADES, factor_rows, lag, over, query, rounded
 
 # ---- fetching -----------------------------------------------------------------------------------
 
@@ -305,6 +305,70 @@ def _(spark, sf):
     return rounded(backtest.run_accounts(ranked_rows(spark, sf), lot=1.0, slip=0.001), digits=2)
 
 
+# ---- factors ------------------------------------------------------------------------------------
+
+IC = f"WITH {FACTOR}, p AS (SELECT * FROM f WHERE factor IS NOT NULL AND ret IS NOT NULL), q AS (SELECT d, corr(factor, ret) AS ic FROM p GROUP BY 1 HAVING count(*) > 2)"
+
+
+@query("ic_statistics", f"{IC} SELECT count(*) AS n, round(avg(ic), 4) AS mean, round(stddev_samp(ic), 4) AS sd, round(avg(ic) / stddev_samp(ic) * sqrt(12), 4) AS ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(*)), 4) AS t, round(avg(CASE WHEN ic > 0 THEN 1.0 ELSE 0 END), 4) AS positive FROM q WHERE isfinite(ic)")
+def _(spark, sf):
+    return rounded(Q.ic_statistics(Q.ic(factor_rows(spark, sf)).where("n > 2"), periods=12))
+
+
+@query("factor_inflation", f"WITH {FACTOR}, c AS (SELECT corr(factor, size) AS r FROM f) SELECT unnest(['factor', 'size']) AS factor, round(1 / (1 - r * r), 6) AS vif FROM c")
+def _(spark, sf):
+    found = Q.inflation(factor_rows(spark, sf), ["factor", "size"])
+    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "factor string, vif double")
+
+
+@query("industry_dummies", "SELECT s_suppkey AS code, n_regionkey AS region, " + ", ".join(f"CAST(n_regionkey = {k} AS INT) AS region_{k}" for k in range(5)) + " FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+def _(spark, sf):
+    s = D.table(spark, sf, "supplier").join(F.broadcast(D.table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey"))
+    return Q.dummies(s.select(F.col("s_suppkey").alias("code"), F.col("n_regionkey").alias("region")), "region", list(range(5)))
+
+
+TURN = "m AS (SELECT DISTINCT s_nationkey AS block, s_suppkey AS code FROM supplier), h AS (SELECT ps.code, 1000.0 + ps.code AS shares FROM (SELECT DISTINCT code FROM trades) ps)"
+
+
+@query("block_turnover", f"WITH {TRADES}, {TURN}, b AS (SELECT code, d, sum(volume) AS volume FROM trades GROUP BY 1, 2) SELECT block, d, round(sum(volume) / sum(shares), 6) AS turnover FROM b JOIN h USING (code) JOIN m USING (code) GROUP BY 1, 2")
+def _(spark, sf):
+    t = D.trades(spark, sf)
+    members = D.table(spark, sf, "supplier").select(F.col("s_nationkey").alias("block"), F.col("s_suppkey").alias("code"))
+    shares = t.select("code").distinct().withColumn("shares", 1000.0 + F.col("code"))
+    return rounded(Q.block_turnover(t.groupBy("code", "d").agg(F.sum("volume").alias("volume")), members, shares), digits=6)
+
+
+@query("stock_turnover", f"WITH {TRADES} SELECT code AS block, d, round(sum(volume) / (1000.0 + code), 6) AS turnover FROM trades GROUP BY code, d")
+def _(spark, sf):
+    t = D.trades(spark, sf)
+    codes = t.select("code").distinct()
+    return rounded(Q.block_turnover(t.groupBy("code", "d").agg(F.sum("volume").alias("volume")), codes.withColumn("block", F.col("code")), codes.withColumn("shares", 1000.0 + F.col("code"))), digits=6)
+
+
+def _store(spark, sf):
+    """Two versions of two factors in a table of the checkpoint folder."""
+    import uuid
+
+    _folder(spark)
+    path = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/factors-{uuid.uuid4().hex}"
+    f = factor_rows(spark, sf)
+    named = lambda n, x: f.select(F.lit(n).alias("name"), "code", "d", F.col(x).cast("double").alias("value"))
+    Q.register(named("discount", "factor").union(named("size", "size")), path, 1)
+    return Q.register(named("size", "size").withColumn("value", F.col("value") * 2), path, 2), path
+
+
+@query("factor_store", f"WITH {FACTOR} SELECT code, d, round(factor, 6) AS discount, round(size * 2, 6) AS size FROM f")
+def _(spark, sf):
+    stored, _ = _store(spark, sf)
+    return rounded(Q.factor_values(stored, ["discount", "size"]), digits=6)
+
+
+@query("factor_registry", f"WITH {FACTOR} SELECT 'discount' AS name, count(*) AS n, min(d) AS first, max(d) AS last FROM f")
+def _(spark, sf):
+    _, path = _store(spark, sf)
+    return Q.factor_names(Q.unregister(spark, path, "size", 3))
+
+
 # ---- SQL of queries registered elsewhere --------------------------------------------------------
 
 O.SQL["portfolio_risk"] = f"""WITH {MONTHS}, x AS (SELECT 'a' || (dense_rank() OVER (ORDER BY code) - 1) AS asset, d, ret FROM r), cv AS (SELECT x.asset AS i, y.asset AS j, covar_pop(x.ret, y.ret) AS c FROM x JOIN x y ON x.d = y.d AND x.ret IS NOT NULL AND y.ret IS NOT NULL GROUP BY 1, 2),
