@@ -62,3 +62,9 @@ def test_stored_column_and_its_index(spark):
     rows = media_ts.index(media).orderBy("doc_id", "unit").collect()
     assert [(r.doc_id, r.unit, r.entry) for r in rows] == [(1, 0, True), (1, 1, False), (1, 2, False), (2, 0, True)]
     assert media.agg(F.sum("n_bytes")).first()[0] == 20_000
+
+
+def test_index_of_null_streams_and_text_ids(spark):
+    media = media_ts.store(spark.createDataFrame([("a", "x" * 5000), ("b", None)], "doc_id string, text string"))
+    assert media_ts.index(media).groupBy("doc_id").count().count() == 2
+    assert media_ts.index(media.withColumn("media", F.lit(None).cast("binary"))).count() == 0

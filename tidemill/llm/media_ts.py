@@ -188,10 +188,16 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def index(media: DataFrame) -> DataFrame:
-    """One row for each unit of (doc_id, media): doc_id, unit, time, entry (can be entered at random)."""
+    """One row for each unit of (doc_id, media): doc_id, unit, time, entry (can be entered at random).
+
+    A null stream has no units; a damaged one raises.
+    """
     kind = dict(media.dtypes)["doc_id"]
 
     def rows(doc_id, stream):
+        if stream is None:
+            return
+        doc_id = doc_id.decode() if isinstance(doc_id, bytes) else doc_id
         read = demux(stream)
         for k, (time, entry) in enumerate(zip(read["times"], read["entries"])):
             yield doc_id, k, time, entry
@@ -200,23 +206,22 @@ def index(media: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: sizes and digests of the payload read back and of the stored stream, and features.
+    """Per row: sizes and digests of the payload read back from ``store``'s column and of the stored stream, and features.
 
     A null text is empty and stored as one padded block.  Each row stands for
     itself, so repeated rows repeat and equal texts have equal values.
     """
-    kind = dict(docs.dtypes)[id_col]
+    media = store(docs, id_col, text_col)
+    kind = dict(media.dtypes)["doc_id"]
 
-    def rows(doc_id, text):
-        text = text or b""
-        media = mux(pad(text))
-        read = demux(media)
+    def rows(doc_id, n_bytes, stream):
+        read = demux(stream)
         payload = read["payload"]
         feature = f"streams={','.join(f'{p}:{t}' for p, t in sorted(read['streams'].items()))} packets={read['packets']} gaps={read['gaps']} units={len(read['times'])} entries={sum(read['entries'])} from={read['times'][0]} to={read['times'][-1]}"
         yield (
-            doc_id.decode() if isinstance(doc_id, bytes) else doc_id, len(text), len(payload), hashlib.sha256(payload).hexdigest(),
-            zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature,
+            doc_id.decode() if isinstance(doc_id, bytes) else doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(),
+            zlib.crc32(payload[-32:]), len(stream), hashlib.sha256(stream).hexdigest(), feature,
         )
 
     schema = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return per_row(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), ["doc_id", "text"], schema, rows)
+    return per_row(media, ["doc_id", "n_bytes", "media"], schema, rows)
