@@ -168,7 +168,7 @@ def _folder(spark):
     from tempfile import mkdtemp
 
     if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not f"{spark.sparkContext.master}[".startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         spark.sparkContext.setCheckpointDir(mkdtemp(prefix="spark-"))
 
