@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat_trees, decontaminate, langid, line_dedup, media_ts, mixing, quality, simhash, substring_dedup, suffix_dedup
+from . import chat_trees, decontaminate, hard_negatives, langid, line_dedup, media_ts, mixing, packing, quality, simhash, substring_dedup, suffix_dedup, vector_codes
 from ._base import table
 
 
@@ -49,6 +49,21 @@ def op10_simhash_groups(spark, sf_dir):
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark, sf_dir):
+    vectors, id_ = table(spark, sf_dir, "embeddings"), F.col("vec_id")
+    moved = vectors.withColumn("label", F.when(id_ % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.hard_negatives(moved, id_ % 100 == 0)
+
+
+def op12_packed_sequences(spark, sf_dir):
+    cut = packing.pieces(table(spark, sf_dir, "documents"))
+    return packing.place(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op13_vector_codes(spark, sf_dir):
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -81,5 +96,32 @@ FROM c GROUP BY conv_id, trial
 """
 
 
+OP11_SQL = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a, e b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5),
+n AS (SELECT p.a, p.b AS positive, p.score AS positive_score, s.b AS negative, s.score AS negative_score, row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS r
+  FROM p JOIN s ON p.a = s.a AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT a AS anchor_id, positive AS positive_id, CAST(r AS INTEGER) AS rank, negative AS negative_id, positive_score, negative_score FROM n WHERE r <= 10
+"""
+
+_NEAREST = "SELECT x.vec_id, x.part, min(x.d * 64 + x.entry) AS k FROM (SELECT x.vec_id, x.part, c.entry, sum((x.val - c.val) * (x.val - c.val)) AS d FROM x JOIN {c} c ON x.part = c.part AND x.pos = c.pos GROUP BY 1, 2, 3) x GROUP BY 1, 2"
+_MOVED = "SELECT c.part, c.entry, c.pos, coalesce(m.val, c.val) AS val FROM {c} c LEFT JOIN (SELECT x.part, a.k % 64 AS entry, x.pos, CAST(floor(sum(x.val) / count(*)) AS BIGINT) AS val FROM x JOIN {a} a ON x.vec_id = a.vec_id AND x.part = a.part GROUP BY 1, 2, 3) m ON c.part = m.part AND c.entry = m.entry AND c.pos = m.pos"
+OP13_SQL = f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS (SELECT vec_id, (i - 1) // (len(v) // 16) AS part, (i - 1) % (len(v) // 16) AS pos, v[i] AS val FROM (SELECT vec_id, v, unnest(generate_series(1, len(v))) AS i FROM e)),
+first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM e QUALIFY entry < 64),
+c0 AS (SELECT x.part, first.entry, x.pos, x.val FROM x JOIN first USING (vec_id)),
+a0 AS ({_NEAREST.format(c="c0")}), c1 AS ({_MOVED.format(c="c0", a="a0")}),
+a1 AS ({_NEAREST.format(c="c1")}), c2 AS ({_MOVED.format(c="c1", a="a1")}),
+a2 AS ({_NEAREST.format(c="c2")}),
+coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(k % 64)), 2, '0'), '' ORDER BY part) AS code, CAST(sum(k // 64) AS BIGINT) AS error FROM a2 GROUP BY 1),
+book AS (SELECT sha256(string_agg(CAST(val AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c2)
+SELECT e.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e JOIN coded USING (vec_id), book
+"""
+
+
 def oracle_sql():
-    return {"op9_reply_trees": OP9_SQL, "op6_benchmark_contamination": OP6_SQL}
+    return {"op9_reply_trees": OP9_SQL, "op6_benchmark_contamination": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_vector_codes": OP13_SQL}
