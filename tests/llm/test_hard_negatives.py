@@ -52,6 +52,16 @@ def test_equals_plain_loops(spark, seed, dims, labels, sizes):
     assert found(spark, rows, **sizes) == want
 
 
+def test_pairs_of_blocks_meet_over_many_partitions(spark):
+    rows = vectors(9, 300, 8, 6)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert found(spark, rows, rows_a_block=20, anchors_a_block=4, chunk=3) == slow(rows)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+
+
 def test_ties_repeats_nulls_and_lengths(spark):
     rows = vectors(4, 40, 6, 2, spread=0.0) * 2  # equal vectors: ties everywhere, every row twice
     rows += [(None, 1, [0.5] * 6), (1000, None, [0.5] * 6), (1100, 0, None), (1200, 0, [0.1, None]), (1300, 1, [float("nan")]), (1400, 0, [float("inf")] * 6), (1500, 1, [0.9] * 9), (1600, 0, []), (1700, 0, [0.3])]

@@ -106,8 +106,10 @@ def _partial(chunk: int, strip: int):
     return run, "a long, b long, strip int, na int, nb int, tile binary, anchors binary, others binary"
 
 
-def _added(table: pa.Table):
+def _added(table: pa.Table, chunks: int):
     """The whole strip of a tile from its partial ones, and what is known of its anchors and rows."""
+    if table.num_rows != chunks:
+        raise RuntimeError(f"{table.num_rows} of {chunks} partial tiles")
     tile, anchors, others = 0, None, None
     for k in range(table.num_rows):
         na, nb = table["na"][k].as_py(), table["nb"][k].as_py()
@@ -154,14 +156,15 @@ def top_windows(tile, anchors, others, k: int, low: int, high: int):
     return _found(anchors[0][i], p, order[i, at], others, score[i, p, j])
 
 
-def _tiles(anchors: DataFrame, rows: DataFrame, chunk: int, strip: int, reduce) -> DataFrame:
+def _tiles(anchors: DataFrame, rows: DataFrame, chunks: int, chunk: int, strip: int, reduce) -> DataFrame:
     """Blocks with partners (``to``) multiplied chunk by chunk, partial tiles added, whole ones reduced."""
-    left = anchors.select(F.col("block").alias("pa"), F.explode("to").alias("pb"), "chunk", "n", "about", "part")
-    right = rows.select(F.col("block").alias("pb"), F.explode("to").alias("pa"), "chunk", "n", "about", "part")
+    to = F.explode(F.col("to").cast("array<long>"))  # cogroup deals by hash, so keys are of one type on both sides
+    left = anchors.select(F.col("block").alias("pa"), to.alias("pb"), "chunk", "n", "about", "part")
+    right = rows.select(F.col("block").alias("pb"), to.alias("pa"), "chunk", "n", "about", "part")
     keys = ["pa", "pb", "chunk"]
     run, ddl = _partial(chunk, strip)
     partial = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, ddl)
-    return partial.groupBy("a", "b", "strip").applyInArrow(lambda table: reduce(*_added(table)), _FOUND_DDL)
+    return partial.groupBy("a", "b", "strip").applyInArrow(lambda table: reduce(*_added(table, chunks)), _FOUND_DDL)
 
 
 def hard_negatives(
@@ -219,13 +222,13 @@ def hard_negatives(
         return rows.sparkSession.createDataFrame([], columns)
     chosen = rows.where("anchor")
     all_blocks, block_path = stored(blocks(rows, own))
-    first = _tiles(partners(blocks(chosen, mine), mine, own, n_own, True), partners(all_blocks, own, mine, n_mine, True), chunk, strip, lambda *x: top_same(*x, positives))
+    first = _tiles(partners(blocks(chosen, mine), mine, own, n_own, True), partners(all_blocks, own, mine, n_mine, True), chunks, chunk, strip, lambda *x: top_same(*x, positives))
     order = (F.col("score").desc(), F.col("other_id").asc_nulls_last(), "other")
     near = cut(first.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy(*order))).where(F.col("rank") <= positives))
     scores = near.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("rank", F.greatest("score", F.lit(-1).cast("long")).alias("score")))).alias("scores"))
     wanted = F.transform(F.sequence(F.lit(1), F.lit(positives)), lambda k: F.coalesce(F.element_at("scores", k), F.lit(-1).cast("long")))
     hunting = chosen.join(scores, "row").withColumn("wanted", wanted).drop("scores")
-    second = _tiles(partners(blocks(hunting, mine), mine, own, n_own, False), partners(all_blocks, own, mine, n_mine, False), chunk, strip, lambda *x: top_windows(*x, negatives, low, high))
+    second = _tiles(partners(blocks(hunting, mine), mine, own, n_own, False), partners(all_blocks, own, mine, n_mine, False), chunks, chunk, strip, lambda *x: top_windows(*x, negatives, low, high))
     hard = second.withColumn("rank", F.row_number().over(Window.partitionBy("row", "nth").orderBy(*order))).where(F.col("rank") <= negatives)
     hard = cut(hard.select("row", (F.col("nth") + 1).alias("nth"), "rank", F.col("other_id").alias("negative_id"), F.col("score").alias("negative_score")))
     positive = near.select("row", F.col("rank").alias("nth"), F.col("other_id").alias("positive_id"), F.col("score").alias("positive_score"))
