@@ -1,4 +1,4 @@
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -61,21 +61,21 @@ def slow_rates(bins, target, cap=3, ridge=mixing.RIDGE):
     mean = sum(z * n * np.log(z) for _, z, n in bins if z) / tokens
     x = {z: np.log(z) - mean if z else 0.0 for _, z, _ in bins}
     total = {s: sum(z * n for t, z, n in bins if t == s) for s in target}
-    rate = lambda z: cap / (1 + (cap - 1) * np.exp(-z))
+    rate = lambda z: cap / (1 + (cap - 1) * np.exp(-np.clip(z, -60, 60)))
 
     def solved(nu):
         lam = {}
         for s in target:
             if 0 < target[s] < cap * total[s]:
-                a, b = -50.0, 50.0
+                a, b = -600.0, 600.0
                 for _ in range(100):
                     lam[s] = (a + b) / 2
                     more = sum(z * n * rate(lam[s] + nu * x[z]) for t, z, n in bins if t == s) > target[s]
                     a, b = (a, lam[s]) if more else (lam[s], b)
         return {(s, z): rate(lam[s] + nu * x[z]) if s in lam else cap * (target[s] > 0) for s, z, _ in bins}
 
-    a, b = -9.0, 9.0
-    for _ in range(60):
+    a, b = -60.0, 60.0
+    for _ in range(70):
         nu = (a + b) / 2
         rates = solved(nu)
         slope = sum(z * n * x[z] * rates[s, z] for s, z, n in bins) + tokens * ridge * nu
@@ -116,3 +116,37 @@ def test_nulls_repeats_and_empty(spark):
     assert mixing.mixed(df.limit(0)).collect() == []
     blank = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id long, text string, source string")
     assert [r.taken for r in mixing.mixed(blank).collect()] == [0, 0]
+
+
+def awkward(seed):
+    """Small corpora whose sizes span five orders of magnitude: undamped or clipped Newton steps cycle on some."""
+    if seed is None:
+        return [("a", 1)] * 135 + [("a", 2), ("b", 1), ("b", 9), ("b", 9), ("b", 348)]
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in "abcdefg"[: int(rng.integers(1, 7))]:
+        for _ in range(int(rng.integers(1, 150 if rng.random() < 0.3 else 8))):
+            rows.append((s, int(rng.choice([0, 1, 2, 3, 9]) if rng.random() < 0.7 else np.exp(rng.uniform(0, 11)))))
+    return rows
+
+
+@pytest.mark.parametrize("seed", [None, 0])
+def test_every_corpus_is_solved(spark, seed):
+    bins = sorted(Counter(awkward(seed)).items())
+    total = {s: sum(z * n for (t, z), n in bins if t == s) for (s, _), _ in bins}
+    target = slow_targets(total)
+    df = spark.createDataFrame([(s, z, n) for (s, z), n in bins], "source string, size long, n long")
+    goals = spark.createDataFrame([(s, total[s], float(target[s])) for s in total], "source string, source_size long, target double")
+    got = {(r.source, r.size): r.rate for r in mixing.tilts(df, goals).collect()}
+    want = slow_rates([(s, z, n) for (s, z), n in bins], target) if sum(total.values()) else {k: 0.0 for k, _ in bins}
+    assert set(got) == set(want)
+    for s in total:
+        assert abs(sum(z * n * got[s, z] for (t, z), n in bins if t == s) - target[s]) <= 1e-6 * max(1, total[s])
+        assert all(abs(got[k] - want[k]) < 1e-4 for k in want if k[0] == s and k[1])
+
+
+def test_awkward_documents_are_mixed(spark):
+    rows = [(i, "w " * z, s) for i, (s, z) in enumerate(awkward(None))]
+    found = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert len(found) == 140 and all(0 <= r.copies <= 3 for r in found)
+    assert abs(sum(r.taken for r in found if r.source == "a") - next(r.target for r in found if r.source == "a")) <= 2

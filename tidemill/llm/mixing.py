@@ -26,6 +26,10 @@ SALTS = 64
 #: Weight of keeping the mean log length against staying near the corpus.
 RIDGE = 0.1
 ROUNDS = 100
+#: No lambda moves farther than this in a step; up to SURE a whole Newton step needs no search.
+FARTHEST, SURE = 8.0, 0.05
+#: Shares of a Newton step among which the dual's value decides.
+BACKTRACK = (1, 0.5, 0.25, 0.125, 0.0625, 0.015625, 0.00390625, 0.000244140625)
 
 
 def token_sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -76,48 +80,67 @@ def tilts(bins: DataFrame, goals: DataFrame, cap: int = CAP, ridge: float = RIDG
     The dual is the sum over documents of size * cap * log(cap - 1 + e^z), less
     lambda * target of each source, plus tokens * ridge * nu^2 / 2.  Its
     curvature is diagonal but for nu, so a step needs five sums a source and
-    four numbers in all.  A source whose target is its cap has no finite lambda
+    a few numbers in all.  A long step is scaled as a whole: its share is the
+    one of BACKTRACK that lowers the dual most, so the dual falls each round.  A source whose target is its cap has no finite lambda
     and takes rate ``cap``; one without tokens or target 0.
     """
     size, x = F.col("size").cast("double"), F.log(F.col("size").cast("double"))
-    whole = bins.where("size > 0").agg(_exact(F.col("n") * size).alias("tokens"), _exact(F.col("n") * size * x).alias("logs")).first()
-    tokens = whole.tokens or 1.0
+    corpus = bins.where("size > 0").agg(_exact(F.col("n") * size).alias("tokens"), _exact(F.col("n") * size * x).alias("logs")).first()
+    tokens = corpus.tokens or 1.0
     inside = (F.col("source_size") > 0) & (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)
     goals = goals.withColumn("inside", inside)
-    named = bins.select(F.col("source").alias("s"), "size", "n").withColumn("x", F.when(F.col("size") > 0, x - whole.logs / tokens).otherwise(0.0))
+    named = bins.select(F.col("source").alias("s"), "size", "n").withColumn("x", F.when(F.col("size") > 0, x - corpus.logs / tokens).otherwise(0.0))
     wide = cut(named.join(goals, F.col("s").eqNullSafe(F.col("source"))).drop("s"))
     edge = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.lit(float(cap))).otherwise(0.0)
 
-    def rate(nu: float):
-        z = F.least(F.greatest(F.col("lam") + nu * F.col("x"), F.lit(-60.0)), F.lit(60.0))
+    def rate(z):
+        z = F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0))
         return F.when(F.col("inside"), cap * F.exp(z) / (cap - 1 + F.exp(z))).otherwise(edge)
 
-    state, nu = goals.select(F.col("source").alias("s"), F.lit(0.0).alias("lam")), 0.0
+    def soft(z):
+        return F.log(cap - 1 + F.exp(F.least(F.greatest(z, F.lit(-60.0)), F.lit(60.0))))
+
+    mass, even = F.col("n") * size, F.col("target") / F.col("source_size")
+    # with nu = 0 the dual is solved by the rate target / source_size in each source, so that is where it starts
+    lam = F.when(F.col("inside"), F.log(even * (cap - 1) / (cap - even))).otherwise(0.0)
+    state, nu = goals.select(F.col("source").alias("s"), lam.alias("lam")), 0.0
     for _ in range(ROUNDS):
-        mass, r = F.col("n") * size, rate(nu)
-        bend = F.when(F.col("inside"), mass * r * (1 - r / cap)).otherwise(0.0)
+        z = F.col("lam") + nu * F.col("x")
+        bend = F.when(F.col("inside"), mass * rate(z) * (1 - rate(z) / cap)).otherwise(0.0)
         placed = wide.join(state, F.col("source").eqNullSafe(F.col("s")))
         sums = placed.groupBy("s", "lam", "inside", "target", "source_size").agg(
-            _exact(mass * r).alias("taken"), _exact(bend).alias("bend"), _exact(bend * F.col("x")).alias("mixed"), _exact(mass * r * F.col("x")).alias("moment"), _exact(bend * F.col("x") * F.col("x")).alias("spread")
+            _exact(mass * rate(z)).alias("taken"), _exact(bend).alias("bend"), _exact(bend * F.col("x")).alias("mixed"), _exact(mass * rate(z) * F.col("x")).alias("moment"), _exact(bend * F.col("x") * F.col("x")).alias("spread")
         )
         gap = F.when(F.col("inside"), F.col("taken") - F.col("target")).otherwise(0.0)
         sums = cut(sums.withColumns({"gap": gap, "bend": F.greatest("bend", 1e-12 * F.col("source_size"), F.lit(1e-12))}))
         told = sums.agg(
             _exact(F.col("moment")).alias("moment"), _exact(F.col("spread")).alias("spread"), _exact(F.col("mixed") * F.col("gap") / F.col("bend")).alias("cross"),
             _exact(F.col("mixed") * F.col("mixed") / F.col("bend")).alias("square"), F.max(F.abs("gap") / F.greatest("source_size", F.lit(1))).alias("off"),
+            F.max(F.abs(F.col("gap") / F.col("bend"))).alias("own"), F.max(F.abs(F.col("mixed") / F.col("bend"))).alias("shared"),
         ).first()
         slope = told.moment + tokens * ridge * nu
         if (told.off or 0.0) < close and abs(slope) < close * tokens:
             break
         step = (slope - told.cross) / (told.spread + tokens * ridge - told.square)
-        step = max(-0.5, min(0.5, step))
-        move = (F.col("gap") - F.col("mixed") * step) / F.col("bend")
-        state = sums.select("s", F.when(F.col("inside"), F.col("lam") - F.greatest(F.least(move, F.lit(1.0)), F.lit(-1.0))).otherwise(0.0).alias("lam"))
-        nu -= step
+        longest = told.own + abs(step) * told.shared  # no lambda moves farther than this
+        whole = min(1.0, FARTHEST / max(longest, 1e-300), FARTHEST / 4 / max(abs(step), 1e-300))
+        move = F.when(F.col("inside"), (F.col("gap") - F.col("mixed") * step) / F.col("bend")).otherwise(0.0)
+        state = sums.select("s", "lam", move.alias("move"))
+        t = whole
+        if longest > SURE:  # else the curvature hardly changes on the way and a whole step goes down
+            shares, ahead = [whole * k for k in BACKTRACK], wide.join(state, F.col("source").eqNullSafe(F.col("s")))
+            # the dual's change for each share of the step, all in one pass
+            rise = ahead.agg(*(
+                _exact(F.when(F.col("inside"), mass * (cap * (soft(z - k * (F.col("move") + step * F.col("x"))) - soft(z)))).otherwise(-mass * edge * F.col("x") * k * step)).alias(f"d{i}") for i, k in enumerate(shares)
+            ), *(_exact(mass * F.when(F.col("inside"), F.col("move") * F.col("target") / F.col("source_size")).otherwise(0.0)).alias(name) for name in ["held"])).first()
+            value = [rise[f"d{i}"] + k * rise.held + tokens * ridge * ((nu - k * step) ** 2 - nu**2) / 2 for i, k in enumerate(shares)]
+            t = whole if min(value) > -1e-5 else shares[value.index(min(value))]
+        state = state.select("s", (F.col("lam") - t * F.col("move")).alias("lam"))
+        nu -= t * step
     else:
         raise RuntimeError(f"the dual is not solved after {ROUNDS} Newton steps")
     solved = wide.join(state, F.col("source").eqNullSafe(F.col("s")))
-    return solved.select("source", "size", "n", "source_size", "target", F.round(rate(nu), 7).alias("rate"))
+    return solved.select("source", "size", "n", "source_size", "target", F.round(rate(F.col("lam") + nu * F.col("x")), 7).alias("rate"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: int = CAP) -> DataFrame:
