@@ -800,6 +800,6 @@ QUERIES["spectrum"] = lambda spark, sf: rounded(X.spectrum(X.base_features(D.day
 QUERIES["strokes"] = lambda spark, sf: X.strokes(D.day_bars(spark, sf))
 
 
-from . import more as _more  # noqa: E402, F401  registers its queries, and needs the names above
+from . import more as _more, studies as _studies  # noqa: E402, F401  they register their queries, and need the names above
 
 SQL |= {name: plain(sql) for name, sql in O.SQL.items()}
