@@ -1,7 +1,8 @@
 """Technical indicators over bars (code, d, open, high, low, close, volume).
 
 Each takes bars and adds columns.  Those that are sliding windows are columns;
-those that need the value before are walked per code (``recursive``).
+weighted means are scans over blocks of time (``scan``); other recursions are
+walked per code (``recursive``).
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import recursive as R
+from .scan import beginnings, emas, smas
 from .series import AVEDEV, DIFF, HHV, LLV, MA, MAX, REF, STD, STDP, SUM, WMA, bars_since, corr, last_n, ordered, regression
 
 def W():
@@ -51,20 +53,17 @@ def ma(df, *periods, x="close", prefix="ma"):
 
 
 def ema(df, *periods, x="close", prefix="ema"):
-    return R.per_code(df, lambda f: {f"{prefix}{n}": R.ema(f[x], n) for n in periods}, {f"{prefix}{n}": "double" for n in periods})
+    return emas(df, {f"{prefix}{n}": (x, n) for n in periods})
 
 
 def sma(df, n, m=1, x="close", name="sma"):
-    return R.per_code(df, lambda f: {name: R.sma(f[x], n, m)}, {name: "double"})
+    return smas(df, {name: (x, n, m)})
 
 
 def macd(df, short=12, long=26, mid=9):
-    def run(f):
-        dif = R.ema(f.close, short) - R.ema(f.close, long)
-        dea = R.ema(dif, mid)
-        return {"dif": dif, "dea": dea, "macd": 2 * (dif - dea)}
-
-    return R.per_code(df, run, {"dif": "double", "dea": "double", "macd": "double"})
+    s = emas(df, {"__fast": ("close", short), "__slow": ("close", long)})
+    s = emas(stage(s, dif=F.col("__fast") - F.col("__slow")), {"dea": ("dif", mid)})
+    return stage(s, macd=2 * (F.col("dif") - F.col("dea"))).drop("__fast", "__slow")
 
 
 def boll(df, n=20, p=2):
@@ -196,42 +195,35 @@ def vstd(df, n=10):
 
 
 def kdj(df, n=9, m1=3, m2=3):
-    s = stage(df, __r=ratio((C() - LLV("low", n, W())) * 100, HHV("high", n, W()) - LLV("low", n, W())))
+    s = stage(beginnings(df, "__t"), __r=ratio((C() - LLV("low", n, W())) * 100, HHV("high", n, W()) - LLV("low", n, W())))
     s = stage(s, rsv=F.last("__r", ignorenulls=True).over(last_n(W(), 0))).drop("__r")
-
-    def run(f):
-        k = R.sma(f.rsv, m1)
-        d = R.sma(k, m2)
-        return {"k": k, "kd": d, "j": 3 * k - 2 * d}
-
-    return R.per_code(s, run, {"k": "double", "kd": "double", "j": "double"})
+    s = smas(smas(s, {"k": ("rsv", m1, 1)}, begun="__t"), {"kd": ("k", m2, 1)}, begun="__t")
+    return stage(s, j=3 * F.col("k") - 2 * F.col("kd")).drop("__t")
 
 
 def skdj(df, n=9, m=3):
     s = stage(df, __r=ratio((C() - LLV("low", n, W())) * 100, HHV("high", n, W()) - LLV("low", n, W())))
-    s = R.per_code(s, lambda f: {"__k": R.ema(R.ema(f["__r"], m), m)}, {"__k": "double"})
-    return stage(s, sk=F.col("__k"), sd=MA("__k", m, W())).drop("__r", "__k")
+    s = emas(emas(s, {"__j": ("__r", m)}), {"__k": ("__j", m)})
+    return stage(s, sk=F.col("__k"), sd=MA("__k", m, W())).drop("__r", "__j", "__k")
 
 
 def rsi(df, *periods, x="close"):
-    def run(f):
-        d = f[x].diff().to_numpy()
-        up, move = np.where(d > 0, d, 0.0), np.abs(d)
-        up[np.isnan(d)] = 0.0
-        with np.errstate(all="ignore"):
-            return {f"rsi{n}": R.sma(up, n) / R.sma(np.append(np.nan, move[1:]), n) * 100 for n in periods}
-
-    return R.per_code(df, run, {f"rsi{n}": "double" for n in periods})
+    s = stage(df, __m=DIFF(x, 1, W()))
+    s = stage(s, __u=F.greatest("__m", F.lit(0.0)), __v=F.abs("__m"))
+    s = smas(s, {f"__{c}{n}": (f"__{c}", n, 1) for n in periods for c in "uv"})
+    return stage(s, **{f"rsi{n}": ratio(F.col(f"__u{n}"), F.col(f"__v{n}")) * 100 for n in periods}).drop("__m", "__u", "__v", *(f"__{c}{n}" for n in periods for c in "uv"))
 
 
 def pbx(df, *periods):
     periods = periods or (3, 5, 8, 13, 18, 24)
-    return R.per_code(df, lambda f: {f"pbx{n}": (R.ema(f.close, n) + R.ema(f.close, 2 * n) + R.ema(f.close, 4 * n)) / 3 for n in periods}, {f"pbx{n}": "double" for n in periods})
+    spans = sorted({n * k for n in periods for k in (1, 2, 4)})
+    s = emas(df, {f"__x{n}": ("close", n) for n in spans})
+    return stage(s, **{f"pbx{n}": (F.col(f"__x{n}") + F.col(f"__x{2 * n}") + F.col(f"__x{4 * n}")) / 3 for n in periods}).drop(*(f"__x{n}" for n in spans))
 
 
 def osc(df, n=20, m=6):
     s = stage(df, osc=(C() - MA("close", n, W())) * 100)
-    return R.per_code(s, lambda f: {"maosc": R.ema(f.osc, m)}, {"maosc": "double"})
+    return emas(s, {"maosc": ("osc", m)})
 
 
 def ddi(df, n=13, n1=26, m=1, m1=5):
@@ -240,7 +232,7 @@ def ddi(df, n=13, n1=26, m=1, m1=5):
     s = stage(df, __z=F.when(hl <= before, 0.0).otherwise(move), __f=F.when(hl >= before, 0.0).otherwise(move))
     a, b = SUM("__z", n, W()), SUM("__f", n, W())
     s = stage(s, ddi=ratio(a, a + b) - ratio(b, a + b)).drop("__z", "__f")
-    s = R.per_code(s, lambda f: {"addi": R.sma(f.ddi, n1, m)}, {"addi": "double"})
+    s = smas(s, {"addi": ("ddi", n1, m)})
     return stage(s, ad=MA("addi", m1, W()))
 
 
