@@ -83,3 +83,37 @@ def natural_left(a: DataFrame, b: DataFrame) -> DataFrame:
 def unpivoted(df: DataFrame, keys: list[str], name: str, value: str) -> DataFrame:
     """Columns other than the keys as (name, value) rows."""
     return df.unpivot(keys, [c for c in df.columns if c not in keys], name, value)
+
+
+def reindexed(grid: DataFrame, rows: DataFrame, values: list[str], direction: str = "nearest", tolerance=None, by: str = "code", ts: str = "d") -> DataFrame:
+    """``grid`` (by, ts, ..) with the values of the row of the same key that its time is matched to, and its time as ``matched``.
+
+    direction: "exact", "backward" (the latest at or before), "forward" (the
+    first at or after) or "nearest" (the later one of two equally near).  Rows
+    farther away than ``tolerance`` (seconds; days for dates) are no match.  No
+    match: nulls.  Of rows that repeat a key and time the greatest by their
+    values counts.  One union, read once in each direction it needs.
+    """
+    if direction not in ("exact", "backward", "forward", "nearest"):
+        raise ValueError(f"unknown direction: {direction}")
+    grid = grid.drop(*values, "matched")
+    once = rows.groupBy(by, ts).agg(F.max(F.struct(*values)).alias("__v"))
+    kind = dict(grid.dtypes)[ts]
+    number = lambda c: F.unix_date(c) if kind == "date" else F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
+    scale = 1 if kind == "date" else 1_000_000
+    own = grid.select(by, F.col(ts).alias("__t"), F.struct(*grid.columns).alias("__g"), F.lit(None).cast(dict(once.dtypes)["__v"]).alias("__v"), F.lit(1).alias("__side"))
+    other = once.select(by, F.col(ts).alias("__t"), F.lit(None).cast(dict(own.dtypes)["__g"]).alias("__g"), "__v", F.lit(0).alias("__side"))
+    s = own.unionByName(other).withColumn("__m", F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("at"), "__v")))
+    so_far = lambda *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("__back", F.last("__m", ignorenulls=True).over(so_far(F.asc("__t"), "__side")))
+    if direction in ("forward", "nearest"):
+        s = s.withColumn("__fore", F.last("__m", ignorenulls=True).over(so_far(F.desc("__t"), "__side")))
+    gap = lambda c: F.abs(number(F.col(c)["at"]) - number(F.col("__t")))
+    found = {
+        "exact": lambda: F.when(gap("__back") == 0, F.col("__back")), "backward": lambda: F.col("__back"), "forward": lambda: F.col("__fore"),
+        "nearest": lambda: F.when(F.col("__back").isNull() | (gap("__fore") <= gap("__back")), F.col("__fore")).otherwise(F.col("__back")),
+    }[direction]()
+    s = s.where("__side = 1").withColumn("__f", found)
+    if tolerance is not None:
+        s = s.withColumn("__f", F.when(gap("__f") <= tolerance * scale, F.col("__f")))
+    return s.select("__g.*", *(F.col("__f.__v")[v].alias(v) for v in values), F.col("__f.at").alias("matched"))

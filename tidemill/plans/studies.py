@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chan, words
+from ..operators import chan, joins as J, sheets, words
 from ..sources import tables as D
 from .oracles import BARS
-from .queries import query, rounded
+from .queries import FACTOR, PER, factor_rows, query, rounded
 
 WORD = "[a-z]{1,8}"
 
@@ -78,3 +78,88 @@ r AS (SELECT x.code, x.d, coalesce(c.kind, 0) AS fractal_type, sum(x.top::INT +
 SELECT code, d, {", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in CHAN if c != "trade_point_score")}, round({" + ".join(f"CAST({c} AS DOUBLE) * {p}" for c, p in chan.POINTS.items())}, 6) AS trade_point_score FROM r""")
 def _(spark, sf):
     return rounded(chan.projection(D.day_bars(spark, sf)), "code", "d", *CHAN, digits=6)
+
+
+# ---- tear sheets, grids, alignments -------------------------------------------------------------
+
+PERIODS = (1, 2, 5)
+
+
+def _clean(spark, sf):
+    """Suppliers by month, their mean discount in five quantiles, returns over 1, 2 and 5 months, and the supplier's nation."""
+    rows = factor_rows(spark, sf).join(D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("nation")), "code")
+    return sheets.clean_factor(sheets.with_horizons(rows, PERIODS), "size", PERIODS, 5, None)
+
+
+_CLEAN = f"""{FACTOR}, m AS (SELECT f.code, d, size, s_nationkey AS nation, {", ".join(f"lead(close, {p}) OVER ({PER}) / close - 1 AS r{p}" for p in PERIODS)} FROM f JOIN supplier ON s_suppkey = f.code),
+z AS (SELECT code, d, size, nation, {", ".join(f"CASE WHEN coalesce(abs(r{p} - avg(r{p}) OVER (PARTITION BY code)) > 20 * stddev_samp(r{p}) OVER (PARTITION BY code), false) THEN NULL ELSE r{p} END AS r{p}" for p in PERIODS)} FROM m),
+k AS (SELECT * FROM z WHERE size IS NOT NULL AND {" AND ".join(f"r{p} IS NOT NULL" for p in PERIODS)}), q AS (SELECT d, quantile_cont(size, [0.2, 0.4, 0.6, 0.8]) AS q FROM k GROUP BY 1),
+c AS (SELECT k.*, 1 + (size > q[1])::INT + (size > q[2])::INT + (size > q[3])::INT + (size > q[4])::INT AS bin FROM k JOIN q USING (d)),
+h AS (SELECT code, d, size, nation, bin, unnest([{", ".join(map(str, PERIODS))}]) AS horizon, unnest([{", ".join(f"r{p}" for p in PERIODS)}]) AS ret FROM c)"""
+
+
+@query("tear_sheet", f"""WITH {_CLEAN}, e AS (SELECT *, ret - avg(ret) OVER (PARTITION BY d, horizon) AS excess FROM h)
+SELECT horizon, bin, nation AS "group", 1 - grouping(bin) AS by_bin, 1 - grouping(nation) AS by_group, count(*) AS n, round(avg(ret), 4) AS ret, round(stddev_samp(ret) / sqrt(count(*)), 4) AS error, round(avg(excess), 4) AS excess, round(max(ret), 4) AS best, round(min(ret), 4) AS worst
+FROM e GROUP BY GROUPING SETS ((horizon, bin, nation), (horizon, bin), (horizon, nation), (horizon))""")
+def _(spark, sf):
+    return rounded(sheets.tear_sheet(_clean(spark, sf), PERIODS, "nation"))
+
+
+@query("tear_spreads", f"""WITH {_CLEAN}, m AS (SELECT horizon, d, bin, avg(ret) AS m FROM h GROUP BY 1, 2, 3), s AS (SELECT horizon, d, max(m) FILTER (bin = (SELECT max(bin) FROM c)) - max(m) FILTER (bin = (SELECT min(bin) FROM c)) AS s FROM m GROUP BY 1, 2)
+SELECT horizon, count(s) AS n, round(avg(s), 4) AS spread, round(stddev_samp(s), 4) AS sd, round(avg(s) / nullif(stddev_samp(s), 0) * sqrt(count(s)), 4) AS t FROM s WHERE s IS NOT NULL GROUP BY 1""".replace("m AS (SELECT horizon", "dm AS (SELECT horizon").replace("AS s FROM m GROUP", "AS s FROM dm GROUP"))
+def _(spark, sf):
+    return rounded(sheets.spreads(_clean(spark, sf), PERIODS))
+
+
+@query("tear_information", f"""WITH {_CLEAN}, r AS (SELECT *, rank() OVER (PARTITION BY d, horizon ORDER BY size) + (count(*) OVER (PARTITION BY d, horizon, size) - 1) / 2 AS a, rank() OVER (PARTITION BY d, horizon ORDER BY ret) + (count(*) OVER (PARTITION BY d, horizon, ret) - 1) / 2 AS b FROM h),
+i AS (SELECT horizon, d, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM r GROUP BY 1, 2)
+SELECT horizon, count(ic) AS n, round(avg(ic), 4) AS mean, round(stddev_samp(ic), 4) AS sd, round(avg(ic) / stddev_samp(ic), 4) AS ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 4) AS t, round(avg((ic > 0)::INT), 4) AS positive FROM i WHERE ic IS NOT NULL GROUP BY 1""")
+def _(spark, sf):
+    return rounded(sheets.information(_clean(spark, sf), "size", PERIODS))
+
+
+@query("tear_turnover", f"""WITH {_CLEAN}, n AS (SELECT code, bin, dense_rank() OVER (ORDER BY d) AS i, rank() OVER (PARTITION BY d ORDER BY size) + (count(*) OVER (PARTITION BY d, size) - 1) / 2 AS r FROM c),
+j AS (SELECT n.*, p AS horizon, o.bin AS b, o.r AS q FROM (SELECT *, unnest([{", ".join(map(str, PERIODS))}]) AS p FROM n) n LEFT JOIN n o ON o.code = n.code AND o.i = n.i - p WHERE n.i > p),
+s AS (SELECT horizon, bin, i, avg(CASE WHEN bin = b THEN 0.0 ELSE 1.0 END) AS new FROM j GROUP BY 1, 2, 3), t AS (SELECT horizon, avg(c) AS stay FROM (SELECT horizon, i, CASE WHEN stddev_pop(r) FILTER (q IS NOT NULL) > 0 AND stddev_pop(q) > 0 THEN corr(r, q) END AS c FROM j GROUP BY 1, 2) GROUP BY 1)
+SELECT horizon, bin, count(*) AS days, round(avg(new), 4) AS turnover, round(any_value(stay), 4) AS stay FROM s JOIN t USING (horizon) GROUP BY 1, 2""")
+def _(spark, sf):
+    return rounded(sheets.turnover(_clean(spark, sf), PERIODS, "size"))
+
+
+#: 1 000 rules: twenty fast means with fifty slow ones each.
+GRID = [(f, s) for f in range(1, 21) for s in range(25, 125, 2)]
+_GRID = f"""{BARS}, b AS (SELECT code, row_number() OVER w AS i, sum(CAST(round(close / 0.01) AS BIGINT)) OVER w AS p, close / nullif(lag(close) OVER w, 0) - 1 AS ret FROM bars WINDOW w AS (PARTITION BY code ORDER BY d)),
+n AS (SELECT unnest(list_distinct([{", ".join(str(x) for x in sorted({n for pair in GRID for n in pair}))}])) AS n), v AS (SELECT b.code, b.i, n, b.p - coalesce(o.p, 0) AS s FROM b JOIN n ON b.i >= n LEFT JOIN b o ON o.code = b.code AND o.i = b.i - n),
+a AS (SELECT x.code, x.i, x.n AS fast, y.n AS slow, x.s * y.n > y.s * x.n AS above FROM v x JOIN v y ON x.code = y.code AND x.i = y.i AND x.n <= 20 AND y.n >= 25),
+g AS (SELECT a.code, fast, slow, above AND NOT coalesce(lag(above) OVER (PARTITION BY a.code, fast, slow ORDER BY a.i), false) AS opened, CASE WHEN above THEN ret ELSE 0 END AS got FROM a JOIN b ON b.code = a.code AND b.i = a.i + 1 WHERE ret IS NOT NULL),
+o AS (SELECT code, fast, slow, count(*) AS n, avg(got) AS mean, stddev_samp(got) AS sd, exp(sum(ln(1 + got))) - 1 AS total, sum(opened::INT)::BIGINT AS trades, avg(got) / nullif(stddev_samp(got), 0) * sqrt(252) AS sharpe FROM g GROUP BY 1, 2, 3)"""
+
+
+@query("scenario_grid", f"WITH {_GRID} SELECT code, fast, slow, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(total, 4) AS total, trades, round(sharpe, 4) AS sharpe FROM o")
+def _(spark, sf):
+    return rounded(sheets.crossing_grid(D.day_bars(spark, sf), GRID))
+
+
+@query("scenario_importance", f"""WITH {_GRID}, l AS (SELECT round(sharpe, 6) AS sharpe, fast, slow, code, unnest(['fast', 'slow']) AS parameter, unnest([fast, slow]) AS value FROM o WHERE sharpe IS NOT NULL AND code = '1-URGENT')
+SELECT parameter, best, round(stddev_pop(m), 4) AS importance FROM (SELECT parameter, value, avg(sharpe) AS m FROM l GROUP BY 1, 2) JOIN (SELECT parameter, CAST(arg_max(value, (sharpe, fast, slow)) AS VARCHAR) AS best FROM l GROUP BY 1) USING (parameter) GROUP BY 1, 2""")
+def _(spark, sf):
+    scored = sheets.crossing_grid(D.day_bars(spark, sf).where("code = '1-URGENT'"), GRID)
+    return rounded(sheets.importance(scored.withColumn("sharpe", F.round("sharpe", 6)), ["fast", "slow"]))
+
+
+_SIDES = """g AS (SELECT DISTINCT l_suppkey AS code, CAST(l_shipdate AS DATE) AS d FROM lineitem WHERE l_returnflag <> 'R'), r AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS d, max((l_quantity, l_partkey)) AS v FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
+
+
+def _sides(spark, sf):
+    l = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("volume"), F.col("l_partkey").alias("part"), "l_returnflag")
+    return l.where("l_returnflag <> 'R'").select("code", "d").distinct(), l.where("l_returnflag = 'R'")
+
+
+for _name, _pick in {
+    "backward": "b.d", "forward": "a.d", "nearest": "CASE WHEN b.d IS NULL OR a.d - g.d <= g.d - b.d THEN a.d ELSE b.d END", "exact": "CASE WHEN b.d = g.d THEN b.d END",
+}.items():
+    _far = 45 if _name != "backward" else 100_000
+    query(f"reindex_{_name}", f"""WITH {_SIDES}, m AS (SELECT g.code, g.d, {_pick} AS at FROM g ASOF LEFT JOIN r b ON g.code = b.code AND g.d >= b.d ASOF LEFT JOIN r a ON g.code = a.code AND g.d <= a.d)
+SELECT m.code, m.d, r.v[1] AS volume, r.v[2] AS part, r.d AS matched FROM m LEFT JOIN r ON r.code = m.code AND r.d = m.at AND abs(m.d - m.at) <= {_far}""")(
+        lambda spark, sf, direction=_name, far=_far: J.reindexed(*_sides(spark, sf), ["volume", "part"], direction, far if direction != "backward" else None)
+    )
