@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import chan, joins as J, sheets, words
+from ..operators import chan, crosses, joins as J, sheets, words
 from ..sources import tables as D
-from .oracles import BARS
+from .oracles import BARS, PER as KEY, ROWS, wilder
 from .queries import FACTOR, PER, factor_rows, query, rounded
 
 WORD = "[a-z]{1,8}"
@@ -163,3 +163,50 @@ for _name, _pick in {
 SELECT m.code, m.d, r.v[1] AS volume, r.v[2] AS part, r.d AS matched FROM m LEFT JOIN r ON r.code = m.code AND r.d = m.at AND abs(m.d - m.at) <= {_far}""")(
         lambda spark, sf, direction=_name, far=_far: J.reindexed(*_sides(spark, sf), ["volume", "part"], direction, far if direction != "backward" else None)
     )
+
+
+# ---- cross signals ------------------------------------------------------------------------------
+
+def _crossed(a: str, b: str) -> str:
+    """1 where a was below b at the row before and is not now."""
+    return f"coalesce(CAST(lag(coalesce({a} < {b}, false)) OVER ({KEY}) AND NOT coalesce({a} < {b}, false) AS INT), 0)"
+
+
+def _since(flag: str) -> str:
+    return f"k - coalesce(max(CASE WHEN {flag} = 1 THEN k END) OVER ({KEY} ROWS UNBOUNDED PRECEDING), 0)"
+
+
+_COMPOSITE = f"""{ROWS}, m AS (SELECT code, k, CASE WHEN x IS NOT NULL THEN greatest(x, 0) END AS up, abs(x) AS move FROM (SELECT code, k, close - lag(close) OVER ({KEY}) AS x FROM r)), {wilder('gains', 'm', 'up', 12)}, {wilder('moves', 'm', 'move', 12)},
+t AS (SELECT *, list((high + low + close) / 3) OVER ({KEY} ROWS 13 PRECEDING) AS l, CASE WHEN k >= 9 THEN coalesce((close - min(low) OVER ({KEY} ROWS 8 PRECEDING)) / nullif(max(high) OVER ({KEY} ROWS 8 PRECEDING) - min(low) OVER ({KEY} ROWS 8 PRECEDING), 0) * 100, 0) END AS f FROM r),
+u AS (SELECT *, CASE WHEN k >= 11 THEN avg(f) OVER ({KEY} ROWS 2 PRECEDING) END AS kk, CASE WHEN k >= 14 THEN coalesce(((high + low + close) / 3 - list_avg(l)) / nullif(0.015 * list_avg(list_transform(l, lambda v: abs(v - list_avg(l)))), 0), 0) END AS cci FROM t),
+v AS (SELECT *, CASE WHEN k >= 13 THEN avg(kk) OVER ({KEY} ROWS 2 PRECEDING) END AS dd FROM u),
+x AS (SELECT v.code, v.k, v.d, v.cci, CASE WHEN dd IS NOT NULL THEN 3 * kk - 2 * dd END AS j, CASE WHEN moves.y > 0 THEN 100 * gains.y / moves.y WHEN moves.y = 0 THEN 0 END AS rsi FROM v JOIN gains USING (code, k) JOIN moves USING (code, k)),
+y AS (SELECT *, cci + (rsi - 50) * 4 + (j - 50) * 4 AS mf, (rsi - 50) * 4 AS base, j + (j - lag(j) OVER ({KEY})) AS jp FROM x)"""
+
+
+@query("max_factor_cross", f"""{_COMPOSITE}, a AS (SELECT *, mf - lag(mf) OVER ({KEY}) AS delta FROM y), b AS (SELECT *, mf + delta AS ahead FROM a),
+c AS (SELECT *, greatest({", ".join(_crossed("ahead", f"(base + {x})") for x in (-133, 0, 133))}) AS up, greatest({", ".join(_crossed(f"(base + {x})", "ahead") for x in (-133, 0, 133))}) AS down FROM b)
+SELECT code, d, round(mf, 4) AS maxfactor, round(delta, 4) AS maxfactor_delta, round(base, 4) AS regression_baseline, CASE WHEN down = 1 THEN -1 WHEN up = 1 THEN 1 END AS maxfactor_cross, {_since("up")} AS maxfactor_jx, {_since("down")} AS maxfactor_sx FROM c""")
+def _(spark, sf):
+    return rounded(crosses.max_factor(D.day_bars(spark, sf)), "code", "d", "maxfactor", "maxfactor_delta", "regression_baseline", "maxfactor_cross", "maxfactor_jx", "maxfactor_sx")
+
+
+@query("dual_cross", f"""{_COMPOSITE}, s AS (SELECT *, coalesce((cci > base)::INT, 0) AS a, coalesce((j > rsi)::INT, 0) AS b, coalesce((jp > rsi)::INT, 0) AS c, coalesce((base > cci)::INT, 0) AS e, coalesce((rsi > j)::INT, 0) AS f, coalesce((rsi > jp)::INT, 0) AS g FROM y),
+w AS (SELECT code, k, d, (k > 13 AND a * (a + b + c) > 1)::INT AS up, (k > 13 AND e * (e + f + g) > 1)::INT AS down FROM s)
+SELECT code, d, CASE WHEN down = 1 THEN -1 WHEN up = 1 THEN 1 END AS dual_cross, {_since("(1 - up)")} AS dual_jx, {_since("(1 - down)")} AS dual_sx FROM w""")
+def _(spark, sf):
+    return crosses.dual(D.day_bars(spark, sf)).select("code", "d", "dual_cross", "dual_jx", "dual_sx")
+
+
+@query("mean_cross", f"""{ROWS}, a AS (SELECT *, CASE WHEN k >= 5 THEN avg(close) OVER ({KEY} ROWS 4 PRECEDING) END AS f, CASE WHEN k >= 30 THEN avg(close) OVER ({KEY} ROWS 29 PRECEDING) END AS s FROM r), c AS (SELECT *, {_crossed("f", "s")} AS up, {_crossed("s", "f")} AS down FROM a)
+SELECT code, d, CASE WHEN down = 1 THEN -1 WHEN up = 1 THEN 1 END AS ma_cross, {_since("up")} AS ma_jx, {_since("down")} AS ma_sx FROM c""")
+def _(spark, sf):
+    return crosses.mean_crosses(D.day_bars(spark, sf)).select("code", "d", "ma_cross", "ma_jx", "ma_sx")
+
+
+@query("band_cross", f"""{ROWS}, a AS (SELECT *, CASE WHEN k >= 20 THEN avg(close) OVER w END AS mid, CASE WHEN k >= 20 THEN stddev_pop(close) OVER w END AS s, CASE WHEN k >= 2 THEN avg(low) OVER v END AS l2, CASE WHEN k >= 2 THEN avg(high) OVER v END AS h2 FROM r WINDOW w AS ({KEY} ROWS 19 PRECEDING), v AS ({KEY} ROWS 1 PRECEDING)),
+b AS (SELECT *, mid + 2 * s AS ub, mid - 2 * s AS lb, least(open, close, CASE WHEN open < mid THEN low ELSE l2 END) AS lo, greatest(open, close, CASE WHEN open > mid THEN high ELSE h2 END) AS hi, 4 * s / mid AS width FROM a),
+c AS (SELECT *, {_crossed("lo", "lb")} AS up, {_crossed("ub", "hi")} AS down, width - lag(width) OVER ({KEY}) AS delta, CASE WHEN k >= 39 THEN avg(width) OVER ({KEY} ROWS 19 PRECEDING) END AS wide FROM b)
+SELECT code, d, round(lo, 4) AS min_peak, round(hi, 4) AS max_peak, CASE WHEN down = 1 THEN -1 WHEN up = 1 THEN 1 END AS boll_cross, {_since("up")} AS boll_jx, {_since("down")} AS boll_sx, round(ub, 4) AS boll_ub, round(mid, 4) AS boll_ma, round(lb, 4) AS boll_lb, round(width, 4) AS boll_width, round(delta, 4) AS boll_delta, round(wide, 4) AS bbw_ma20 FROM c""")
+def _(spark, sf):
+    return rounded(crosses.band_crosses(D.day_bars(spark, sf)), "code", "d", "min_peak", "max_peak", "boll_cross", "boll_jx", "boll_sx", "boll_ub", "boll_ma", "boll_lb", "boll_width", "boll_delta", "bbw_ma20")
