@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
+from ..functions import rows
 from ..operators import chan, crosses, joins as J, sheets, words
 from ..sources import tables as D
+from ..sources.ask import ask
+from ..streaming import streams
+from .more import _events, _ran
 from .oracles import BARS, PER as KEY, ROWS, wilder
 from .queries import FACTOR, PER, factor_rows, query, rounded
 
@@ -87,8 +93,8 @@ PERIODS = (1, 2, 5)
 
 def _clean(spark, sf):
     """Suppliers by month, their mean discount in five quantiles, returns over 1, 2 and 5 months, and the supplier's nation."""
-    rows = factor_rows(spark, sf).join(D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("nation")), "code")
-    return sheets.clean_factor(sheets.with_horizons(rows, PERIODS), "size", PERIODS, 5, None)
+    factors = factor_rows(spark, sf).join(D.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_nationkey").alias("nation")), "code")
+    return sheets.clean_factor(sheets.with_horizons(factors, PERIODS), "size", PERIODS, 5, None)
 
 
 _CLEAN = f"""{FACTOR}, m AS (SELECT f.code, d, size, s_nationkey AS nation, {", ".join(f"lead(close, {p}) OVER ({PER}) / close - 1 AS r{p}" for p in PERIODS)} FROM f JOIN supplier ON s_suppkey = f.code),
@@ -210,3 +216,27 @@ c AS (SELECT *, {_crossed("lo", "lb")} AS up, {_crossed("ub", "hi")} AS down, wi
 SELECT code, d, round(lo, 4) AS min_peak, round(hi, 4) AS max_peak, CASE WHEN down = 1 THEN -1 WHEN up = 1 THEN 1 END AS boll_cross, {_since("up")} AS boll_jx, {_since("down")} AS boll_sx, round(ub, 4) AS boll_ub, round(mid, 4) AS boll_ma, round(lb, 4) AS boll_lb, round(width, 4) AS boll_width, round(delta, 4) AS boll_delta, round(wide, 4) AS bbw_ma20 FROM c""")
 def _(spark, sf):
     return rounded(crosses.band_crosses(D.day_bars(spark, sf)), "code", "d", "min_peak", "max_peak", "boll_cross", "boll_jx", "boll_sx", "boll_ub", "boll_ma", "boll_lb", "boll_width", "boll_delta", "bbw_ma20")
+
+
+# ---- row functions, SQL, streams ----------------------------------------------------------------
+
+
+@query("move_runs", f"""{ROWS}, m AS (SELECT code, k, d, close, lag(d) OVER ({KEY}) AS before, lag(close) OVER ({KEY}) AS old, CAST(sign(close - lag(close) OVER ({KEY})) AS INT) AS way FROM r),
+n AS (SELECT *, sum((way IS DISTINCT FROM w)::INT) OVER ({KEY} ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, lag(way) OVER ({KEY}) AS w FROM m WHERE way IS NOT NULL))
+SELECT code, min(before) AS "from", max(d) AS "to", any_value(way) AS way, CAST(count(*) AS INT) AS rows, round(arg_max(close, k) - arg_min(old, k), 4) AS change FROM n GROUP BY code, i""")
+def _(spark, sf):
+    return rounded(rows.walked(D.day_bars(spark, sf), rows.MoveRuns, rows.MoveRuns.SCHEMA))
+
+
+@query("asked", f"""WITH {BARS} SELECT code, CAST(year(d) AS INT) AS year, count(*) AS n, round(avg(close), 4) AS mean, max(high) AS top FROM bars WHERE d >= DATE '1996-07-01' AND code <> '5-LOW' GROUP BY 1, 2 HAVING count(*) > 20""")
+def _(spark, sf):
+    sql = """SELECT code, year(d) AS year, count(*) AS n, round(avg(IDENTIFIER(:mean)), 4) AS mean, max(IDENTIFIER(:top)) AS top
+      FROM {bars} WHERE d >= :since AND code <> :without GROUP BY 1, 2 HAVING count(*) > :least"""
+    return ask(spark, sql, {"bars": D.day_bars(spark, sf)}, {"mean": "close", "top": "high"}, since=datetime.date(1996, 7, 1), without="5-LOW", least=20)
+
+
+@query("stream_sections", """WITH e AS (SELECT event_type AS code, time_bucket(INTERVAL 1 HOUR, ts) AS start, ts, event_id, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), l AS (SELECT start, code, arg_max(value, (ts, event_id)) AS price FROM e GROUP BY 1, 2),
+s AS (SELECT start, count(*) AS n, count(*) >= (SELECT count(DISTINCT code) FROM e) AS complete FROM l GROUP BY 1) SELECT start, code, price, n, complete FROM l JOIN s USING (start) WHERE complete OR start + INTERVAL 1 HOUR < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR""")
+def _(spark, sf):
+    kinds = D.table(spark, sf, "events").where("value is not null").select("event_type").distinct().count()
+    return _ran(spark, streams.sections(_events(spark, sf), kinds, 3600), "append").select(F.col("start").cast("timestamp_ntz").alias("start"), "code", "price", "n", "complete")

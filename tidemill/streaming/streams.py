@@ -76,6 +76,50 @@ def account_state(stream: DataFrame) -> DataFrame:
     return stream.groupBy("user_id").transformWithStateInPandas(Account(), outputStructType="user_id long, cash double, units long", outputMode="Update", timeMode="None")
 
 
+def sections(stream: DataFrame, expected: int, seconds: int, late: str = "1 hour") -> DataFrame:
+    """(start, code, price, n, complete): the last prices of all codes for each span of time, given out together and once.
+
+    A span goes out as soon as ``expected`` codes have a price in it, or when the
+    watermark has passed its end with the codes that came (``complete`` false).
+    What comes for a span after it went out changes nothing.  State: one row a
+    span, until the watermark passes it.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    names = ["start", "code", "price", "n", "complete"]
+
+    def given(start, held, complete):
+        codes = sorted(held)
+        return pd.DataFrame({"start": [start] * len(codes), "code": codes, "price": [held[c][2] for c in codes], "n": [len(codes)] * len(codes), "complete": [complete] * len(codes)}, columns=names)
+
+    def run(key, frames, state):
+        seen, done = ({}, False) if not state.exists else (dict(zip(state.get[0], zip(*state.get[1:4]))), state.get[4])
+        if state.hasTimedOut:
+            state.remove()
+            if not done:
+                yield given(key[0], seen, False)
+            return
+        for frame in frames:
+            for code, ts, number, price in zip(frame.code, frame.ts, frame.event_id, frame.price):
+                at = (pd.Timestamp(ts).value, int(number))
+                if code not in seen or at > seen[code][:2]:
+                    seen[code] = (*at, float(price))
+        ready = not done and len(seen) >= expected
+        codes = sorted(seen)
+        state.update((codes, [seen[c][0] for c in codes], [seen[c][1] for c in codes], [seen[c][2] for c in codes], done or ready))
+        end = pd.Timestamp(key[0]).value // 1_000_000 + seconds * 1000
+        state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+        if ready:
+            yield given(key[0], seen, True)
+
+    rows = stream.withWatermark("ts", late).where("value is not null and event_type is not null")
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / seconds) * seconds)
+    rows = rows.select(start.alias("start"), F.col("event_type").alias("code"), "ts", "event_id", F.col("value").alias("price"))
+    held = "codes array<string>, times array<long>, numbers array<long>, prices array<double>, done boolean"
+    return rows.groupBy("start").applyInPandasWithState(run, "start timestamp, code string, price double, n long, complete boolean", held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def collect_available(stream: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
     """Run over what is there now and return the table of results."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
