@@ -88,3 +88,9 @@ def test_recall_on_planted_blocks():
     print({n: (round(float(share[n]), 2), round(float(untouched[n]), 2)) for n in share})
     assert untouched[5] < 0.6 and untouched[8] < 0.2 and untouched[10] < 0.1
     assert share[5] > 0.25 and share[10] > 0.5
+
+
+def test_columns_of_other_case_are_replaced(spark):
+    df = spark.createDataFrame([(1, "a\nb", 5, "x")], "doc_id long, text string, N_LINES int, N_Removed string")
+    out = line_dedup.deduplicate_lines(df)
+    assert out.columns == ["doc_id", "text", "n_lines", "n_removed", "n_chunks"] and out.select("doc_id", "n_lines", "n_removed").first() == (1, 2, 0)

@@ -63,7 +63,7 @@ def _digest(chunk: bytes) -> bytes:
 def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_LINES, digest=_digest) -> DataFrame:
     """``docs`` with text_col reduced and columns n_lines, n_removed (lines), n_chunks (chunks removed).
 
-    Columns of ``docs`` with these names are replaced; the others stay as they are.
+    Columns of ``docs`` with these names, in any case, are replaced; the others stay as they are.
     The place kept of a repeated chunk is the one with the smallest id (null
     first), then text key, then position.  Rows that share id and text are one
     document and get the same result.  A null text stays null with no lines;
@@ -99,7 +99,7 @@ def deduplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     out = _reduced(docs, doubt, id_col, text_col)
     counts = {c: F.col(f"r.{c}") for c in ("n_lines", "n_removed", "n_chunks")}
-    own = [F.col("r.text").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns if c not in counts]
+    own = [F.col("r.text").alias(c) if c == text_col else F.col("own")[c].alias(c) for c in docs.columns if c.lower() not in counts]
     return out.select(*own, *(v.alias(c) for c, v in counts.items()))
 
 
