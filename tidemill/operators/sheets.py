@@ -74,7 +74,7 @@ def information(clean: DataFrame, factor: str = "factor", periods=(1, 5, 10), ts
     """(horizon, n, mean, sd, ir, t, positive): rank correlations of factor and return by day, over all days."""
     long = horizons(clean, periods, ts, factor).withColumns({"__f": average_rank(factor, ts, "horizon"), "__r": average_rank("ret", ts, "horizon")})
     daily = long.groupBy("horizon", ts).agg(corr("__f", "__r").alias("ic")).where("ic is not null")
-    s = daily.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), F.avg((F.col("ic") > 0).cast("double")).alias("positive"))
+    s = daily.groupBy("horizon").agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), F.avg((F.col("ic") > 1e-12).cast("double")).alias("positive"))  # rank correlations of 0 may miss it by a rounding
     ir = F.col("mean") / F.nullif(F.col("sd"), F.lit(0.0))
     return s.select("horizon", "n", "mean", "sd", ir.alias("ir"), (ir * F.sqrt("n")).alias("t"), "positive")
 

@@ -119,9 +119,9 @@ def _(spark, sf):
 
 @query("tear_information", f"""WITH {_CLEAN}, r AS (SELECT *, rank() OVER (PARTITION BY d, horizon ORDER BY size) + (count(*) OVER (PARTITION BY d, horizon, size) - 1) / 2 AS a, rank() OVER (PARTITION BY d, horizon ORDER BY ret) + (count(*) OVER (PARTITION BY d, horizon, ret) - 1) / 2 AS b FROM h),
 i AS (SELECT horizon, d, CASE WHEN stddev_pop(a) > 0 AND stddev_pop(b) > 0 THEN corr(a, b) END AS ic FROM r GROUP BY 1, 2)
-SELECT horizon, count(ic) AS n, round(avg(ic), 4) AS mean, round(stddev_samp(ic), 4) AS sd, round(avg(ic) / stddev_samp(ic), 4) AS ir, round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 4) AS t, round(avg((ic > 0)::INT), 4) AS positive FROM i WHERE ic IS NOT NULL GROUP BY 1""")
+SELECT horizon, count(ic) AS n, round(round(avg(ic), 9), 4) AS mean, round(round(stddev_samp(ic), 9), 4) AS sd, round(round(avg(ic) / stddev_samp(ic), 9), 4) AS ir, round(round(avg(ic) / stddev_samp(ic) * sqrt(count(ic)), 9), 4) AS t, round(round(avg((ic > 1e-12)::INT), 9), 4) AS positive FROM i WHERE ic IS NOT NULL GROUP BY 1""")
 def _(spark, sf):
-    return rounded(sheets.information(_clean(spark, sf), "size", PERIODS))
+    return rounded(rounded(sheets.information(_clean(spark, sf), "size", PERIODS), digits=9))  # means of few ranks lie on rounding edges
 
 
 @query("tear_turnover", f"""WITH {_CLEAN}, n AS (SELECT code, bin, dense_rank() OVER (ORDER BY d) AS i, rank() OVER (PARTITION BY d ORDER BY size) + (count(*) OVER (PARTITION BY d, size) - 1) / 2 AS r FROM c),
