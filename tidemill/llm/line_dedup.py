@@ -27,7 +27,7 @@ from ._base import forget, per_row, release, stored
 WINDOW = 2
 #: Lines by which a match is continued to either side; two are enough for blocks of five lines and more.
 REACH = 4
-#: Parts into which the places of one chunk, or of one line, are dealt for joins.
+#: Parts into which the places of one chunk are dealt to be joined with the first of them.
 SALTS = 8
 
 _BASE, _MASK = 0x9E3779B97F4A7C15, (1 << 64) - 1
@@ -153,12 +153,12 @@ def _claims(source: DataFrame, digest) -> DataFrame:
 def _doubt(source: DataFrame, claims: DataFrame) -> DataFrame:
     """who, key, and for each line in doubt the bytes of the earlier line."""
     wanted = claims.select("first.*").distinct().groupBy("who", "key").agg(F.collect_set("line").alias("lines"))
-    texts = source.select("who", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
+    texts = source.where(F.contains("text", F.lit("\n"))).select("who", F.xxhash64("text").alias("key"), F.col("text").cast("binary").alias("text"))
     asked = texts.join(wanted, ["who", "key"]).select("who", "key", F.explode(picked("text", "lines")).alias("found"))
-    given = asked.select("who", "key", "found.*").dropDuplicates(["who", "key", "line"]).withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-    salted = claims.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")).select("salt", "first", F.struct("who", "key", "line").alias("own"))
-    same = [salted["salt"] == given["salt"], *(salted[f"first.{c}"] == given[c] for c in ("who", "key", "line"))]
-    return salted.join(given, same).groupBy("own.who", "own.key").agg(F.collect_list(F.struct("own.line", "bytes")).alias("doubt"))
+    given = asked.select("who", "key", "found.*").dropDuplicates(["who", "key", "line"])
+    own = claims.select("first", F.struct("who", "key", "line").alias("own"))
+    same = [own[f"first.{c}"] == given[c] for c in ("who", "key", "line")]
+    return own.join(given, same).groupBy("own.who", "own.key").agg(F.collect_list(F.struct("own.line", "bytes")).alias("doubt"))
 
 
 def picked(text, lines):
