@@ -64,3 +64,25 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.n_hit == 0 and not r.contaminated for r in decontaminate.contamination(docs, none).collect())
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame(ITEMS, "item_id long, text string")).collect() == []
+
+
+def test_workers_hold_no_group_of_items_that_they_have_used(spark):
+    """Twenty groups go through one worker, which is then asked what its broadcasts hold."""
+    items = spark.createDataFrame([(k, f"item {k} " + f"word{k} " * 30) for k in range(20)], "item_id long, text string")
+    docs = spark.range(0, 40, 1, 1).selectExpr("id AS doc_id", "concat('see item ', id % 20, ' ', repeat(concat('word', id % 20, ' '), 30)) AS text")
+    hits = decontaminate.benchmark_hits(docs, items, limit=60, block=500)
+
+    def held(batches):
+        import gc
+
+        import pyarrow as pa
+        from pyspark.core.broadcast import Broadcast
+
+        for batch in batches:
+            found = batch.column("n_words").to_pylist()
+            alive = sum("_value" in vars(b) for b in gc.get_objects() if isinstance(b, Broadcast))
+            yield pa.RecordBatch.from_pydict({"rows": pa.array([len(found)], pa.int64()), "alive": pa.array([alive], pa.int64())})
+
+    rows = hits.mapInArrow(held, "rows long, alive long").collect()
+    assert sum(r.rows for r in rows) == 40 and max(r.alive for r in rows) == 0
+    assert all(len(r.item_ids) == 1 for r in hits.collect())

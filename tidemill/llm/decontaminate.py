@@ -107,9 +107,10 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     Null texts have no words; an empty benchmark hits nothing; items with a null
     id or no words are ignored; equal rows give equal results.  Items go out in
     groups of at most ``limit`` bytes (or one item), each a broadcast of its
-    own.  A task holds ``block`` bytes of texts and one automaton: it scans them
-    with the automaton of each group in turn, so a benchmark of any size is one
-    pass over the table; with one group the automaton is built once.
+    own.  A task holds ``block`` bytes of texts, one automaton and, while that is
+    built, one group's items: it scans the texts with the automaton of each group
+    in turn, so a benchmark of any size is one pass over the table; with one group
+    the automaton is built once.
     """
     kind, span = dict(docs.dtypes)[id_col], "array<struct<`from`: long, `to`: long>>"
     context = docs.sparkSession.sparkContext
@@ -125,6 +126,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
                 if len(groups) > 1 or not built:
                     built.clear()  # one automaton at a time
                     built.append(Machine(group.value, window))
+                    vars(group).pop("_value", None)  # a worker that lives on holds no items; its next use reads them from the executor again
                 yield built[0]
 
         def scanned(held):
