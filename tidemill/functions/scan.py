@@ -131,3 +131,15 @@ def beginnings(df: DataFrame, name: str, code: str = "code", ts: str = "d") -> D
     """``df`` with the time of each code's first row."""
     first = df.groupBy(code).agg(F.min(ts).alias(name)).withColumnRenamed(code, "__code")
     return df.join(first, df[code].eqNullSafe(first["__code"])).drop("__code")
+
+
+def begun_means(df: DataFrame, wanted: dict[str, tuple[str, int, int]], code: str = "code", ts: str = "d", **how) -> DataFrame:
+    """Columns name: (x, n, at): at a code's value number ``at`` the mean of the last n rows, then y' + 2/(n + 1) (x - y'); null before, kept on null rows."""
+    over = f"OVER (PARTITION BY `{code}` ORDER BY `{ts}` ROWS"
+    seen = list(dict.fromkeys(x for x, _, _ in wanted.values()))
+    first = df.selectExpr("*", *(f"count({value(x)}) {over} UNBOUNDED PRECEDING) AS `__n_{x}`" for x in seen), *(f"avg({value(x)}) {over} {n - 1} PRECEDING) AS `__a_{name}`" for name, (x, n, _) in wanted.items()))
+    series = {}
+    for name, (x, n, at) in wanted.items():
+        there, seed = f"({value(x)} IS NOT NULL AND `__n_{x}` >= {at})", f"CASE WHEN {value(x)} IS NOT NULL AND `__n_{x}` = {at} THEN `__a_{name}` END"
+        series[name] = Decay(1 - 2 / (n + 1), f"{2 / (n + 1)!r}D * coalesce({seed}, CASE WHEN {there} THEN {value(x)} END)", there, seed)
+    return decayed(first, series, code, ts, **how).drop(*(f"__n_{x}" for x in seen), *(f"__a_{name}" for name in wanted))

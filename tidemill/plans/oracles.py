@@ -83,6 +83,37 @@ def joined(*ctes: str) -> str:
     return " ".join(f"JOIN {c} ON {c}.code = r.code AND {c}.k = r.k" for c in ctes)
 
 
+def low_passed(cte: str, source: str) -> str:
+    """(code, k, v): source(code, k, v), k from 1, through the zero-phase low-pass of turning points; ends continued by 12 reflected values."""
+    from ..functions.filters import low_pass, settled
+    from ..operators.peaks import CUTOFF, ORDER
+
+    b, a = low_pass(ORDER, CUTOFF)
+    z = settled(b, a)
+    b, a, z = ([num(float(x)) for x in xs] for xs in (b, a, z))
+    first = f"(r.v * ({b[0]} + {z[0]}))"
+    step = f"({b[0]} * r.v + w.z0)"
+    state = {"y": (first, step)} | {
+        f"z{i}": (f"r.v * {b[i + 1]} - {a[i + 1]} * {first}" + (f" + r.v * {z[i + 1]}" if i < 2 else ""), f"r.v * {b[i + 1]} - {a[i + 1]} * {step}" + (f" + w.z{i + 1}" if i < 2 else "")) for i in range(3)
+    }
+    return f"""{cte}_n AS (SELECT code, max(k) AS n, arg_min(v, k) AS f, arg_max(v, k) AS l FROM {source} GROUP BY 1 HAVING max(k) > 12),
+{cte}_x AS (SELECT code, k + 12 AS k, v FROM {source} JOIN {cte}_n USING (code) UNION ALL SELECT code, 14 - k, 2 * f - v FROM {source} JOIN {cte}_n USING (code) WHERE k BETWEEN 2 AND 13 UNION ALL SELECT code, 2 * n - k + 12, 2 * l - v FROM {source} JOIN {cte}_n USING (code) WHERE k BETWEEN n - 12 AND n - 1),
+{walk(f"{cte}_f", f"{cte}_x", state)}, {cte}_y AS (SELECT code, n + 25 - k AS k, y AS v FROM {cte}_f JOIN {cte}_n USING (code)), {walk(f"{cte}_b", f"{cte}_y", state)},
+{cte} AS (SELECT code, n + 13 - k AS k, y AS v FROM {cte}_b JOIN {cte}_n USING (code) WHERE k BETWEEN 13 AND n + 12)"""
+
+
+def turned(cte: str, line: str, smooth: str, price: str) -> str:
+    """(code, k, turn): turning points of line(code, k, v), spaced by the extremes of ``smooth``, kept from the highest on."""
+    w = "OVER (PARTITION BY code ORDER BY k)"
+    runs = f"""{cte}_r AS (SELECT code, i, min(k) + (count(*) - 1) // 2 AS k, any_value(v) AS v FROM (SELECT *, sum(new) OVER (PARTITION BY code ORDER BY k ROWS UNBOUNDED PRECEDING) AS i FROM (SELECT *, CASE WHEN v = lag(v) {w} THEN 0 ELSE 1 END AS new FROM {line})) GROUP BY 1, 2)"""
+    return f"""{cte}_s AS (SELECT code, (count(*) // sum(t)) * 2 AS n FROM (SELECT code, CASE WHEN (v > lag(v) {w} AND v > lead(v) {w}) OR (v < lag(v) {w} AND v < lead(v) {w}) THEN 1 ELSE 0 END AS t FROM {smooth}) GROUP BY 1 HAVING sum(t) > 0),
+{cte}_m AS (SELECT l.code, any_value(n) AS n, max(v) AS hi, min(v) AS lo, 0.01 / any_value(p) * (max(v) - min(v)) AS least FROM {line} l JOIN {cte}_s s ON l.code = s.code JOIN (SELECT code, max(v) AS p FROM {price} GROUP BY 1) q ON q.code = l.code GROUP BY 1), {runs},
+{cte}_c AS (SELECT code, k, v, CASE WHEN v > lag(v) {w} AND v > lead(v) {w} THEN -1 WHEN v < lag(v) {w} AND v < lead(v) {w} THEN 1 END AS turn FROM {cte}_r),
+{cte}_o AS (SELECT code || ' ' || turn AS code, code AS c, turn, c.k AS at, n, row_number() OVER (PARTITION BY code, turn ORDER BY -turn * v DESC, c.k DESC) AS k FROM {cte}_c c JOIN {cte}_m USING (code) WHERE (turn = -1 AND v > lo + least) OR (turn = 1 AND v < hi - least)),
+{walk(f"{cte}_k", f"{cte}_o", {"kept": ("[r.at]", "CASE WHEN len(list_filter(w.kept, lambda q: abs(q - r.at) <= r.n)) = 0 THEN list_append(w.kept, r.at) ELSE w.kept END")})},
+{cte} AS (SELECT c AS code, unnest(kept) AS k, turn FROM (SELECT code, arg_max(kept, k) AS kept FROM {cte}_k GROUP BY 1) JOIN (SELECT DISTINCT code, c, turn FROM {cte}_o) USING (code))"""
+
+
 SQL: dict[str, str] = {}
 
 _several = lambda x, prefix, *ns: f"{ROWS}, {walk('e', 'r', means(*((f'{prefix}{n}', x, n) for n in ns)))}"

@@ -7,12 +7,12 @@ import datetime
 from pyspark.sql import functions as F
 
 from ..functions import rows
-from ..operators import chan, crosses, joins as J, sheets, words
+from ..operators import chan, crosses, joins as J, peaks, sheets, words
 from ..sources import tables as D
 from ..sources.ask import ask
 from ..streaming import streams
 from .more import _events, _ran
-from .oracles import BARS, PER as KEY, ROWS, wilder
+from .oracles import BARS, PER as KEY, ROWS, low_passed, num, ta_mean, turned, walk, wilder
 from .queries import FACTOR, PER, factor_rows, query, rounded
 
 WORD = "[a-z]{1,8}"
@@ -218,6 +218,41 @@ def _(spark, sf):
     return rounded(crosses.band_crosses(D.day_bars(spark, sf)), "code", "d", "min_peak", "max_peak", "boll_cross", "boll_jx", "boll_sx", "boll_ub", "boll_ma", "boll_lb", "boll_width", "boll_delta", "bbw_ma20")
 
 
+# ---- turning points -----------------------------------------------------------------------------
+
+_LINE = "p AS (SELECT code, k, close AS v FROM r)"
+_AHEAD = {x: f"w.{x} + {num(2 / (n + 1))} * (r.close - w.{x})" for x, n in (("fast", 12), ("slow", 26))}
+_MACD = f"""{ROWS}, {_LINE}, a AS (SELECT code, k, close, avg(close) OVER ({KEY} ROWS 11 PRECEDING) AS m12, avg(close) OVER ({KEY} ROWS 25 PRECEDING) AS m26 FROM r),
+{walk("e", "a", {x: (f"r.{m}", f"CASE WHEN r.k <= 26 THEN r.{m} ELSE {_AHEAD[x]} END") for x, m in (("fast", "m12"), ("slow", "m26"))})}, f AS (SELECT code, k, CASE WHEN k >= 26 THEN fast - slow END AS x FROM e), {ta_mean("s", "f", "x", 9)},
+m AS (SELECT *, hist - lag(hist) OVER ({KEY}) AS delta FROM (SELECT code, k, CASE WHEN s.y IS NOT NULL THEN x END AS dif, s.y AS dea, 2 * (x - s.y) AS hist FROM f JOIN s USING (code, k))),
+h AS (SELECT code, k - 33 AS k, dea AS v FROM m WHERE dea IS NOT NULL), {low_passed("hs", "h")}, {turned("ht", "h", "hs", "h")},
+g AS (SELECT m.*, turn, greatest({_crossed("dif", "dea")}, coalesce(turn, 0)) AS up, CASE WHEN turn = -1 THEN 1 ELSE 0 END AS down FROM m LEFT JOIN (SELECT code, k + 33 AS k, turn FROM ht) t USING (code, k)),
+n AS (SELECT *, {_since("up")} AS jx, {_since("down")} AS sx FROM g)"""
+_SHOWN = "round(dif, 4) AS dif, round(dea, 4) AS dea, round(hist, 4) AS macd, round(delta, 4) AS delta, n.turn AS macd_cross, n.jx AS macd_jx, n.sx AS macd_sx"
+
+
+@query("macd_cross", f"{_MACD} SELECT code, d, {_SHOWN} FROM n JOIN r USING (code, k)")
+def _(spark, sf):
+    return rounded(peaks.macd_crosses(D.day_bars(spark, sf)), "code", "d", "dif", "dea", "macd", "delta", "macd_cross", "macd_jx", "macd_sx")
+
+
+@query("price_trend", f"""{_MACD}, {low_passed("ps", "p")}, {turned("pt", "p", "ps", "p")},
+i AS (SELECT *, max(k) OVER (PARTITION BY code) AS n, avg(v) OVER ({KEY} ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS mean, (2 * lead(v, 2) OVER ({KEY}) + lead(v) OVER ({KEY}) - lag(v) OVER ({KEY}) - 2 * lag(v, 2) OVER ({KEY})) / 10 AS b FROM p),
+j AS (SELECT code, k, round(CASE WHEN k = 1 THEN lead(mean, 2) OVER ({KEY}) - 2 * lead(b, 2) OVER ({KEY}) WHEN k = 2 THEN lead(mean) OVER ({KEY}) - lead(b) OVER ({KEY}) WHEN k = n THEN lag(mean, 2) OVER ({KEY}) + 2 * lag(b, 2) OVER ({KEY}) WHEN k = n - 1 THEN lag(mean) OVER ({KEY}) + lag(b) OVER ({KEY}) ELSE mean END, 9) AS v FROM i WHERE n >= 5),
+{turned("et", "j", "j", "p")}, o AS (SELECT n.*, pt.turn AS pp, CASE WHEN jx < sx THEN et.turn END AS ee FROM n LEFT JOIN pt ON pt.code = n.code AND pt.k = n.k LEFT JOIN et ON et.code = n.code AND et.k = n.k),
+q AS (SELECT *, coalesce((pp = 1)::INT, 0) | coalesce((ee = 1)::INT, 0) AS lows, coalesce((pp = -1)::INT, 0) | coalesce((ee = -1)::INT, 0) AS highs FROM o)
+SELECT code, d, {_SHOWN.replace("n.", "q.")}, coalesce(ee, pp) * (k - 1) AS price_cross, {_since("lows")} AS price_jx, {_since("highs")} AS price_sx FROM q JOIN r USING (code, k)""")
+def _(spark, sf):
+    return rounded(peaks.price_trend(D.day_bars(spark, sf)), "code", "d", "dif", "dea", "macd", "delta", "macd_cross", "macd_jx", "macd_sx", "price_cross", "price_jx", "price_sx")
+
+
+@query("mean_turns", f"""{ROWS}, h AS (SELECT code, k - 29 AS k, m AS v FROM (SELECT code, k, avg(close) OVER ({KEY} ROWS 29 PRECEDING) AS m FROM r) WHERE k >= 30), {low_passed("hs", "h")}, {turned("ht", "h", "hs", "h")},
+g AS (SELECT code, k, d, coalesce((turn = 1)::INT, 0) AS up, coalesce((turn = -1)::INT, 0) AS down FROM r LEFT JOIN (SELECT code, k + 29 AS k, turn FROM ht) t USING (code, k))
+SELECT code, d, {_since("up")} AS turn_jx, {_since("down")} AS turn_sx FROM g""")
+def _(spark, sf):
+    return peaks.mean_turns(D.day_bars(spark, sf)).select("code", "d", "turn_jx", "turn_sx")
+
+
 # ---- row functions, SQL, streams ----------------------------------------------------------------
 
 
