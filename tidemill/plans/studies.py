@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rows
 from ..operators import chan, crosses, joins as J, peaks, sheets, words
-from ..sources import tables as D
+from ..sources import blocks, kept, tables as D
 from ..sources.ask import ask
 from ..streaming import streams
 from .more import _events, _ran
@@ -270,6 +270,14 @@ def _(spark, sf):
     return ask(spark, sql, {"bars": D.day_bars(spark, sf)}, {"mean": "close", "top": "high"}, since=datetime.date(1996, 7, 1), without="5-LOW", least=20)
 
 
+@query("block_files", "SELECT p_brand AS block, CAST(p_size AS INT) AS kind, CAST(p_partkey AS VARCHAR) AS code FROM part")
+def _(spark, sf):
+    part = D.table(spark, sf, "part").select(F.substring("p_brand", 7, 9).alias("block"), F.col("p_size").cast("int").alias("kind"), F.col("p_partkey").cast("string").alias("code"))
+    path = kept.shared_path(spark, "blocks")
+    blocks.write_blocks(part, path)
+    return blocks.read_blocks(spark, path).select(F.concat(F.lit("Brand#"), "block").alias("block"), "kind", "code")
+
+
 @query("stream_sections", """WITH e AS (SELECT event_type AS code, time_bucket(INTERVAL 1 HOUR, ts) AS start, ts, event_id, value FROM events WHERE value IS NOT NULL AND event_type IS NOT NULL), l AS (SELECT start, code, arg_max(value, (ts, event_id)) AS price FROM e GROUP BY 1, 2),
 s AS (SELECT start, count(*) AS n, count(*) >= (SELECT count(DISTINCT code) FROM e) AS complete FROM l GROUP BY 1) SELECT start, code, price, n, complete FROM l JOIN s USING (start) WHERE complete OR start + INTERVAL 1 HOUR < (SELECT date_trunc('milliseconds', max(ts)) FROM events) - INTERVAL 1 HOUR""")
 def _(spark, sf):

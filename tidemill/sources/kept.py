@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,12 @@ def shared_folder(spark: SparkSession) -> None:
         context.setCheckpointDir(given or tempfile.mkdtemp(prefix="spark-"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    shared_folder(spark)
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and written to the shared folder, from where a lost executor's work is read again."""
     shared_folder(df.sparkSession)
