@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import crc_mod, cut, free_name, per_row
+from ._base import crc_mod, cut, free_name, per_row, stored
 
 #: Statistics of one text, in this order.
 STATISTICS = (
@@ -187,9 +187,12 @@ def keep_accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """Rows of ``docs`` that the classifier accepts, columns unchanged.
 
     Rows with a null id stay: there is nothing by which to reject them.  Rows
-    that share an id go only if each of their texts is rejected.
+    that share an id go only if each of their texts is rejected.  The rejected
+    ids are a written table, so Spark knows its size before it plans the join:
+    a small one is broadcast and no text is shuffled.
     """
     scored = quality_scores(docs, labels, id_col, text_col)
     name = free_name(docs, "rejected_id")
     rejected = scored.groupBy("doc_id").agg(F.max("predicted").alias("best")).where("best = 0").select(F.col("doc_id").alias(name))
+    rejected, _ = stored(rejected)
     return docs.join(rejected, docs[id_col] == F.col(name), "left_anti")
