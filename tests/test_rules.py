@@ -148,3 +148,30 @@ def test_runs_of_accounts_equal_a_plain_ledger(spark):
             assert (r.cash, r.fees, r.held) == (pytest.approx(cash), pytest.approx(fees), sum(n > 0 for n in amount.values()))
             assert r.equity == pytest.approx(cash + sum(n * price[c] for c, n in amount.items() if n)) and r.cash >= 0
     assert sum(r.refused for r in got.values()) == refused > 10
+
+
+def test_equal_sums_are_equal_in_any_order_of_rows(spark, tmp_path):
+    """21 suppliers of one month with 0.1 + 0.2 + 0.3 each, one of them dealt over two files: none is above the quantile."""
+    from datetime import datetime
+
+    import pandas as pd
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tidemill.functions.series import exact_sum
+    from tidemill.plans import queries
+
+    def part(name, rows):
+        f = pd.DataFrame([(k, datetime(1996, 3, 1 + i), v) for i, (k, v) in enumerate(rows)], columns=["l_suppkey", "l_shipdate", "l_extendedprice"]).assign(l_discount=0.01, l_quantity=1.0)
+        (tmp_path / "lineitem.parquet").mkdir(exist_ok=True)
+        pq.write_table(pa.Table.from_pandas(f, preserve_index=False), tmp_path / "lineitem.parquet" / name, coerce_timestamps="us")
+
+    for k in range(20):
+        part(f"{k:02}.parquet", [(k, v) for v in (0.3, 0.2, 0.1)])
+    part("20.parquet", [(20, v) for v in (0.1, 0.2, 0.3)])
+    assert (0.1 + 0.2) + 0.3 > (0.3 + 0.2) + 0.1
+    assert queries.QUERIES["above_quantile"](spark, str(tmp_path)).collect() == []
+
+    odd = spark.createDataFrame([("nan", float("nan")), ("nan", 1.0), ("inf", float("inf")), ("inf", 1.0), ("huge", 1e300), ("none", None), ("some", None), ("some", 0.1), ("some", 0.2)], "k string, x double")
+    got = {r.k: r.x for r in odd.groupBy("k").agg(exact_sum("x").alias("x")).collect()}
+    assert got["nan"] != got["nan"] and got["inf"] == float("inf") and got["huge"] == 1e300 and got["none"] is None and got["some"] == 0.3

@@ -153,6 +153,16 @@ def corr(a, b, w=None) -> Column:
     return on(F.covar_pop(a, b)) / F.nullif(spread, F.lit(0.0))
 
 
+def exact_sum(x) -> Column:
+    """Sum of doubles by their decimal digits (10 behind the point), the same in any order of rows.
+
+    Equal sums come out equal, so comparisons and ranks do not hang on how rows
+    were dealt.  NaN, infinite and huge values are no such decimals; with one the sum is the plain one.
+    """
+    digits = col(x).try_cast("decimal(28,10)")
+    return F.when(F.count(digits) == F.count(col(x)), F.sum(digits).cast("double")).otherwise(F.sum(col(x)))
+
+
 def bars_since(cond, w, position):
     """Rows since ``cond`` was last true; null before."""
     return col(position) - F.max(F.when(cond, col(position))).over(last_n(w, 0))

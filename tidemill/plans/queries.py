@@ -541,7 +541,7 @@ QUERIES["renko_percent"] = lambda spark, sf: rounded(G.renko_bricks(D.day_bars(s
 
 def factor_rows(spark, sf):
     """Supplier by month: factor = mean discount, return = next month's relative change of revenue."""
-    l = D.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "month").alias("d")).agg(F.avg("l_discount").alias("factor"), F.sum("l_extendedprice").alias("close"), F.avg("l_quantity").alias("size"))
+    l = D.table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("code"), F.trunc("l_shipdate", "month").alias("d")).agg(F.avg("l_discount").alias("factor"), S.exact_sum("l_extendedprice").alias("close"), F.avg("l_quantity").alias("size"))
     return l.withColumn("ret", F.lead("close").over(I.W()) / F.col("close") - 1)
 
 
