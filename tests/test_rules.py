@@ -1,5 +1,7 @@
 """Exact values of market rules, portfolio weights and risk figures."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -175,3 +177,23 @@ def test_equal_sums_are_equal_in_any_order_of_rows(spark, tmp_path):
     odd = spark.createDataFrame([("nan", float("nan")), ("nan", 1.0), ("inf", float("inf")), ("inf", 1.0), ("huge", 1e300), ("none", None), ("some", None), ("some", 0.1), ("some", 0.2)], "k string, x double")
     got = {r.k: r.x for r in odd.groupBy("k").agg(exact_sum("x").alias("x")).collect()}
     assert got["nan"] != got["nan"] and got["inf"] == float("inf") and got["huge"] == 1e300 and got["none"] is None and got["some"] == 0.3
+
+
+@pytest.mark.parametrize("name", ["stock_turnover"])
+def test_parts_grow_with_the_table(spark, monkeypatch, capsys, name):
+    """What one task holds is bounded by rows: a table of more rows is dealt into more parts."""
+    from tidemill.plans import queries
+    from tidemill.sources import tables
+
+    monkeypatch.setattr(tables, "PART_ROWS", 100)
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").explain()
+    n = -(-tables.table(spark, "/root/testdata/sf0.001", "lineitem").count() // 100)
+    assert re.search(rf"hashpartitioning\(code#\w+(, d#\w+)?, {n}\), REPARTITION_BY_NUM", capsys.readouterr().out)
+
+
+def test_turnover_of_stocks(spark):
+    from tidemill.operators.factors import stock_turnover
+
+    bars = spark.createDataFrame([(1, 1, 30.0), (1, 2, None), (2, 1, 5.0), (3, 1, 5.0)], "code int, d int, volume double")
+    shares = spark.createDataFrame([(1, 60.0), (2, 0.0)], "code int, shares double")
+    assert sorted(tuple(r) for r in stock_turnover(bars, shares).collect()) == [(1, 1, 0.5), (1, 2, None), (2, 1, None)]

@@ -154,11 +154,16 @@ def dummies(rows: DataFrame, x: str, values: list) -> DataFrame:
 
 
 def block_turnover(bars: DataFrame, members: DataFrame, shares: DataFrame, by: str = "d", code: str = "code") -> DataFrame:
-    """(block, d, turnover): volume traded in a block's members over their shares; with one code a block, a stock's own."""
+    """(block, d, turnover): volume traded in a block's members over their shares."""
     j = bars.select(code, by, "volume").join(shares.select(code, "shares"), code).join(members.select("block", code), code)
     return j.groupBy("block", by).agg((F.sum("volume") / F.nullif(F.sum("shares"), F.lit(0.0))).alias("turnover"))
 
 
+def stock_turnover(bars: DataFrame, shares: DataFrame, by: str = "d", code: str = "code") -> DataFrame:
+    """(code, d, turnover) of bars, one a code and day: volume over the code's shares."""
+    return bars.join(shares.select(code, "shares"), code).select(code, by, (F.col("volume") / F.nullif(F.col("shares"), F.lit(0.0))).alias("turnover"))
+
+
 def register(factors: DataFrame, path: str, version: int) -> DataFrame:
     """Store factor values (name, code, d, value) as a version in a table; of one key the last version counts."""
     from ..sources.sinks import upsert

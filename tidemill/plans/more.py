@@ -340,9 +340,10 @@ def _(spark, sf):
 
 @query("stock_turnover", f"WITH {TRADES} SELECT code AS block, d, round(sum(volume) / (1000.0 + code), 6) AS turnover FROM trades GROUP BY code, d")
 def _(spark, sf):
-    t = D.trades(spark, sf)
-    codes = t.select("code").distinct()
-    return rounded(Q.block_turnover(t.groupBy("code", "d").agg(F.sum("volume").alias("volume")), codes.withColumn("block", F.col("code")), codes.withColumn("shares", 1000.0 + F.col("code"))), digits=6)
+    t = D.trades(spark, sf).select("code", "d", "volume")
+    shares = t.select("code").distinct().withColumn("shares", 1000.0 + F.col("code"))
+    own = Q.stock_turnover(D.dealt(t, "code", "d").groupBy("code", "d").agg(F.sum("volume").alias("volume")), shares)
+    return rounded(own.select(F.col("code").alias("block"), "d", "turnover"), digits=6)
 
 
 def _store(spark, sf):

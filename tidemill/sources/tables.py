@@ -13,6 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows in a part of ``dealt`` tables.
+PART_ROWS = 1 << 19
+
+
+def dealt(df: DataFrame, *by: str, rows: int | None = None) -> DataFrame:
+    """``df`` dealt by columns into parts of some PART_ROWS rows, so a task holds no more of a larger table.
+
+    ``rows`` are counted if not given; of a projection of Parquet files that reads their footers alone.
+    """
+    rows = df.count() if rows is None else rows
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // PART_ROWS)), *by)
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """Column aliases resolved, NaN and sentinel values (over 1e300) null, full-row duplicates gone."""
     for old, new in ALIASES.items():
