@@ -179,7 +179,7 @@ def test_equal_sums_are_equal_in_any_order_of_rows(spark, tmp_path):
     assert got["nan"] != got["nan"] and got["inf"] == float("inf") and got["huge"] == 1e300 and got["none"] is None and got["some"] == 0.3
 
 
-@pytest.mark.parametrize("name", ["stock_turnover"])
+@pytest.mark.parametrize("name", ["stock_turnover", "suspensions"])
 def test_parts_grow_with_the_table(spark, monkeypatch, capsys, name):
     """What one task holds is bounded by rows: a table of more rows is dealt into more parts."""
     from tidemill.plans import queries
@@ -197,3 +197,14 @@ def test_turnover_of_stocks(spark):
     bars = spark.createDataFrame([(1, 1, 30.0), (1, 2, None), (2, 1, 5.0), (3, 1, 5.0)], "code int, d int, volume double")
     shares = spark.createDataFrame([(1, 60.0), (2, 0.0)], "code int, shares double")
     assert sorted(tuple(r) for r in stock_turnover(bars, shares).collect()) == [(1, 1, 0.5), (1, 2, None), (2, 1, None)]
+
+
+def test_suspensions_lie_between_bars(spark):
+    """Gaps, bars without volume or with none, bars twice, and a life whose first bar is off the calendar."""
+    cal = spark.createDataFrame([(10 * k, k) for k in range(8)], "d int, idx int")
+    bars = [("a", 10, 5.0), ("a", 20, 0.0), ("a", 50, 1.0), ("a", 60, None), ("b", 30, 1.0), ("c", 5, 1.0), ("c", 20, 1.0), ("c", 40, 1.0), ("d", 0, 0.0), ("d", 0, 0.0), ("d", 20, 1.0), ("e", 5, 1.0)]
+    got = market.suspensions(spark.createDataFrame(bars, "code string, d int, volume double").repartition(3), cal)
+    assert got.columns == ["code", "d", "reason"]
+    assert sorted(tuple(r) for r in got.collect()) == [
+        ("a", 20, "no_volume"), ("a", 30, "missing"), ("a", 40, "missing"), ("a", 60, "missing"), ("c", 30, "missing"), ("d", 0, "no_volume"), ("d", 0, "no_volume"), ("d", 10, "missing"),
+    ]

@@ -72,14 +72,21 @@ def in_windows(ts, windows: list[tuple[str, str]]) -> Column:
 
 
 def suspensions(bars: DataFrame, calendar: DataFrame, by: str = "code", ts: str = "d") -> DataFrame:
-    """(code, d, reason): trade days in a code's life without a bar (missing) or with one of no volume (no_volume)."""
-    at = calendar.select(F.col("d").alias("__t"), F.col("idx").alias("__at"))
-    life = bars.groupBy(by).agg(F.min(ts).alias("__a"), F.max(ts).alias("__b"))
-    ends = life.join(at.toDF("__a", "__i"), "__a").join(at.toDF("__b", "__j"), "__b")
-    days = ends.select(by, F.explode(F.sequence("__i", "__j")).alias("__at")).join(at, "__at").select(by, F.col("__t").alias(ts))
-    j = days.join(bars.select(by, ts, "volume"), [by, ts], "left")
-    reason = F.when(F.col("volume").isNull(), "missing").when(F.col("volume") == 0, "no_volume")
-    return j.select(by, ts, reason.alias("reason")).where("reason is not null")
+    """(code, d, reason): trade days in a code's life without a bar (missing) or with one of no volume (no_volume).
+
+    A life begins and ends with a bar on a trade day.  Days without a bar are
+    spelled out between two bars that follow each other, as they are told, so
+    no task holds or moves the days of all lives.
+    """
+    at = F.broadcast(calendar.select(F.col("d").alias("__t"), F.col("idx").cast("long").alias("__at")))
+    next_ = F.lead("__at").over(Window.partitionBy(by).orderBy("__at"))
+    placed = bars.select(by, F.col(ts).alias("__t"), "volume").join(at, "__t").withColumn("__next", next_)
+    own = F.when(F.col("volume").isNull(), "missing").when(F.col("volume") == 0, "no_volume")
+    gap = F.when(F.col("__next") > F.col("__at") + 1, F.sequence(F.col("__at") + 1, F.col("__next") - 1))
+    # position 0 of what a bar tells is its own day, the rest are the days behind it
+    days = placed.where(own.isNotNull() | gap.isNotNull()).select(by, own.alias("reason"), F.posexplode(F.concat(F.array("__at"), F.coalesce(gap, F.array().cast("array<bigint>")))).alias("__k", "__at"))
+    told = days.select(by, "__at", F.when(F.col("__k") > 0, "missing").otherwise(F.col("reason")).alias("reason")).where("reason is not null")
+    return told.join(at, "__at").select(by, F.col("__t").alias(ts), "reason")
 
 
 def pending(orders: DataFrame, done=("FILLED", "CANCELLED", "REJECTED"), status: str = "status") -> DataFrame:

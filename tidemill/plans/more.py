@@ -244,7 +244,8 @@ def _(spark, sf):
 SELECT g.code, g.d, CASE WHEN b.volume IS NULL THEN 'missing' ELSE 'no_volume' END AS reason FROM g LEFT JOIN b ON g.code = b.code AND g.d = b.d WHERE b.volume IS NULL OR b.volume = 0""")
 def _(spark, sf):
     cal = D.calendar(spark, sf)
-    b = D.trades(spark, sf).join(cal.select("d"), "d", "left_semi").groupBy("code", "d").agg(F.when(F.count("*") > 1, F.sum("volume")).otherwise(0.0).alias("volume"))
+    t = D.trades(spark, sf).select("code", "d", "volume")
+    b = D.dealt(t, "code").join(F.broadcast(cal.select("d")), "d", "left_semi").groupBy("code", "d").agg(F.when(F.count("*") > 1, F.sum("volume")).otherwise(0.0).alias("volume"))
     return M.suspensions(b, cal)
 
 
