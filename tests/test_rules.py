@@ -179,7 +179,7 @@ def test_equal_sums_are_equal_in_any_order_of_rows(spark, tmp_path):
     assert got["nan"] != got["nan"] and got["inf"] == float("inf") and got["huge"] == 1e300 and got["none"] is None and got["some"] == 0.3
 
 
-@pytest.mark.parametrize("name", ["stock_turnover", "suspensions"])
+@pytest.mark.parametrize("name", ["stock_turnover", "suspensions", "reindex_nearest"])
 def test_parts_grow_with_the_table(spark, monkeypatch, capsys, name):
     """What one task holds is bounded by rows: a table of more rows is dealt into more parts."""
     from tidemill.plans import queries

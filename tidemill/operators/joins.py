@@ -101,12 +101,18 @@ def reindexed(grid: DataFrame, rows: DataFrame, values: list[str], direction: st
     kind = dict(grid.dtypes)[ts]
     number = lambda c: F.unix_date(c) if kind == "date" else F.unix_micros(F.col(c).cast("timestamp")) if isinstance(c, str) else F.unix_micros(c.cast("timestamp"))
     scale = 1 if kind == "date" else 1_000_000
-    own = grid.select(by, F.col(ts).alias("__t"), F.struct(*grid.columns).alias("__g"), F.lit(None).cast(dict(once.dtypes)["__v"]).alias("__v"), F.lit(1).alias("__side"))
-    other = once.select(by, F.col(ts).alias("__t"), F.lit(None).cast(dict(own.dtypes)["__g"]).alias("__g"), "__v", F.lit(0).alias("__side"))
-    s = own.unionByName(other).withColumn("__m", F.when(F.col("__side") == 0, F.struct(F.col("__t").alias("at"), "__v")))
+    rest = [c for c in grid.columns if c not in (by, ts)]
+    match = F.struct(F.col(ts).alias("at"), "__v").alias("__m")
+    kinds = dict(grid.select(by, F.struct(*rest).alias("__g") if rest else F.lit(True).alias("__g")).dtypes) | dict(once.select(match).dtypes)
+    none = lambda c: F.lit(None).cast(kinds[c]).alias(c)
+    # a row carries its own side's columns alone, as all rows of a key are sorted once in each direction
+    own = grid.select(by, F.col(ts).alias("__t"), F.struct(*rest).alias("__g") if rest else none("__g"), none("__m"), F.lit(1).alias("__side"))
+    other = once.select(by, F.col(ts).alias("__t"), none("__g"), match, F.lit(0).alias("__side"))
+    s = own.unionByName(other)
     so_far = lambda *order: Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("__back", F.last("__m", ignorenulls=True).over(so_far(F.asc("__t"), "__side")))
     if direction in ("forward", "nearest"):
+        s = s.withColumn("__back", F.when(F.col("__side") == 1, F.col("__back")))
         s = s.withColumn("__fore", F.last("__m", ignorenulls=True).over(so_far(F.desc("__t"), "__side")))
     gap = lambda c: F.abs(number(F.col(c)["at"]) - number(F.col("__t")))
     found = {
@@ -116,4 +122,5 @@ def reindexed(grid: DataFrame, rows: DataFrame, values: list[str], direction: st
     s = s.where("__side = 1").withColumn("__f", found)
     if tolerance is not None:
         s = s.withColumn("__f", F.when(gap("__f") <= tolerance * scale, F.col("__f")))
-    return s.select("__g.*", *(F.col("__f.__v")[v].alias(v) for v in values), F.col("__f.at").alias("matched"))
+    own_columns = [F.col("__t").alias(c) if c == ts else F.col(c) if c == by else F.col("__g")[c].alias(c) for c in grid.columns]
+    return s.select(*own_columns, *(F.col("__f.__v")[v].alias(v) for v in values), F.col("__f.at").alias("matched"))

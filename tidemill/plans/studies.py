@@ -158,6 +158,7 @@ _SIDES = """g AS (SELECT DISTINCT l_suppkey AS code, CAST(l_shipdate AS DATE) AS
 
 def _sides(spark, sf):
     l = D.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("code"), F.to_date("l_shipdate").alias("d"), F.col("l_quantity").alias("volume"), F.col("l_partkey").alias("part"), "l_returnflag")
+    l = D.dealt(l, "code")
     return l.where("l_returnflag <> 'R'").select("code", "d").distinct(), l.where("l_returnflag = 'R'")
 
 
