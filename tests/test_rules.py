@@ -208,3 +208,20 @@ def test_suspensions_lie_between_bars(spark):
     assert sorted(tuple(r) for r in got.collect()) == [
         ("a", 20, "no_volume"), ("a", 30, "missing"), ("a", 40, "missing"), ("a", 60, "missing"), ("c", 30, "missing"), ("d", 0, "no_volume"), ("d", 0, "no_volume"), ("d", 10, "missing"),
     ]
+
+
+def test_bars_that_count_for_nothing_stay_out_of_an_accounts_stream(spark):
+    """Of 400 codes an account wants one, on two days: its stream gets that code's bars till it is sold, and a bar for each other day."""
+    from tidemill.operators.backtest import run_accounts
+
+    rows = [("p", d, f"c{k:03}", 10.0, 11.0, 0.0 if d == 4 and k == 7 else 1.0, 14.0, 6.0, 0.5 if k == 7 and d in (2, 3) else 0.0) for d in range(9) for k in range(400)]
+    df = spark.createDataFrame(rows, "account string, d int, code string, open double, close double, volume double, limit_up double, limit_down double, weight double")
+    seen, real = [], type(df).repartition
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(type(df), "repartition", lambda self, *by: seen.append(self) or real(self, *by))
+        got = sorted(run_accounts(df, 10_000.0, 10.0, 0.0, 0.0, 0.0, 0.0).collect(), key=lambda r: r.d)
+    assert [r.d for r in got] == list(range(9))
+    assert [(r.held, r.bought, r.sold, r.refused) for r in got] == [(0, 0, 0, 0)] * 2 + [(1, 5000, 0, 0), (1, 0, 0, 0), (1, 0, 0, 1), (0, 0, 5000, 0)] + [(0, 0, 0, 0)] * 3
+    stream = seen[-1].collect()
+    assert {r.d for r in stream if r.code == "c007"} >= {2, 3, 4, 5}
+    assert len(stream) <= 4 + 9 * 8

@@ -83,7 +83,9 @@ def run_accounts(rows: DataFrame, cash: float = 1_000_000.0, lot: float = 100.0,
     are refused at the upper limit and sales at the lower.  Held codes without
     a bar keep their last close.  An account is a parameter set: Spark deals
     accounts out, and each is a sorted stream of days that holds its positions
-    and one day's bars alone.
+    and one day's bars alone.  Bars of codes that an account can not hold and
+    does not want change nothing; codes are looked at side by side, and only
+    the other bars, and one a task for a day to be told, go to the account's stream.
     """
     kinds = dict(rows.dtypes)
     columns = ("cash", "equity", "held", "bought", "sold", "fees", "refused")
@@ -150,7 +152,26 @@ def run_accounts(rows: DataFrame, cash: float = 1_000_000.0, lot: float = 100.0,
     def to_batch(found):
         return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), made)], schema=made)
 
-    return rows.repartition(account).sortWithinPartitions(account, ts, code).mapInArrow(run, schema)
+    def telling(batches):
+        told = set()
+        for batch in batches:
+            keep = batch.column("__counts").to_numpy(zero_copy_only=False).copy()
+            days = pa.table({"who": batch.column(account), "at": batch.column(ts), "row": pa.array(np.arange(len(keep)))}).group_by(["who", "at"]).aggregate([("row", "min")])
+            for who, at, row in zip(*(days.column(c).to_pylist() for c in ("who", "at", "row_min"))):
+                if (who, at) not in told:
+                    told.add((who, at))
+                    keep[row] = True
+            yield batch.filter(pa.array(keep))
+
+    wanted = F.coalesce(F.col("weight"), F.lit(0.0)) != 0
+    stuck = (F.coalesce(F.col("limit_down"), F.lit(0.0)) != 0) & (F.col("open") * (1 - slip) <= F.col("limit_down"))
+    sold = F.coalesce((F.col("volume") > 0) & ~stuck, F.lit(False))  # a held code is surely gone after such a bar, if unwanted
+    before = Window.partitionBy(account, code).orderBy(ts, wanted).rowsBetween(Window.unboundedPreceding, -1)
+    may_hold = F.coalesce(F.last(F.when(wanted, True).when(sold, False), ignorenulls=True).over(before), F.lit(False))
+    used = rows.select(account, ts, code, "open", "close", "volume", "limit_up", "limit_down", "weight")
+    counting = used.withColumn("__counts", wanted | may_hold)
+    few = counting.mapInArrow(telling, counting.schema).drop("__counts")
+    return few.repartition(account).sortWithinPartitions(account, ts, code).mapInArrow(run, schema)
 
 
 def attention_scores(bars: DataFrame, features: list[str], window: int = 32, weights: list[float] | None = None, temperature: float = 1.0, hidden: int = 8, decay: float = 0.7, code: str = "code", ts: str = "d") -> DataFrame:
