@@ -1,4 +1,7 @@
+import itertools
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -269,3 +272,72 @@ def test_recall_near_the_least_similarity(words, least):
             found = [x for blocks in (sd.chain(r, r + off) if len(match) > 1 else []) for x in sd.passages(a, b, blocks)]
             hits += any(r0 <= 110 and r1 >= 90 + words and r1 - r0 <= words + 4 for r0, r1, _, _ in found)
         assert hits >= least * 60
+
+
+def test_a_pair_whose_shared_seeds_are_frequent_and_stand_among_others_is_found(spark):
+    rng = np.random.default_rng(21)
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 10**6, k)]
+    pieces, phrases = [word(16) for _ in range(5)], [word(9) for _ in range(40)]
+    rows, edges = [], []
+    for one, two in ((phrases[0], phrases[1]), (phrases[2], phrases[3])):  # 80 words in common of 96, each gap its own and frequent too
+        gaps = [word(4) for _ in range(4)]
+        rows.append(word(20) + one + sum((p + g for p, g in zip(pieces, [*gaps, []])), []) + two + word(20))
+        edges += [p[-8:] + g + q[:8] for p, g, q in zip(pieces, gaps, pieces[1:])]
+    for piece in pieces:
+        for _ in range(150):
+            rows.append(word(6) + phrases[rng.integers(40)] + piece + phrases[rng.integers(40)] + word(6))
+    rows += [word(9) + e + word(9) for e in edges for _ in range(11)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    found = {r.doc_id: r for r in sd.repeated_passages(df).collect()}
+    assert {i: (r.n_repeated, r.n_links, r.class_id, r.partner_id) for i, r in found.items()} == {0: (96, 1, 0, 1), 1: (96, 1, 0, 0)}
+
+
+@pytest.mark.parametrize("n,split", [(40, 0), (700, 0), (700, 300)])
+def test_alike_equals_brute_force(n, split):
+    from collections import Counter
+
+    rng = np.random.default_rng(n + split)
+    common = rng.integers(0, 1 << 16, 20)
+    near = [np.concatenate([rng.integers(0, 1 << 16, 30), common, rng.integers(0, [3, 1 << 16][i % 2], 30)]).astype(np.uint16) for i in range(9)]
+    windows = []
+    for _ in range(n):
+        w = near[rng.integers(9)].copy()
+        w[rng.choice(len(w), int(rng.integers(0, 12)), replace=False)] = rng.integers(0, 1 << 16)
+        windows.append(w[: int(rng.integers(40, 81))].tobytes())
+    label = rng.integers(0, 3, n)
+    label[260:520] = 2
+    pairs = [Counter(itertools.pairwise(np.frombuffer(w, np.uint16).tolist())) for w in windows]
+    want = {(i, j) for i in range(split or n) for j in range(max(i + 1, split), n) if (label[i] != label[j] or not label[i]) and (pairs[i] & pairs[j]).total() >= sd.SHARED}
+    one, two = sd.alike(windows, label, split)
+    assert sorted(zip(one.tolist(), two.tolist())) == sorted(want) and len(want) > n / 2
+
+
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_compared_blocks_do_not_depend_on_batches(size):
+    rng = np.random.default_rng(22)
+    texts = [rng.integers(0, 60, 90).astype(np.uint16) for _ in range(6)]
+    rows = []
+    for seed, lo, hi in ((1, 0, 0), (1, 0, 1), (1, 1, 1), (2, 0, 1), (3, 0, 0)):
+        for key in range(24):
+            block = key % 2
+            if block in (lo, hi) and (seed != 2 or not block):
+                rows += [(seed, lo, hi, block, key % 3, key, 5, texts[key % 6].tobytes())] * (1 + key % 2)
+    rows.sort()
+    names = ["seed", "lo", "hi", "block", "label", "key", "place", "words"]
+    made = (pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*rows[k : k + size])], names=names) for k in range(0, len(rows), size))
+    found = {tuple(r.values()) for b in sd._compared(made) for r in b.to_pylist()}
+    assert found == {(a, b) for a in range(24) for b in range(a + 1, 24) if a % 6 == b % 6 and a % 3 == 0}
+
+
+def test_all_matches_equal_brute_force():
+    rng = np.random.default_rng(23)
+    for n in (3, 5, 60, 200):
+        a, b = rng.integers(0, 3, n), rng.integers(0, 3, 2 * n)
+        for two, itself in ((b, False), (a, True)):
+            (s, p), (t, q) = sd.seeds(a), sd.seeds(two)
+            told = [{(u, x) for u, x in zip(*v) if not any(w == u and 0 < x - y <= sd.SAMPLE for w, y in zip(*v)) or not any(w == u and 0 < y - x <= sd.SAMPLE for w, y in zip(*v))} for v in ((s, p), (t, q))]
+            want = sorted((int(y) - int(x), int(x)) for u, x in told[0] for w, y in told[1] if u == w and (not itself or x < y))
+            r, p = sd.all_matches(sd.sorted_seeds(a), sd.sorted_seeds(two), itself)
+            assert list(zip((p - r).tolist(), r.tolist())) == want
+    runs = [sd.sorted_seeds(np.zeros(n, np.int64)) for n in (500, 70)]
+    assert [len(x) for x in sd.all_matches(*runs, False)] == [27, 27]

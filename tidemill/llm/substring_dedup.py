@@ -9,6 +9,11 @@ passage.  The matches of two texts are chained in order, with a cost for gaps,
 through a Fenwick tree; the words between chained matches are aligned, and
 aligned stretches that are long and similar enough are passages.  Passages
 linked by alignments are one class.
+
+Neighbours are not all pairs.  So every two places of a frequent seed that are
+not of one class by then are compared, block by block: if the words around
+them have enough word pairs in common for a passage, all seeds that their
+texts share are matched, chained and aligned.
 """
 
 from __future__ import annotations
@@ -45,6 +50,10 @@ HOT_TEXTS, HOT_SEEDS, HOT_LEAST, SALTS = 32, 10_000, 64, 64
 #: A gap with more edits ends a passage; words around a chain in which its ends may lie.
 BREAK_EDITS = 16
 MARGIN = 96
+#: Words before and after a place that are compared, and word pairs that they must have in common: 50 words with 10 edits have 29 at least.
+AROUND, SHARED = 64, 24
+#: Places of a seed in a block: any two blocks are compared in one group of rows. Of a run of one seed, one place in so many and the last are taken.
+BLOCK, RUN_STEP = 4096, 64
 
 
 def word_hashes(text: bytes | None, known: dict[bytes, int] | None = None) -> np.ndarray:
@@ -433,6 +442,152 @@ def _chains(batches):
             yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=kind)
 
 
+def _unlike(batches):
+    """Places of frequent seeds, (seed, key, place, label, before, gap), of a partition of (key, place, seed, label) sorted by (key, place).
+
+    before and gap: the frequent seed before the place and the words between, 0
+    for the first of a text.  Within a run of one seed, not more than SAMPLE
+    words apart, one place in RUN_STEP and the last are told.
+    """
+    names = ["seed", "key", "place", "label"]
+    held = [np.zeros(0, np.int64)] * 4
+    for batch in itertools.chain(batches, [None]):
+        rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)] if batch is not None else held
+        n = len(rows[0]) if batch is None else int(np.searchsorted(rows[1], rows[1][-1])) if len(rows[1]) else 0
+        held = [v[n:] for v in rows]
+        seed, key, place, label = (v[:n] for v in rows)
+        if not n:
+            continue
+        inner = np.concatenate([[False], np.diff(key) == 0])
+        before = np.where(inner, np.roll(seed, 1), 0)
+        gap = np.where(inner, place - np.roll(place, 1), 0)
+        by = np.lexsort((place, seed, key))
+        on = np.concatenate([[False], (np.diff(key[by]) == 0) & (np.diff(seed[by]) == 0) & (np.diff(place[by]) <= SAMPLE)])
+        first = np.flatnonzero(~on)
+        at = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
+        kept = np.sort(by[(at % RUN_STEP == 0) | ~np.append(on[1:], False)])
+        for k in range(0, len(kept), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[kept[k : k + 200_000]]) for v in (seed, key, place, label, before, gap)], names=[*names, "before", "gap"])
+
+
+def word_pairs(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the word pairs of windows (16 bits a word); the k-th of equal pairs of a window is a column of its own."""
+    words = [np.frombuffer(w, np.uint16).astype(np.int64) for w in windows]
+    pair = [w[:-1] << 16 | w[1:] for w in words]
+    row, pair = np.repeat(np.arange(len(pair)), [len(x) for x in pair]), np.concatenate(pair)
+    order = np.lexsort((pair, row))
+    row, pair = row[order], pair[order]
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(pair) != 0)])) if len(row) else row
+    again = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    return row, np.unique(pair << 20 | again, return_inverse=True)[1]
+
+
+def alike(windows: list[bytes], label: np.ndarray, split: int, least: int = SHARED) -> tuple[np.ndarray, np.ndarray]:
+    """Windows i < j, of different labels or none (0), with ``least`` word pairs in common; with ``split``, i is below it and j is not.
+
+    Word pairs of many windows are counted by a product of matrices, the others
+    by the windows that hold them.
+    """
+    n = len(windows)
+    row, column = word_pairs(windows)
+    often = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    kept = often[column] > 1
+    row, column = row[kept], column[kept]
+    common = often[column] * 16 > n
+    dense = np.zeros((n, len(set(column[common].tolist()))), np.float32)
+    dense[row[common], np.unique(column[common], return_inverse=True)[1]] = 1
+    row, column = row[~common], column[~common]
+    by = np.argsort(column, kind="stable")
+    holders, column_of = row[by], column[by]
+    begin, end = np.searchsorted(column_of, column), np.searchsorted(column_of, column, side="right")
+    edge = np.searchsorted(row, np.arange(n + 1))
+    one, two = [], []
+    top = split or n
+    for a in range(0, top, 256):
+        b = min(a + 256, top)
+        low = split or a  # windows before it are no second ones
+        same = len(set(label[a:b].tolist())) == 1 and label[a] != 0
+        others = low + np.flatnonzero(label[low:] != label[a]) if same else np.arange(low, n)
+        if not len(others):
+            continue
+        shared = dense[a:b] @ dense[others].T
+        where = np.full(n, -1)
+        where[others] = np.arange(len(others))
+        for i in range(a, b):
+            if edge[i] < edge[i + 1]:
+                met = where[np.concatenate([holders[x:y] for x, y in zip(begin[edge[i] : edge[i + 1]].tolist(), end[edge[i] : edge[i + 1]].tolist())])]
+                shared[i - a] += np.bincount(met[met >= 0], minlength=len(others))
+        x, y = np.nonzero(shared >= least)
+        x, y = x + a, others[y]
+        ok = (x < y) & ((label[x] != label[y]) | (label[x] == 0))
+        one.append(x[ok])
+        two.append(y[ok])
+    return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
+
+
+def _compared(batches):
+    """Pairs of texts (rep, key) that are alike around a place, of a partition of (seed, lo, hi, block, label, key, place, words) sorted by these.
+
+    Rows of one seed, lo and hi are two blocks of its places, or one; one such
+    group is held.
+    """
+    names, numbers = ["seed", "lo", "hi", "block", "label", "key", "place"], 7
+
+    def take(columns, words):
+        seed, lo, hi, block, label, key, place = columns
+        new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(place) != 0) | (np.diff(block) != 0)])  # copies of a text
+        at = np.flatnonzero(new)
+        if len(at) < 2:
+            return
+        split = int(np.searchsorted(block[at], hi[0])) if lo[0] != hi[0] else 0
+        if lo[0] != hi[0] and split in (0, len(at)):
+            return
+        one, two = alike([words[k] for k in at.tolist()], label[at], split)
+        if len(one):
+            a, b = key[at[one]], key[at[two]]
+            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            for k in range(0, pairs.shape[1], 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in pairs], names=["rep", "key"])
+
+    held, said = [np.zeros(0, np.int64)] * numbers, []
+    for batch in batches:
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+        said = said + batch.column("words").to_pylist()
+        if not said:
+            continue
+        edge = np.concatenate([[0], np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1]).tolist()
+        for a, b in itertools.pairwise(edge):
+            yield from take([v[a:b] for v in held], said[a:b])
+        held, said = [v[edge[-1] :] for v in held], said[edge[-1] :]
+    if said:
+        yield from take(held, said)
+
+
+def sorted_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, place) of a text, in this order; of a run of one seed as in ``_unlike``."""
+    seed, place = seeds(words)
+    by = np.lexsort((place, seed))
+    seed, place = seed[by], place[by]
+    on = np.concatenate([[False], (np.diff(seed) == 0) & (np.diff(place) <= SAMPLE)])[: len(seed)]
+    first = np.flatnonzero(~on)
+    at = np.arange(len(seed)) - np.repeat(first, np.diff(np.append(first, len(seed))))
+    kept = (at % RUN_STEP == 0) | ~np.append(on[1:], False)[: len(seed)]
+    return seed[kept], place[kept]
+
+
+def all_matches(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray], itself: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the seeds that two texts (their ``sorted_seeds``) share, sorted for ``chain``."""
+    (s, r), (t, p) = one, two
+    begin, end = np.searchsorted(t, s), np.searchsorted(t, s, side="right")
+    size = end - begin
+    r = np.repeat(r, size)
+    p = p[np.repeat(begin, size) + np.arange(len(r)) - np.repeat(np.cumsum(size) - size, size)]
+    if itself:
+        r, p = r[r < p], p[r < p]
+    order = np.lexsort((r, p - r))
+    return r[order], p[order]
+
+
 def hot_seeds(keyed: DataFrame) -> list[int]:
     """Seeds that hold over 1 / HOT_SEEDS of all places in one text of HOT_TEXTS, so HOT_SEEDS at most.
 
@@ -473,25 +628,83 @@ def _context_matches(matches: DataFrame, hot: list[int]) -> tuple[DataFrame, str
     return beside(contexts.where(~is_hot), prefix).union(beside(contexts.where(is_hot), "context", salt)).union(beside(firsts, prefix)), path
 
 
-def chained_pairs(keyed: DataFrame) -> DataFrame:
-    """(rep, key, blocks): the chains of any two texts of (key, text)."""
+def chained_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame, str]:
+    """(rep, key, blocks): the chains of texts of (key, text); the places of frequent seeds, (seed, key, place), and the path of their table."""
     spark, hot = keyed.sparkSession, hot_seeds(keyed)
     matches, path = _seed_matches(keyed, hot)
     release(spark)
     beside, second = _context_matches(matches, hot)
     both = matches.where("p >= 0").union(beside)
     chains = cut(both.repartition("rep", "key").sortWithinPartitions("rep", "key", F.col("p") - F.col("r"), "r").mapInArrow(_chains, "rep long, key long, blocks array<struct<r: long, p: long, n: long>>"))
-    forget(spark, path)
     forget(spark, second)
-    return chains
+    return chains, matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place")), path
+
+
+def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> DataFrame:
+    """(rep, key, blocks) of the texts of (key, text) that are alike around two places of a frequent seed and not of one class there.
+
+    ``islands`` has the passages known so far, (key, from, to, root).  A seed
+    whose places are all of one class has nothing to compare, nor has one that
+    always follows another at one distance: what is alike around it is so
+    around the other.  The others' places are dealt to blocks by text, and
+    any two blocks are compared, so the work grows with the square of the
+    places of a seed, a task's memory does not.
+    """
+    spark = keyed.sparkSession
+    passed = islands.select(F.col("key").alias("of"), "from", "to", F.xxhash64("root").alias("label"))
+    inside = (F.col("key") == F.col("of")) & (F.col("place") >= F.col("from")) & (F.col("place") + SEED_WORDS <= F.col("to"))
+    labelled = places.join(passed, inside, "left").select("seed", "key", "place", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
+    told = labelled.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_unlike, "seed long, key long, place long, label long, before long, gap long")
+    told, path = stored(told)
+    ends = [f(c).alias(f"{n}_{c}") for c in ("label", "before", "gap") for f, n in ((F.min, "least"), (F.max, "most"))]
+    counted = told.groupBy("seed").agg(F.count("*").alias("n"), *ends).where("n > 1 and (least_label != most_label or least_label = 0)")
+    follows = (F.col("least_gap") > 0) & (F.col("most_gap") <= RUN_GAP) & (F.col("least_gap") == F.col("most_gap")) & (F.col("least_before") == F.col("most_before")) & (F.col("least_before") != F.col("seed"))
+    wanted = told.join(counted.where(~follows).select("seed", "n"), "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "place", "label", "n")).alias("wanted"))
+    done: set[int] = set()
+    known: dict[bytes, int] = {}
+
+    def windows(key, text, wanted):
+        if key in done:
+            return
+        done.add(key)
+        words = word_hashes(text, known).astype(np.uint16)
+        for w in wanted:
+            yield key, w["seed"], w["place"], w["label"], w["n"], words[max(w["place"] - AROUND, 0) : w["place"] + SEED_WORDS + AROUND].tobytes()
+
+    around = per_row(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, seed long, place long, label long, n long, words binary", windows)
+    blocks = F.ceil(F.col("n") / BLOCK)
+    dealt = around.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("seed", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "key", "place", "words")
+    order = ["seed", "lo", "hi", "block", "label", "key", "place"]
+    pairs = cut(dealt.repartition("seed", "lo", "hi").sortWithinPartitions(*order).mapInArrow(_compared, "rep long, key long").distinct())
+    forget(spark, path)
+    release(spark)
+    texts = keyed.join(pairs.select("key").union(pairs.select("rep")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    both = pairs.join(texts.select(F.col("key").alias("rep"), F.col("text").alias("first")), "rep").join(texts, "key")
+
+    met: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # seeds of some texts that were met
 
+    def found(key, text):
+        if key not in met:
+            if len(met) >= 256:
+                met.clear()
+            met[key] = sorted_seeds(word_hashes(text, known))
+        return met[key]
 
-def passage_pairs(keyed: DataFrame) -> DataFrame:
-    """(rep, rep_from, rep_to, key, from, to) from (key, text), with one key for equal texts: aligned passages, in words.
+    def chains(rep, key, first, text):
+        r, p = all_matches(found(rep, first), found(key, text), rep == key)
+        for blocks in chain(r, p) if len(r) else []:
+            yield rep, key, [{"r": x, "p": y, "n": z} for x, y, z in blocks]
+
+    both = both.repartition("rep", F.pmod("key", F.lit(SALTS))).sortWithinPartitions("rep", "key")
+    return cut(per_row(both, ["rep", "key", "first", "text"], "rep long, key long, blocks array<struct<r: long, p: long, n: long>>", chains))
+
+
+def passage_pairs(keyed: DataFrame, chains: DataFrame) -> DataFrame:
+    """(rep, rep_from, rep_to, key, from, to) from (key, text), with one key for equal texts, and chains: aligned passages, in words.
 
     Words around chains travel as 32 bits of their hashes.
     """
-    chains = chained_pairs(keyed)
     release(keyed.sparkSession)
     first, last = F.element_at("blocks", 1), F.element_at("blocks", -1)
     side = lambda key, c: chains.select(F.col(key).alias("key"), F.greatest(first[c] - MARGIN, F.lit(0)).alias("from"), (last[c] + last["n"] + MARGIN).alias("to"))
@@ -524,6 +737,22 @@ def passage_pairs(keyed: DataFrame) -> DataFrame:
     return found
 
 
+def _islands(found: DataFrame, classes: DataFrame) -> DataFrame:
+    """(key, from, to, root): maximal stretches of overlapping passages, with one root for a class, from ``passage_pairs`` and the texts that have copies."""
+    pairs = cut(found.withColumn("pair", F.monotonically_increasing_id()))
+
+    none = F.lit(None).cast("long")
+    spans = pairs.select("key", "from", "to", "pair").union(pairs.select("rep", "rep_from", "rep_to", "pair"))
+    whole = classes.where((F.col("copies") > 1) & (F.col("words") >= LEAST_WORDS)).select("key", F.lit(0).cast("long"), "words", none)
+    order = Window.partitionBy("key").orderBy("from", "to", "pair")
+    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    placed = spans.union(whole).withColumn("reach", reach).withColumn("island", F.sum(F.coalesce((F.col("from") > F.col("reach")).cast("long"), F.lit(1))).over(order))
+    placed = cut(placed.select(F.struct("key", "island").alias("node"), "from", "to", "pair"))
+    islands = cut(placed.groupBy("node").agg(F.min("from").alias("from"), F.max("to").alias("to")))
+    ends = placed.where("pair is not null").groupBy("pair").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("u", "v")
+    return cut(islands.join(components(ends), "node", "left").select("node.key", "from", "to", F.coalesce("root", "node").alias("root")))
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of ``docs`` with a passage of LEAST_WORDS words or more that stands elsewhere too, in another row or in itself.
 
@@ -545,19 +774,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     key = text_key(sized)
     sized = sized.select("doc_id", key.alias("key"), "n_words")
     classes = cut(sized.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("n_words").alias("words")))
-    pairs = cut(passage_pairs(keyed.select(key.alias("key"), "text")).withColumn("pair", F.monotonically_increasing_id()))
-
-    none = F.lit(None).cast("long")
-    spans = pairs.select("key", "from", "to", "pair").union(pairs.select("rep", "rep_from", "rep_to", "pair"))
-    whole = classes.where((F.col("copies") > 1) & (F.col("words") >= LEAST_WORDS)).select("key", F.lit(0).cast("long"), "words", none)
-    order = Window.partitionBy("key").orderBy("from", "to", "pair")
-    reach = F.max("to").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    placed = spans.union(whole).withColumn("reach", reach).withColumn("island", F.sum(F.coalesce((F.col("from") > F.col("reach")).cast("long"), F.lit(1))).over(order))
-    placed = cut(placed.select(F.struct("key", "island").alias("node"), "from", "to", "pair"))
-    islands = cut(placed.groupBy("node").agg(F.min("from").alias("from"), F.max("to").alias("to")))
-    ends = placed.where("pair is not null").groupBy("pair").agg(F.min("node").alias("u"), F.max("node").alias("v")).where("u != v").select("u", "v")
-    rooted = islands.join(components(ends), "node", "left").select("node.key", "from", "to", F.coalesce("root", "node").alias("root"))
-    rooted = cut(rooted)
+    texts = keyed.select(key.alias("key"), "text")
+    chains, places, path = chained_pairs(texts)
+    pairs = passage_pairs(texts, chains)
+    rooted = _islands(pairs, classes)
+    more = rest_chains(texts, places, rooted)
+    forget(docs.sparkSession, path)
+    if not more.isEmpty():
+        rooted = _islands(pairs.union(passage_pairs(texts, more)), classes)
     members = rooted.select("root", "key").distinct().join(classes, "key").groupBy("root").agg(F.sum("copies").alias("members"), F.min("least").alias("least"), F.max("most").alias("most"))
     held = rooted.join(members, "root").withColumn("again", F.row_number().over(Window.partitionBy("key", "root").orderBy("from")) > 1)
     told = held.groupBy("key").agg(
