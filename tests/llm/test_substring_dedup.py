@@ -341,3 +341,9 @@ def test_all_matches_equal_brute_force():
             assert list(zip((p - r).tolist(), r.tolist())) == want
     runs = [sd.sorted_seeds(np.zeros(n, np.int64)) for n in (500, 70)]
     assert [len(x) for x in sd.all_matches(*runs, False)] == [27, 27]
+
+
+def test_label_of_a_stretch_within_passages():
+    spans = [{"from": 10, "to": 30, "label": 7}, {"from": 40, "to": 60, "label": 9}]
+    assert [sd.label_of(spans, p, 10) for p in (9, 10, 20, 21, 45, 51)] == [set(), {7}, {7}, set(), {9}, set()]
+    assert sd.label_of(None, 3, 5) == set()

@@ -51,7 +51,7 @@ HOT_TEXTS, HOT_SEEDS, HOT_LEAST, SALTS = 32, 10_000, 64, 64
 BREAK_EDITS = 16
 MARGIN = 96
 #: Words before and after a place that are compared, and word pairs that they must have in common: 50 words with 10 edits have 29 at least.
-AROUND, SHARED = 64, 24
+AROUND, SHARED = 64, 29
 #: Places of a seed in a block: any two blocks are compared in one group of rows. Of a run of one seed, one place in so many and the last are taken.
 BLOCK, RUN_STEP = 4096, 64
 
@@ -640,6 +640,11 @@ def chained_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     return chains, matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place")), path
 
 
+def label_of(spans: list[dict] | None, place: int, words: int) -> set[int]:
+    """Label of the passage in which so many words from a place lie, or none."""
+    return {s["label"] for s in spans or [] if s["from"] <= place and place + words <= s["to"]}
+
+
 def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> DataFrame:
     """(rep, key, blocks) of the texts of (key, text) that are alike around two places of a frequent seed and not of one class there.
 
@@ -679,8 +684,9 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
     pairs = cut(dealt.repartition("seed", "lo", "hi").sortWithinPartitions(*order).mapInArrow(_compared, "rep long, key long").distinct())
     forget(spark, path)
     release(spark)
-    texts = keyed.join(pairs.select("key").union(pairs.select("rep")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("key").alias("rep"), F.col("text").alias("first")), "rep").join(texts, "key")
+    held = islands.groupBy("key").agg(F.collect_list(F.struct("from", "to", F.xxhash64("root").alias("label"))).alias("spans"))
+    texts = keyed.join(pairs.select("key").union(pairs.select("rep")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(held, "key", "left")
+    both = pairs.join(texts.select(F.col("key").alias("rep"), F.col("text").alias("first"), F.col("spans").alias("first_spans")), "rep").join(texts, "key")
 
     met: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # seeds of some texts that were met
 
@@ -691,13 +697,14 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
             met[key] = sorted_seeds(word_hashes(text, known))
         return met[key]
 
-    def chains(rep, key, first, text):
+    def chains(rep, key, first, first_spans, text, spans):
         r, p = all_matches(found(rep, first), found(key, text), rep == key)
         for blocks in chain(r, p) if len(r) else []:
-            yield rep, key, [{"r": x, "p": y, "n": z} for x, y, z in blocks]
+            if not all(label_of(first_spans, x, z) & label_of(spans, y, z) for x, y, z in blocks):  # else nothing new
+                yield rep, key, [{"r": x, "p": y, "n": z} for x, y, z in blocks]
 
     both = both.repartition("rep", F.pmod("key", F.lit(SALTS))).sortWithinPartitions("rep", "key")
-    return cut(per_row(both, ["rep", "key", "first", "text"], "rep long, key long, blocks array<struct<r: long, p: long, n: long>>", chains))
+    return cut(per_row(both, ["rep", "key", "first", "first_spans", "text", "spans"], "rep long, key long, blocks array<struct<r: long, p: long, n: long>>", chains))
 
 
 def passage_pairs(keyed: DataFrame, chains: DataFrame) -> DataFrame:
