@@ -347,3 +347,68 @@ def test_label_of_a_stretch_within_passages():
     spans = [{"from": 10, "to": 30, "label": 7}, {"from": 40, "to": 60, "label": 9}]
     assert [sd.label_of(spans, p, 10) for p in (9, 10, 20, 21, 45, 51)] == [set(), {7}, {7}, set(), {9}, set()]
     assert sd.label_of(None, 3, 5) == set()
+
+
+def test_fewest_edits_equal_brute_force():
+    rng = np.random.default_rng(24)
+    a = rng.integers(0, 6, (sd.AROUND, 24))
+    b = np.where(rng.random(a.shape) < 0.2, 9, a)
+    b[:-1, :8] = b[1:, :8]
+    b[:, 18:] = rng.integers(0, 9, (sd.AROUND, 6))
+    found = sd.fewest_edits(a.astype(np.int32), b.astype(np.int32))
+    for p in range(a.shape[1]):
+        for x, y, (ended, whole) in ((a[:, p], b[:, p], found[0]), (b[:, p], a[:, p], found[1])):
+            table = [list(range(len(y) + 1))]
+            want = [0]
+            for i, w in enumerate(x.tolist(), 1):
+                row = [i]
+                for j, v in enumerate(y.tolist(), 1):
+                    row.append(min(row[-1] + 1, table[-1][j] + 1, table[-1][j - 1] + (w != v)))
+                want.append(min((table[-1][j] for j, v in enumerate(y.tolist()) if v == w), default=255))
+                table.append(row)
+            assert ended[:, p].tolist() == want and whole[p] == min(table[-1])
+
+
+def test_windows_with_a_passage_are_kept_and_shorter_ones_left():
+    rng = np.random.default_rng(25)
+    word = lambda k: rng.integers(0, 1 << 16, k).astype(np.uint16)
+    for trial in range(300):
+        long = trial % 2 == 0
+        n = int(rng.integers(50, 130)) if long else 47
+        at = int(rng.integers(0, n - sd.SEED_WORDS + 1))  # where the seed stands in the passage
+        one = word(n)
+        two = one.copy()
+        if long:
+            free = [k for k in range(1, n - 1) if not at <= k < at + sd.SEED_WORDS]
+            for k in sorted(rng.choice(free, int(0.2 * n), replace=False).tolist(), reverse=True) if n <= 60 else []:
+                two[k] = word(1)[0]
+        windows, place = [], []
+        for body in (one, two):
+            before, after = int(rng.integers(0, 90)), int(rng.integers(0, 90))
+            text, spot = np.concatenate([word(before), body, word(after)]), before + at
+            windows.append(text[max(spot - sd.AROUND, 0) : spot + sd.SEED_WORDS + sd.AROUND].tobytes())
+            place.append(spot)
+        assert sd.few_edits(windows, np.array(place), np.array([0]), np.array([1])).tolist() == [long]
+
+
+def test_seeds_that_follow_another_do_not_depend_on_how_labels_are_joined(spark, monkeypatch):
+    rng = np.random.default_rng(26)
+    word = lambda k: [f"v{x}" for x in rng.integers(0, 10**6, k)]
+    phrase = word(40)
+    rows = [(i, " ".join(word(30) + phrase + word(30))) for i in range(60)]
+    texts = spark.createDataFrame(rows, "key long, text string").repartition(6)
+    places = sd.cut(texts.mapInArrow(sd._seed_rows, "seed long, key long, place long"))
+    frequent = places.groupBy("seed").count().where(F.col("count") > sd.FEW).select("seed")
+    places = sd.cut(places.join(frequent, "seed"))
+    islands = sd.cut(texts.select("key", F.lit(0).cast("long").alias("from"), F.lit(9).cast("long").alias("to"), F.struct("key").alias("root")))
+    told, keep = [], sd.stored
+
+    def stored(df):
+        out = keep(df)
+        told.extend(out[0].collect())
+        return out
+
+    monkeypatch.setattr(sd, "stored", stored)
+    sd.rest_chains(texts, places, islands)
+    first = {r.key: r.place for r in sorted(told, key=lambda r: -r.place)}
+    assert len(told) > 60 * 8 and all((r.gap == 0) == (r.place == first[r.key]) for r in told)

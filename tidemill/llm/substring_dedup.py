@@ -8,12 +8,13 @@ texts that go on alike are neighbours, whatever others hold pieces of their
 passage.  The matches of two texts are chained in order, with a cost for gaps,
 through a Fenwick tree; the words between chained matches are aligned, and
 aligned stretches that are long and similar enough are passages.  Passages
-linked by alignments are one class.
+linked by alignments are one class.  Runs of one seed, as long as a passage,
+are matched with the longest run of it.
 
 Neighbours are not all pairs.  So every two places of a frequent seed that are
 not of one class by then are compared, block by block: if the words around
-them have enough word pairs in common for a passage, all seeds that their
-texts share are matched, chained and aligned.
+them have enough word pairs in common for a passage, and few enough edits, all
+seeds that their texts share are matched, chained and aligned.
 """
 
 from __future__ import annotations
@@ -350,12 +351,26 @@ def _matches(batches, hot=np.zeros(0, np.int64)):
         held = [v[keep] for v in (seed, key, place)]
 
 
+def runs(seed: np.ndarray, key: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of one seed of LEAST_WORDS words or more begin, among rows sorted by (key, place), and their words.
+
+    The step of a run is its period, up to SAMPLE words: of the seeds of a
+    period the least alone is sampled.
+    """
+    on = (np.diff(key) == 0) & (np.diff(seed) == 0) & (np.diff(place) <= SAMPLE)
+    begin = np.flatnonzero(np.concatenate([[True], ~on]))
+    size = place[np.append(begin[1:], len(seed)) - 1] - place[begin] + SEED_WORDS
+    return begin[size >= LEAST_WORDS], size[size >= LEAST_WORDS]
+
+
 def _contexts(batches):
     """Frequent seeds with what follows and what precedes them, (seed, side, context, key, place), of a partition of (seed, key, place) sorted by (key, place).
 
     A context holds a byte of each of the next CONTEXT frequent seeds, the
     nearest first, as far as none is more than RUN_GAP words from the one
-    before; a place with none on a side is not told for that side.
+    before; a place with none on a side is not told for that side.  A run of a
+    seed at every word, or every second, third or fourth, is told as side 2 if
+    it has LEAST_WORDS words or more, with their number as its context.
     """
     held = [np.zeros(0, np.int64)] * 3
     for batch in itertools.chain(batches, [None]):
@@ -378,6 +393,8 @@ def _contexts(batches):
             context = context if side == 0 else context[::-1]
             at = np.flatnonzero(context)
             made.append((seed[at], np.full(len(at), side), context[at].view(np.int64), key[at], place[at]))
+        at, size = runs(seed, key, place)
+        made.append((seed[at], np.full(len(at), 2), size, key[at], place[at]))
         for columns in made:
             for k in range(0, len(columns[0]), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in columns], names=["seed", "side", "context", "key", "place"])
@@ -525,6 +542,68 @@ def alike(windows: list[bytes], label: np.ndarray, split: int, least: int = SHAR
     return (np.concatenate(one), np.concatenate(two)) if one else (np.zeros(0, np.int64),) * 2
 
 
+def fewest_edits(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Edits between the first i words of a column of ``a`` and a beginning of that of ``b``, the fewest if both end with one word; and of all words with any beginning.
+
+    The other way round too.  Columns are pairs of texts, rows i from 0 on.
+    Diagonals of all pairs' tables are filled at once.
+    """
+    n, pairs = a.shape
+    back, high = np.ascontiguousarray(b[::-1]), np.uint8(255)
+    before, last, now = (np.full((n + 1, pairs), high) for _ in range(3))
+    one, two = np.full((n + 1, pairs), high), np.full((n + 1, pairs), high)
+    last[0] = one[0] = two[0] = 0
+    whole = np.full((2, pairs), high)
+    for k in range(1, 2 * n + 1):  # cells (i, k - i)
+        x, y = max(k - n, 1), min(n, k - 1)
+        if x <= y:
+            cell, other = now[x : y + 1], (a[x - 1 : y] != back[n - k + x : n - k + y + 1]).view(np.uint8)
+            same = np.maximum(before[x - 1 : y], np.negative(other))  # 255 if the words differ
+            np.minimum(one[x : y + 1], same, out=one[x : y + 1])
+            np.minimum(two[k - y : k - x + 1], same[::-1], out=two[k - y : k - x + 1])
+            np.add(before[x - 1 : y], other, out=cell)
+            np.minimum(cell, np.minimum(last[x - 1 : y], last[x : y + 1]) + np.uint8(1), out=cell)
+        if k <= n:
+            now[0] = now[k] = k
+        if k >= n:
+            np.minimum(whole, now[[n, k - n]], out=whole)
+        before, last, now = last, now, before
+    return (one, whole[0]), (two, whole[1])
+
+
+def few_edits(windows: list[bytes], place: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs of windows around one seed may have a passage there that aligns their two places.
+
+    A passage within the windows begins and ends with words that agree, has
+    LEAST_WORDS words in either text and edits up to a share of 1 - SIMILARITY
+    of the longer side, which is a fourth of the other at most.  One that goes
+    on beyond them may have more edits here, as long as SHARED word pairs have none.
+    """
+    sides = np.full((2, AROUND, len(windows)), -1, np.int32)  # words before each place, from the place on, and after it
+    for i in np.unique(np.concatenate([one, two])).tolist():
+        words, at = np.frombuffer(windows[i], np.uint16), min(int(place[i]), AROUND)
+        sides[0, :at, i] = words[:at][::-1]
+        after = words[at + SEED_WORDS :][:AROUND]
+        sides[1, : len(after), i] = after
+    step, out = np.arange(AROUND + 1, dtype=np.float32)[:, None], np.zeros(len(one), bool)
+    rest = np.maximum(LEAST_WORDS - SEED_WORDS - np.arange(AROUND + 1), 0)
+    far = lambda edits: np.where(edits == 255, 1e6, edits).astype(np.float32)
+    for k in range(0, len(one), 512):
+        i, j = one[k : k + 512], two[k : k + 512]
+        found = [fewest_edits(x[:, i], np.where(x[:, j] < 0, -2, x[:, j])) for x in sides]
+        within, beyond = [], np.zeros(len(i), bool)
+        for n, at in enumerate((i, j)):
+            (less, lowest), (more, highest) = ((far(f[n][0]), np.where(x[-1, at] < 0, 1e6, f[n][1])) for x, f in zip(sides, found))
+            for share in (1 - SIMILARITY, (1 - SIMILARITY) / SIMILARITY):
+                best = np.minimum.accumulate((more - share * step)[::-1])[::-1]  # after the place, of so many words or more
+                within.append((less - share * step + best[rest] <= share * SEED_WORDS + 1e-3).any(0))
+            most = AROUND + SEED_WORDS - 1 - SHARED
+            beyond |= np.minimum((2 * less - step).min(0) + 2 * highest, (2 * more - step).min(0) + 2 * lowest) <= most
+            beyond |= 2 * (lowest + highest) - AROUND <= most
+        out[k : k + 512] = beyond | within[0] & within[3] | within[1] & within[2]
+    return out
+
+
 def _compared(batches):
     """Pairs of texts (rep, key) that are alike around a place, of a partition of (seed, lo, hi, block, label, key, place, words) sorted by these.
 
@@ -532,6 +611,7 @@ def _compared(batches):
     group is held.
     """
     names, numbers = ["seed", "lo", "hi", "block", "label", "key", "place"], 7
+    met: list[tuple] = []  # (windows, place, key, one, two) of groups whose edits are not counted yet
 
     def take(columns, words):
         seed, lo, hi, block, label, key, place = columns
@@ -544,23 +624,36 @@ def _compared(batches):
             return
         one, two = alike([words[k] for k in at.tolist()], label[at], split)
         if len(one):
-            a, b = key[at[one]], key[at[two]]
-            pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
-            for k in range(0, pairs.shape[1], 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in pairs], names=["rep", "key"])
+            used, both = np.unique(np.concatenate([one, two]), return_inverse=True)
+            at = at[used]
+            met.append(([words[k] for k in at.tolist()], place[at], key[at], both[: len(one)], both[len(one) :]))
+
+    def counted():
+        start = np.cumsum([0] + [len(m[0]) for m in met])
+        windows = [w for m in met for w in m[0]]
+        place, key = (np.concatenate([m[k] for m in met]) for k in (1, 2))
+        one, two = (np.concatenate([m[k] + x for m, x in zip(met, start)]) for k in (3, 4))
+        met.clear()
+        good = few_edits(windows, place, one, two)
+        a, b = key[one[good]], key[two[good]]
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        for k in range(0, pairs.shape[1], 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in pairs], names=["rep", "key"])
 
     held, said = [np.zeros(0, np.int64)] * numbers, []
-    for batch in batches:
-        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
-        said = said + batch.column("words").to_pylist()
-        if not said:
-            continue
-        edge = np.concatenate([[0], np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1]).tolist()
-        for a, b in itertools.pairwise(edge):
-            yield from take([v[a:b] for v in held], said[a:b])
-        held, said = [v[edge[-1] :] for v in held], said[edge[-1] :]
-    if said:
-        yield from take(held, said)
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+            said = said + batch.column("words").to_pylist()
+        if said:
+            edge = np.concatenate([[0], np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1]).tolist()
+            for a, b in itertools.pairwise([*edge, len(said)] if batch is None else edge):
+                take([v[a:b] for v in held], said[a:b])
+                if sum(len(m[3]) for m in met) >= 2048:
+                    yield from counted()
+            held, said = [v[edge[-1] :] for v in held], said[edge[-1] :]
+    if met:
+        yield from counted()
 
 
 def sorted_seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -608,8 +701,18 @@ def _seed_matches(keyed: DataFrame, hot: list[int]) -> tuple[DataFrame, str]:
     return stored(dealt.mapInArrow(partial(_matches, hot=np.array(sorted(hot), np.int64)), "rep long, key long, r long, p long"))
 
 
-def _context_matches(matches: DataFrame, hot: list[int]) -> tuple[DataFrame, str]:
-    """Matches of frequent seeds' places with their neighbours, and the path of what they are read from.
+def _run_chains(told: DataFrame) -> DataFrame:
+    """(rep, key, blocks): runs of a seed, each with the longest run of it, from (seed, words, key, place).
+
+    Two runs of a seed are alike for as long as the shorter one is.
+    """
+    longest = told.groupBy("seed").agg(F.max(F.struct("words", "key", "place")).alias("most"))
+    beside = told.join(longest, "seed").where("key != most.key or place != most.place")
+    return beside.select(F.col("most.key").alias("rep"), "key", F.array(F.struct(F.col("most.place").alias("r"), F.col("place").alias("p"), F.col("words").alias("n"))).alias("blocks"))
+
+
+def _context_matches(matches: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame, str]:
+    """Matches of frequent seeds' places with their neighbours, chains of runs, and the path of what both are read from.
 
     Places of a hot seed with one context are salted by text and matched salt
     by salt; the first place of each salt and context is then a neighbour of
@@ -619,13 +722,15 @@ def _context_matches(matches: DataFrame, hot: list[int]) -> tuple[DataFrame, str
     frequent = matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place"))
     contexts = frequent.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_contexts, "seed long, side long, context long, key long, place long")
     contexts, path = stored(contexts)
+    chains = _run_chains(contexts.where("side = 2").select("seed", F.col("context").alias("words"), "key", "place"))
+    contexts = contexts.where("side < 2")
     prefix = F.shiftright("context", 56)
     beside = lambda df, *by: df.repartition("seed", "side", *by).sortWithinPartitions(*kinds).mapInArrow(_neighbours, "rep long, key long, r long, p long")
     if not hot:
-        return beside(contexts, prefix), path
+        return beside(contexts, prefix), chains, path
     is_hot, salt = F.col("seed").isin(hot), F.pmod("key", F.lit(SALTS))
     firsts = contexts.where(is_hot).groupBy("seed", "side", "context", salt.alias("salt")).agg(F.min(F.struct("key", "place")).alias("one")).select("seed", "side", "context", "one.*")
-    return beside(contexts.where(~is_hot), prefix).union(beside(contexts.where(is_hot), "context", salt)).union(beside(firsts, prefix)), path
+    return beside(contexts.where(~is_hot), prefix).union(beside(contexts.where(is_hot), "context", salt)).union(beside(firsts, prefix)), chains, path
 
 
 def chained_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame, str]:
@@ -633,9 +738,10 @@ def chained_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame, str]:
     spark, hot = keyed.sparkSession, hot_seeds(keyed)
     matches, path = _seed_matches(keyed, hot)
     release(spark)
-    beside, second = _context_matches(matches, hot)
+    beside, lasting, second = _context_matches(matches, hot)
     both = matches.where("p >= 0").union(beside)
-    chains = cut(both.repartition("rep", "key").sortWithinPartitions("rep", "key", F.col("p") - F.col("r"), "r").mapInArrow(_chains, "rep long, key long, blocks array<struct<r: long, p: long, n: long>>"))
+    chains = both.repartition("rep", "key").sortWithinPartitions("rep", "key", F.col("p") - F.col("r"), "r").mapInArrow(_chains, "rep long, key long, blocks array<struct<r: long, p: long, n: long>>")
+    chains = cut(chains.union(lasting))
     forget(spark, second)
     return chains, matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place")), path
 
@@ -650,8 +756,8 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
 
     ``islands`` has the passages known so far, (key, from, to, root).  A seed
     whose places are all of one class has nothing to compare, nor has one that
-    always follows another at one distance: what is alike around it is so
-    around the other.  The others' places are dealt to blocks by text, and
+    always follows another at one distance, with no word between: a passage
+    goes on from it to the other.  The others' places are dealt to blocks by text, and
     any two blocks are compared, so the work grows with the square of the
     places of a seed, a task's memory does not.
     """
@@ -659,11 +765,12 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
     passed = islands.select(F.col("key").alias("of"), "from", "to", F.xxhash64("root").alias("label"))
     inside = (F.col("key") == F.col("of")) & (F.col("place") >= F.col("from")) & (F.col("place") + SEED_WORDS <= F.col("to"))
     labelled = places.join(passed, inside, "left").select("seed", "key", "place", F.coalesce("label", F.lit(0).cast("long")).alias("label"))
-    told = labelled.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_unlike, "seed long, key long, place long, label long, before long, gap long")
+    by_key = labelled.repartition(F.xxhash64("key"))  # by the key itself, Spark would rely on the join, whose parts it may split or read as they lie
+    told = by_key.sortWithinPartitions("key", "place").mapInArrow(_unlike, "seed long, key long, place long, label long, before long, gap long")
     told, path = stored(told)
     ends = [f(c).alias(f"{n}_{c}") for c in ("label", "before", "gap") for f, n in ((F.min, "least"), (F.max, "most"))]
     counted = told.groupBy("seed").agg(F.count("*").alias("n"), *ends).where("n > 1 and (least_label != most_label or least_label = 0)")
-    follows = (F.col("least_gap") > 0) & (F.col("most_gap") <= RUN_GAP) & (F.col("least_gap") == F.col("most_gap")) & (F.col("least_before") == F.col("most_before")) & (F.col("least_before") != F.col("seed"))
+    follows = (F.col("least_gap") > 0) & (F.col("most_gap") <= SEED_WORDS) & (F.col("least_gap") == F.col("most_gap")) & (F.col("least_before") == F.col("most_before")) & (F.col("least_before") != F.col("seed"))
     wanted = told.join(counted.where(~follows).select("seed", "n"), "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "place", "label", "n")).alias("wanted"))
     done: set[int] = set()
     known: dict[bytes, int] = {}
@@ -703,7 +810,6 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
             if not all(label_of(first_spans, x, z) & label_of(spans, y, z) for x, y, z in blocks):  # else nothing new
                 yield rep, key, [{"r": x, "p": y, "n": z} for x, y, z in blocks]
 
-    both = both.repartition("rep", F.pmod("key", F.lit(SALTS))).sortWithinPartitions("rep", "key")
     return cut(per_row(both, ["rep", "key", "first", "first_spans", "text", "spans"], "rep long, key long, blocks array<struct<r: long, p: long, n: long>>", chains))
 
 
