@@ -20,15 +20,18 @@ seeds that their texts share are matched, chained and aligned.
 from __future__ import annotations
 
 import itertools
+import math
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._base import as_bytes, cut, forget, per_row, release, stored, text_key, with_hashes
+from ._base import cut, forget, pa_schema, per_row, release, stored, text_key, to_batch, with_hashes
 from .simhash import components
 
 SEED_WORDS = 5
@@ -43,6 +46,12 @@ CHAIN_SCORE = 6.0
 ALONE = 10
 #: Places of a seed that are all matched with each other.
 FEW = 9
+#: Bytes of text that are split into words at once; seeds that a task deals to buckets at once, and seeds of a bucket on average.
+SLICE, DEALT, BUCKET = 4 << 20, 1 << 20, 1 << 17
+#: What blocks of rows hold.
+SEEDS = {"seed": np.int64, "key": np.int64, "place": np.int32}
+PAIRS = {"rep": np.int64, "key": np.int64, "r": np.int32, "p": np.int32}
+CONTEXTS = {"seed": np.int64, "side": np.int8, "context": np.int64, "key": np.int64, "place": np.int32}
 #: Frequent seeds after a place and before it that make its context, and words between two of them at most.
 CONTEXT = 8
 RUN_GAP = 24
@@ -55,6 +64,8 @@ MARGIN = 96
 AROUND, SHARED = 64, 29
 #: Places of a seed in a block: any two blocks are compared in one group of rows. Of a run of one seed, one place in so many and the last are taken.
 BLOCK, RUN_STEP = 4096, 64
+#: Codes of the words of a window's side.
+SLOTS = 4096
 
 
 def word_hashes(text: bytes | None, known: dict[bytes, int] | None = None) -> np.ndarray:
@@ -69,17 +80,52 @@ def word_hashes(text: bytes | None, known: dict[bytes, int] | None = None) -> np
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def seeds(words: np.ndarray, k: int = SEED_WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """(seed, place) of the sampled k-mers of a text, in the order of their places."""
+def split_words(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The words of a column of texts, one text after another, and the number of each text's; split as ``word_hashes`` does."""
+    column = pc.ascii_trim_whitespace(pc.fill_null(column, ""))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    words, count = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
+    there = pc.binary_length(words).to_numpy() > 0
+    if not there.all():  # texts without a word
+        count = np.bincount(np.repeat(np.arange(len(count)), count)[there], minlength=len(count))
+        words = words.filter(pa.array(there))
+    return words, count
+
+
+def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` of a column's texts, one after another, and where each text begins and the last one ends."""
+    words, count = split_words(column)
+    coded = words.dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(coded.dictionary))
+    return (hashes >> np.uint64(1)).view(np.int64)[coded.indices.to_numpy()], np.concatenate([[0], np.cumsum(count)])
+
+
+def sliced(batch: pa.RecordBatch, column: str = "text", size: int = SLICE) -> list[pa.RecordBatch]:
+    """Parts of a batch with some ``size`` bytes in a column of texts, or one text more."""
+    if not len(batch):
+        return []
+    length = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64)
+    edge = np.flatnonzero(np.diff((np.cumsum(length) - length) // size)) + 1
+    return [batch.slice(a, b - a) for a, b in itertools.pairwise([0, *edge.tolist(), len(batch)])]
+
+
+def kmers(words: np.ndarray, k: int = SEED_WORDS) -> np.ndarray:
     n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    w, h = words.astype(np.uint64), np.zeros(n, np.uint64)
+    w, h = words.view(np.uint64), np.zeros(n, np.uint64)
     for i in range(k):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[i : i + n]
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(32)
+    return h
+
+
+def seeds(words: np.ndarray, k: int = SEED_WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """(seed, place) of the sampled k-mers of a text, in the order of their places."""
+    n = len(words) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = kmers(words.astype(np.int64), k)
     least, width = h, 1
     span = min(sample, n)
     while 2 * width <= span:
@@ -99,6 +145,33 @@ def seeds(words: np.ndarray, k: int = SEED_WORDS, sample: int = SAMPLE) -> tuple
     return h[at].view(np.int64), at
 
 
+def seeds_of(words: np.ndarray, edge: np.ndarray, k: int = SEED_WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, place): ``seeds`` of each of the texts of ``words_of``."""
+    size = np.diff(edge)
+    made = []
+    for t in np.flatnonzero((size >= k) & (size < k + sample - 1)).tolist():  # shorter than a window
+        seed, place = seeds(words[edge[t] : edge[t + 1]], k, sample)
+        made.append((seed, np.full(len(seed), t), place))
+    n = len(words) - k - sample + 2
+    if n > 0:
+        text = np.repeat(np.arange(len(size)), size)
+        h = kmers(words, k)
+        least = h[:n].copy()
+        for i in range(1, sample):
+            np.minimum(least, h[i : i + n], out=least)
+        least[text[:n] != text[k + sample - 2 :]] = 0  # no window of one text
+        top = np.zeros(len(h), np.uint64)
+        for i in range(sample):
+            np.maximum(top[i : i + n], least, out=top[i : i + n])
+        at = np.flatnonzero((top == h) & (text[: len(h)] == text[k - 1 :]))
+        made.append((h[at].view(np.int64), text[at], at - edge[text[at]]))
+    if not made:
+        return (np.zeros(0, np.int64),) * 3
+    seed, text, place = (np.concatenate(v) for v in zip(*made))
+    order = np.argsort(text, kind="stable") if len(made) > 1 else slice(None)
+    return seed[order], text[order], place[order]
+
+
 class Fenwick:
     """Largest (value, item) among ranks up to a bound."""
 
@@ -295,21 +368,171 @@ def _parts(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int, int]]
 # ---- Spark --------------------------------------------------------------------------------------
 
 
-def _seed_rows(batches):
-    known: dict[bytes, int] = {}
-    done: set[int] = set()  # copies within a task give their seeds once
-    for batch in batches:
-        held = []
-        for key, text in zip(batch.column("key").to_pylist(), as_bytes(batch.column("text"))):
-            if key in done:
-                continue
-            done.add(key)
-            seed, place = seeds(word_hashes(text, known))
-            held.append((seed, np.full(len(seed), key), place))
+def per_text(df: DataFrame, names: list[str], schema: str, rows: Callable[..., Iterator[tuple]]) -> DataFrame:
+    """``per_row``, with the word hashes of column ``text`` in its place."""
+    out = pa_schema(df.sparkSession, schema)
+
+    def run(batches):
+        held, weight = [], 0
+        for part in itertools.chain.from_iterable(map(sliced, batches)):
+            words, edge = words_of(part.column("text"))
+            texts = (words[a:b] for a, b in itertools.pairwise(edge.tolist()))
+            for values in zip(*(texts if name == "text" else part.column(name).to_pylist() for name in names)):
+                for made in rows(*values):
+                    held.append(made)
+                    weight += 64 + sum(len(x) for x in made if isinstance(x, bytes))
+                    if weight > 8_000_000:
+                        yield to_batch(held, out)
+                        held, weight = [], 0
         if held:
-            seed, key, place = (np.concatenate(v) for v in zip(*held))
-            for k in range(0, len(seed), 200_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in (seed, key, place)], names=["seed", "key", "place"])
+            yield to_batch(held, out)
+
+    return df.select(*names).mapInArrow(run, schema)
+
+
+def _text_seeds(batches):
+    """(seed, key, place) of the texts of (key, text), as arrays; copies within a task give their seeds once."""
+    done: set[int] = set()
+    for batch in batches:
+        fresh = [key not in done and not done.add(key) for key in batch.column("key").to_pylist()]
+        for part in sliced(batch.filter(pa.array(fresh, pa.bool_()))):
+            seed, text, place = seeds_of(*words_of(part.column("text")))
+            yield seed, part.column("key").to_numpy()[text], place
+
+
+def _seed_rows(batches):
+    for columns in _text_seeds(batches):
+        for k in range(0, len(columns[0]), 200_000):
+            yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in columns], names=["seed", "key", "place"])
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which values are among some that are sorted."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values if len(ordered) else np.zeros(len(values), bool)
+
+
+def mixed(*columns: np.ndarray) -> np.ndarray:
+    """A hash of each row."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h + c.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _blocks(rows, kinds, deal):
+    """Blocks (part, bucket, and a binary for each of ``kinds``) of rows that come as lists of arrays.
+
+    A block holds those of some DEALT rows that are of one part and bucket, as
+    ``deal`` tells them from the columns: so Spark deals out and sorts blocks, not rows.
+    """
+    held, n = [], 0
+    for columns in itertools.chain(rows, [None]):
+        if columns is not None and len(columns[0]):
+            held.append(columns)
+            n += len(columns[0])
+        if not n or columns is not None and n < DEALT:
+            continue
+        columns = [np.concatenate(v) for v in zip(*held)]
+        held, n = [], 0
+        part, bucket = deal(*columns)
+        group = bucket.astype(np.int64) * 4 + part
+        order = np.argsort(group.astype(np.uint16) if group.max() < 1 << 16 else group, kind="stable")
+        group = group[order]
+        edge = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(group)]])
+        first = group[edge[:-1]]
+        made = [pa.array(first % 4), pa.array(first // 4)]
+        for values, kind in zip(columns, kinds.values()):
+            values = values[order].astype(kind)
+            made.append(pa.array([values[x:y].tobytes() for x, y in itertools.pairwise(edge.tolist())], pa.binary()))
+        made = pa.RecordBatch.from_arrays(made, names=["part", "bucket", *kinds])
+        yield from (made.slice(k, 1024) for k in range(0, len(made), 1024))
+
+
+def _unpacked(batches, kinds):
+    """The rows of each bucket, as a list of arrays, of a partition of ``_blocks`` sorted by bucket; one bucket is held."""
+    now, held = None, []
+    for batch in itertools.chain(batches, [None]):
+        for bucket, *block in zip(*(batch.column(c).to_pylist() for c in ("bucket", *kinds))) if batch is not None else [(None,)]:
+            if held and bucket != now:
+                columns = [np.concatenate([np.frombuffer(x, kind) for x in v]) for v, kind in zip(zip(*held), kinds.values())]
+                yield [c.astype(np.int64) for c in columns]
+                held = []
+            now = bucket
+            held.append(block)
+
+
+def _batch(names, columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in columns], names=list(names))
+
+
+def _columns(batches, names):
+    return ([batch.column(c).to_numpy() for c in names] for batch in batches)
+
+
+def _sorted_seeds(batches, hot):
+    """(seed, key, place), sorted by these, of each bucket; seeds with one place are left out, as they match nothing."""
+    for seed, key, place in _unpacked(batches, SEEDS):
+        order = np.argsort(seed)
+        same = np.diff(seed[order]) == 0
+        kept = order[np.append(same, False) | np.append(False, same) | among(seed[order], hot)]
+        seed, key, place = seed[kept], key[kept], place[kept]
+        order = np.lexsort((place, key, seed))
+        yield _batch(SEEDS, [v[order] for v in (seed, key, place)])
+
+
+def _sorted_places(batches):
+    """(seed, key, place), sorted by (key, place), of each bucket of a table's part 1."""
+    for seed, key, place, _ in _unpacked(batches, PAIRS):
+        order = np.lexsort((place, key))
+        yield _batch(SEEDS, [v[order] for v in (seed, key, place)])
+
+
+def _sorted_contexts(batches):
+    for columns in _unpacked(batches, CONTEXTS):
+        order = np.lexsort(columns[::-1])
+        yield _batch(CONTEXTS, [v[order] for v in columns])
+
+
+def _sorted_pairs(batches):
+    """(rep, key, r, p), sorted by (rep, key, p - r, r), of each bucket; pairs with one match are left out, as they have no chain."""
+    for rep, key, r, p in _unpacked(batches, PAIRS):
+        pair = mixed(rep, key)
+        order = np.argsort(pair)
+        same = np.diff(pair[order]) == 0
+        kept = order[np.append(same, False) | np.append(False, same)]
+        rep, key, r, p = rep[kept], key[kept], r[kept], p[kept]
+        order = np.lexsort((r, p - r, key, rep))
+        yield _batch(PAIRS, [v[order] for v in (rep, key, r, p)])
+
+
+def _deal_seeds(seed, key, place, buckets, hot):
+    """A seed is of one bucket, a hot one of as many as its texts are dealt to."""
+    return 0, np.where(among(seed, hot), key, seed).view(np.uint64) % np.uint64(buckets)
+
+
+def _deal_pairs(rep, key, r, p, buckets):
+    """Matches are part 0, dealt by their pair of texts; places of frequent seeds are part 1, dealt by text."""
+    return (p < 0).astype(np.int64), np.where(p < 0, key.view(np.uint64), mixed(rep, key)) % np.uint64(buckets)
+
+
+def _deal_contexts(seed, side, context, key, place, buckets, hot):
+    """Runs are part 0, places of hot seeds part 2, dealt by text too, others part 1."""
+    prefix, is_hot = context >> 56, among(seed, hot)
+    bucket = mixed(seed, side, prefix, np.where(is_hot, key % SALTS, 0))
+    return np.where(side == 2, 0, np.where(is_hot, 2, 1)), bucket % np.uint64(buckets)
+
+
+def _firsts(batches, hot):
+    """The first place of each hot seed, side, context and salt."""
+    for seed, side, context, key, place in _unpacked(batches, CONTEXTS):
+        at = np.flatnonzero(among(seed, hot))
+        salt = key[at] % SALTS
+        order = np.lexsort((place[at], key[at], salt, context[at], side[at], seed[at]))
+        at, salt = at[order], salt[order]
+        if len(at):
+            new = np.concatenate([[True], (np.diff(seed[at]) != 0) | (np.diff(side[at]) != 0) | (np.diff(context[at]) != 0) | (np.diff(salt) != 0)])
+            yield [v[at[new]] for v in (seed, side, context, key, place)]
 
 
 def _matches(batches, hot=np.zeros(0, np.int64)):
@@ -492,8 +715,8 @@ def word_pairs(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     words = [np.frombuffer(w, np.uint16).astype(np.int64) for w in windows]
     pair = [w[:-1] << 16 | w[1:] for w in words]
     row, pair = np.repeat(np.arange(len(pair)), [len(x) for x in pair]), np.concatenate(pair)
-    order = np.lexsort((pair, row))
-    row, pair = row[order], pair[order]
+    both = np.sort(row << 32 | pair)
+    row, pair = both >> 32, both & 0xFFFFFFFF
     first = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(pair) != 0)])) if len(row) else row
     again = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
     return row, np.unique(pair << 20 | again, return_inverse=True)[1]
@@ -571,6 +794,48 @@ def fewest_edits(a: np.ndarray, b: np.ndarray) -> tuple[tuple[np.ndarray, np.nda
     return (one, whole[0]), (two, whole[1])
 
 
+def may_match(sides: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Which pairs may have few enough edits, by words of one that the other has not on the same side, or not so often; see ``few_edits``.
+
+    Each of these is an edit at least, so no pair with few enough edits is left out.
+    """
+    _, n, count = sides.shape
+    codes, held = [], np.zeros((2, count, SLOTS + 1), bool)
+    for side, words in zip(held, sides):
+        words = np.ascontiguousarray(words.T)
+        order = np.argsort(words, axis=1, kind="stable")
+        row = np.arange(count)[:, None]
+        ordered = words[row, order]
+        new = np.concatenate([np.ones((count, 1), bool), ordered[:, 1:] != ordered[:, :-1]], axis=1)
+        again = np.empty_like(order)
+        again[row, order] = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0), axis=1)
+        code = np.where(words < 0, SLOTS, (words + again * 25931) % SLOTS)
+        side[row, code] = True
+        side[:, SLOTS] = False
+        codes.append((code, np.where(words < 0, SLOTS, words % SLOTS)))
+    share, step = (1 - SIMILARITY) / SIMILARITY, np.arange(n + 1, dtype=np.float32)
+    rest, most = np.maximum(LEAST_WORDS - SEED_WORDS - np.arange(n + 1), 0), AROUND + SEED_WORDS - 1 - SHARED
+    out = np.zeros(len(one), bool)
+    for k in range(0, len(one), 512):
+        i, j = one[k : k + 512], two[k : k + 512]
+        within, beyond = [], np.zeros(len(i), bool)
+        for at, to in ((i, j), (j, i)):
+            found = []
+            for (code, any_), side in zip(codes, held):
+                missed = np.zeros((len(at), n + 1), np.float32)
+                np.cumsum(~side[to[:, None], code[at]], axis=1, out=missed[:, 1:], dtype=np.float32)
+                whole = np.where(code[at, -1] == SLOTS, 1e6, missed[:, -1])
+                missed[:, 1:][~side[to[:, None], any_[at]]] = 1e6  # no passage ends there
+                found.append((missed - share * step, whole, missed))
+            (less, lowest, before), (more, highest, after) = found
+            best = np.minimum.accumulate(more[:, ::-1], axis=1)[:, ::-1]
+            within.append((less + best[:, rest] <= share * SEED_WORDS + 1e-3).any(1))
+            beyond |= np.minimum((2 * before - step).min(1) + 2 * highest, (2 * after - step).min(1) + 2 * lowest) <= most
+            beyond |= 2 * (lowest + highest) - AROUND <= most
+        out[k : k + 512] = beyond | within[0] & within[1]
+    return out
+
+
 def few_edits(windows: list[bytes], place: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
     """Which pairs of windows around one seed may have a passage there that aligns their two places.
 
@@ -585,7 +850,10 @@ def few_edits(windows: list[bytes], place: np.ndarray, one: np.ndarray, two: np.
         sides[0, :at, i] = words[:at][::-1]
         after = words[at + SEED_WORDS :][:AROUND]
         sides[1, : len(after), i] = after
-    step, out = np.arange(AROUND + 1, dtype=np.float32)[:, None], np.zeros(len(one), bool)
+    used, both = np.unique(np.concatenate([one, two]), return_inverse=True)
+    kept = np.flatnonzero(may_match(sides[:, :, used], both[: len(one)], both[len(one) :]))
+    step, out, good = np.arange(AROUND + 1, dtype=np.float32)[:, None], np.zeros(len(kept), bool), np.zeros(len(one), bool)
+    one, two = one[kept], two[kept]
     rest = np.maximum(LEAST_WORDS - SEED_WORDS - np.arange(AROUND + 1), 0)
     far = lambda edits: np.where(edits == 255, 1e6, edits).astype(np.float32)
     for k in range(0, len(one), 512):
@@ -601,7 +869,8 @@ def few_edits(windows: list[bytes], place: np.ndarray, one: np.ndarray, two: np.
             beyond |= np.minimum((2 * less - step).min(0) + 2 * highest, (2 * more - step).min(0) + 2 * lowest) <= most
             beyond |= 2 * (lowest + highest) - AROUND <= most
         out[k : k + 512] = beyond | within[0] & within[3] | within[1] & within[2]
-    return out
+    good[kept] = out
+    return good
 
 
 def _compared(batches):
@@ -693,12 +962,22 @@ def hot_seeds(keyed: DataFrame) -> list[int]:
     return [r.seed for r in counted.where(F.col("n") > least).select("seed").collect()]
 
 
-def _seed_matches(keyed: DataFrame, hot: list[int]) -> tuple[DataFrame, str]:
-    """What ``_matches`` tells of all seeds, stored; places of hot seeds are salted by text."""
-    found = keyed.mapInArrow(_seed_rows, "seed long, key long, place long")
-    salt = F.when(F.col("seed").isin(hot), F.pmod("key", F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
-    dealt = found.repartition("seed", salt).sortWithinPartitions("seed", "key", "place")
-    return stored(dealt.mapInArrow(partial(_matches, hot=np.array(sorted(hot), np.int64)), "rep long, key long, r long, p long"))
+def _dealt(blocks: DataFrame) -> DataFrame:
+    return blocks.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _kept_as(kinds: dict) -> str:
+    return "part long, bucket long, " + ", ".join(f"{c} binary" for c in kinds)
+
+
+def _seed_matches(keyed: DataFrame, hot: np.ndarray, buckets: int) -> tuple[DataFrame, str]:
+    """What ``_matches`` tells of all seeds, stored in blocks (see ``_deal_pairs``)."""
+    found = keyed.mapInArrow(lambda batches: _blocks(_text_seeds(batches), SEEDS, partial(_deal_seeds, buckets=buckets, hot=hot)), _kept_as(SEEDS))
+
+    def matched(batches):
+        return _blocks(_columns(_matches(_sorted_seeds(batches, hot), hot), PAIRS), PAIRS, partial(_deal_pairs, buckets=buckets))
+
+    return stored(_dealt(found).mapInArrow(matched, _kept_as(PAIRS)))
 
 
 def _run_chains(told: DataFrame) -> DataFrame:
@@ -711,39 +990,50 @@ def _run_chains(told: DataFrame) -> DataFrame:
     return beside.select(F.col("most.key").alias("rep"), "key", F.array(F.struct(F.col("most.place").alias("r"), F.col("place").alias("p"), F.col("words").alias("n"))).alias("blocks"))
 
 
-def _context_matches(matches: DataFrame, hot: list[int]) -> tuple[DataFrame, DataFrame, str]:
-    """Matches of frequent seeds' places with their neighbours, chains of runs, and the path of what both are read from.
+def _context_matches(matches: DataFrame, hot: np.ndarray, buckets: int) -> tuple[DataFrame, DataFrame, str]:
+    """Matches of frequent seeds' places with their neighbours, in blocks, chains of runs, and the path of what both are read from.
 
-    Places of a hot seed with one context are salted by text and matched salt
-    by salt; the first place of each salt and context is then a neighbour of
-    the others.
+    Places of a hot seed are salted by text and matched salt by salt; the first
+    place of each salt and context is then a neighbour of the others.
     """
-    kinds = ["seed", "side", "context", "key", "place"]
-    frequent = matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place"))
-    contexts = frequent.repartition("key").sortWithinPartitions("key", "place").mapInArrow(_contexts, "seed long, side long, context long, key long, place long")
-    contexts, path = stored(contexts)
-    chains = _run_chains(contexts.where("side = 2").select("seed", F.col("context").alias("words"), "key", "place"))
-    contexts = contexts.where("side < 2")
-    prefix = F.shiftright("context", 56)
-    beside = lambda df, *by: df.repartition("seed", "side", *by).sortWithinPartitions(*kinds).mapInArrow(_neighbours, "rep long, key long, r long, p long")
-    if not hot:
-        return beside(contexts, prefix), chains, path
-    is_hot, salt = F.col("seed").isin(hot), F.pmod("key", F.lit(SALTS))
-    firsts = contexts.where(is_hot).groupBy("seed", "side", "context", salt.alias("salt")).agg(F.min(F.struct("key", "place")).alias("one")).select("seed", "side", "context", "one.*")
-    return beside(contexts.where(~is_hot), prefix).union(beside(contexts.where(is_hot), "context", salt)).union(beside(firsts, prefix)), chains, path
-
-
-def chained_pairs(keyed: DataFrame) -> tuple[DataFrame, DataFrame, str]:
-    """(rep, key, blocks): the chains of texts of (key, text); the places of frequent seeds, (seed, key, place), and the path of their table."""
-    spark, hot = keyed.sparkSession, hot_seeds(keyed)
-    matches, path = _seed_matches(keyed, hot)
+
+    def told(batches):
+        return _blocks(_columns(_contexts(_sorted_places(batches)), CONTEXTS), CONTEXTS, partial(_deal_contexts, buckets=buckets, hot=hot))
+
+    def beside(batches):
+        return _blocks(_columns(_neighbours(_sorted_contexts(batches)), PAIRS), PAIRS, partial(_deal_pairs, buckets=buckets))
+
+    def firsts(batches):
+        return _blocks(_firsts(batches, hot), CONTEXTS, partial(_deal_contexts, buckets=buckets, hot=np.zeros(0, np.int64)))
+
+    def runs_told(batches):
+        return (_batch(("seed", "words", "key", "place"), (seed, words, key, place)) for seed, _, words, key, place in _unpacked(batches, CONTEXTS))
+
+    contexts, path = stored(_dealt(matches.where("part = 1")).mapInArrow(told, _kept_as(CONTEXTS)))
+    chains = _run_chains(contexts.where("part = 0").mapInArrow(runs_told, "seed long, words long, key long, place long"))
+    by_context = _dealt(contexts.where("part > 0"))
+    found = by_context.mapInArrow(beside, _kept_as(PAIRS))
+    if len(hot):
+        found = found.union(_dealt(by_context.mapInArrow(firsts, _kept_as(CONTEXTS))).mapInArrow(beside, _kept_as(PAIRS)))
+    return found, chains, path
+
+
+def chained_pairs(keyed: DataFrame, words: int) -> tuple[DataFrame, DataFrame, str]:
+    """(rep, key, blocks): the chains of texts of (key, text), of so many words in all; the places of frequent seeds, (seed, key, place), and the path of their table."""
+    spark, hot = keyed.sparkSession, np.array(sorted(hot_seeds(keyed)), np.int64)
+    buckets = max(1, math.ceil(2 * words / (SAMPLE + 1) / BUCKET))
+    matches, path = _seed_matches(keyed, hot, buckets)
     release(spark)
-    beside, lasting, second = _context_matches(matches, hot)
-    both = matches.where("p >= 0").union(beside)
-    chains = both.repartition("rep", "key").sortWithinPartitions("rep", "key", F.col("p") - F.col("r"), "r").mapInArrow(_chains, "rep long, key long, blocks array<struct<r: long, p: long, n: long>>")
+    beside, lasting, second = _context_matches(matches, hot, buckets)
+    both = _dealt(matches.where("part = 0").union(beside))
+    chains = both.mapInArrow(lambda batches: _chains(_sorted_pairs(batches)), "rep long, key long, blocks array<struct<r: long, p: long, n: long>>")
     chains = cut(chains.union(lasting))
     forget(spark, second)
-    return chains, matches.where("p < 0").select(F.col("rep").alias("seed"), "key", F.col("r").alias("place")), path
+
+    def places(batches):
+        return (_batch(SEEDS, columns[:3]) for columns in _unpacked(batches, PAIRS))
+
+    return chains, matches.where("part = 1").mapInArrow(places, "seed long, key long, place long"), path
 
 
 def label_of(spans: list[dict] | None, place: int, words: int) -> set[int]:
@@ -773,17 +1063,16 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
     follows = (F.col("least_gap") > 0) & (F.col("most_gap") <= SEED_WORDS) & (F.col("least_gap") == F.col("most_gap")) & (F.col("least_before") == F.col("most_before")) & (F.col("least_before") != F.col("seed"))
     wanted = told.join(counted.where(~follows).select("seed", "n"), "seed").groupBy("key").agg(F.collect_list(F.struct("seed", "place", "label", "n")).alias("wanted"))
     done: set[int] = set()
-    known: dict[bytes, int] = {}
 
-    def windows(key, text, wanted):
+    def windows(key, words, wanted):
         if key in done:
             return
         done.add(key)
-        words = word_hashes(text, known).astype(np.uint16)
+        words = words.astype(np.uint16)
         for w in wanted:
             yield key, w["seed"], w["place"], w["label"], w["n"], words[max(w["place"] - AROUND, 0) : w["place"] + SEED_WORDS + AROUND].tobytes()
 
-    around = per_row(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, seed long, place long, label long, n long, words binary", windows)
+    around = per_text(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, seed long, place long, label long, n long, words binary", windows)
     blocks = F.ceil(F.col("n") / BLOCK)
     dealt = around.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("key"), blocks)}).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("seed", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "label", "key", "place", "words")
@@ -795,6 +1084,7 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
     texts = keyed.join(pairs.select("key").union(pairs.select("rep")).distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")).join(held, "key", "left")
     both = pairs.join(texts.select(F.col("key").alias("rep"), F.col("text").alias("first"), F.col("spans").alias("first_spans")), "rep").join(texts, "key")
 
+    known: dict[bytes, int] = {}
     met: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # seeds of some texts that were met
 
     def found(key, text):
@@ -825,15 +1115,15 @@ def passage_pairs(keyed: DataFrame, chains: DataFrame) -> DataFrame:
 
     done: set[int] = set()
 
-    def slices(key, text, wanted):
+    def slices(key, words, wanted):
         if key in done:
             return
         done.add(key)
-        words = word_hashes(text)
+        words = words.astype(np.int32)
         for w in wanted:
-            yield key, w["from"], w["to"], words[w["from"] : w["to"]].astype(np.int32).tobytes()
+            yield key, w["from"], w["to"], words[w["from"] : w["to"]].tobytes()
 
-    cuts = per_row(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, `from` long, `to` long, words binary", slices)
+    cuts = per_text(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, `from` long, `to` long, words binary", slices)
     cuts, path = stored(cuts.groupBy("key", "from", "to").agg(F.first("words").alias("words")))
     release(keyed.sparkSession)
     named = lambda n: cuts.select(F.col("key").alias(f"k{n}"), F.col("from").alias(f"f{n}"), F.col("to").alias(f"t{n}"), F.col("words").alias(f"w{n}"))
@@ -882,13 +1172,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
     kind = dict(named.dtypes)["doc_id"]
     keyed = with_hashes(named)
-    decoded = lambda i: i.decode() if isinstance(i, bytes) else i
-    sized = cut(per_row(keyed, ["doc_id", "h1", "h2", "text"], f"doc_id {kind}, h1 long, h2 long, n_words long", lambda i, h1, h2, text: [(decoded(i), h1, h2, len(text.split()))]))
+
+    def counted(batches):
+        for batch in batches:
+            count = [split_words(part.column("text"), False)[1] for part in sliced(batch)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate([np.zeros(0, np.int64), *count]))], names=["doc_id", "h1", "h2", "n_words"])
+
+    sized = cut(keyed.select("doc_id", "h1", "h2", "text").mapInArrow(counted, f"doc_id {kind}, h1 long, h2 long, n_words long"))
     key = text_key(sized)
     sized = sized.select("doc_id", key.alias("key"), "n_words")
     classes = cut(sized.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("n_words").alias("words")))
     texts = keyed.select(key.alias("key"), "text")
-    chains, places, path = chained_pairs(texts)
+    chains, places, path = chained_pairs(texts, sized.agg(F.sum("n_words")).first()[0] or 0)
     pairs = passage_pairs(texts, chains)
     rooted = _islands(pairs, classes)
     more = rest_chains(texts, places, rooted)
