@@ -412,3 +412,51 @@ def test_seeds_that_follow_another_do_not_depend_on_how_labels_are_joined(spark,
     sd.rest_chains(texts, places, islands)
     first = {r.key: r.place for r in sorted(told, key=lambda r: -r.place)}
     assert len(told) > 60 * 8 and all((r.gap == 0) == (r.place == first[r.key]) for r in told)
+
+
+def test_words_and_seeds_of_a_column_are_those_of_each_text():
+    rng = np.random.default_rng(21)
+    texts = [None, "", " ", "  a  ", "\t\n a b\x0bc\x0c d\r e f", "A b C d e f g h", "x " * 9, "a b c d e", "  é É a", "\x1c a \x1f b"]
+    texts += [" ".join(rng.choice(list("abcd"), int(n))) for n in rng.integers(0, 30, 60)]
+    for column in (pa.array(texts), pa.array(texts).slice(3, 20), pa.array([None, ""]), pa.array([], pa.string())):
+        own = [sd.word_hashes(None if t is None else t.encode()) for t in column.to_pylist()]
+        words, edge = sd.words_of(column)
+        assert [words[a:b].tolist() for a, b in itertools.pairwise(edge)] == [w.tolist() for w in own]
+        assert sd.word_counts(column).tolist() == [len(w) for w in own]
+        found = [(s, t, p) for t, w in enumerate(own) for s, p in zip(*(v.tolist() for v in sd.seeds(w)))]
+        assert list(zip(*(v.tolist() for v in sd.seeds_of(words, edge)))) == found
+
+
+def test_blocks_give_back_their_rows_by_bucket(monkeypatch):
+    monkeypatch.setattr(sd, "DEALT", 50)
+    rng = np.random.default_rng(22)
+    rows = [[rng.integers(-9, 9, n), rng.integers(-(2**62), 2**62, n), rng.integers(0, 2**31, n)] for n in (0, 30, 80, 1)]
+    deal = lambda seed, key, place: (seed % 2, key.view(np.uint64) % np.uint64(5))
+    blocks = [b.slice(k, 1) for b in sd._blocks(rows, sd.SEEDS, deal) for k in range(len(b))]
+    assert len(blocks) < 40
+    found = []
+    for part in (0, 1):
+        mine = sorted((b for b in blocks if b.column("part")[0].as_py() == part), key=lambda b: b.column("bucket")[0].as_py())
+        for columns in sd._unpacked(mine, sd.SEEDS):
+            assert set((columns[0] % 2).tolist()) == {part} and len(set((columns[1].view(np.uint64) % np.uint64(5)).tolist())) == 1
+            found += zip(*(c.tolist() for c in columns))
+    assert sorted(found) == sorted(zip(*(np.concatenate(v).tolist() for v in zip(*rows))))
+
+
+def test_edits_of_short_runs_of_a_word_are_not_counted(monkeypatch):
+    rng = np.random.default_rng(23)
+    run = [np.insert(np.arange(93) + 100 * k + 100, [64] * 40, 7).astype(np.uint16) for k in range(30)]
+    mixed = [rng.integers(0, 4 if k % 2 else 60, 133).astype(np.uint16) for k in range(30)]
+    for k in range(0, 30, 3):
+        mixed[k + 1] = np.where(rng.random(133) < (0.1, 0.2, 0.3)[k % 3], 61, mixed[k])
+    one, two = np.triu_indices(60, 1)
+    counted, exact = [], sd.fewest_edits
+    monkeypatch.setattr(sd, "fewest_edits", lambda a, b: counted.append(a.shape[1]) or exact(a, b))
+    windows = [w.tobytes() for w in run]
+    few = two < 30
+    assert not sd.few_edits(windows, np.full(30, 64), one[few], two[few]).any()
+    assert sum(counted) * 4 < 2 * few.sum()  # of either side; a word's code may be another's by chance
+    windows += [w.tobytes() for w in mixed]
+    good = sd.few_edits(windows, np.full(60, 64), one, two)
+    monkeypatch.setattr(sd, "may_match", lambda sides, one, two: np.ones(len(one), bool))
+    assert good.any() and (good == sd.few_edits(windows, np.full(60, 64), one, two)).all()

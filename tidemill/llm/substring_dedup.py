@@ -64,6 +64,8 @@ MARGIN = 96
 AROUND, SHARED = 64, 29
 #: Places of a seed in a block: any two blocks are compared in one group of rows. Of a run of one seed, one place in so many and the last are taken.
 BLOCK, RUN_STEP = 4096, 64
+#: What words before a place are changed by, so that they have no word pairs in common with words after one.
+BEFORE = 0xA5A5
 #: Codes of the words of a window's side.
 SLOTS = 4096
 
@@ -80,10 +82,10 @@ def word_hashes(text: bytes | None, known: dict[bytes, int] | None = None) -> np
     return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
 
 
-def split_words(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndarray]:
+def split_words(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of a column of texts, one text after another, and the number of each text's; split as ``word_hashes`` does."""
     column = pc.ascii_trim_whitespace(pc.fill_null(column, ""))
-    lists = pc.ascii_split_whitespace(pc.ascii_lower(column) if lower else column)
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(column))
     words, count = lists.flatten(), pc.list_value_length(lists).to_numpy().astype(np.int64)
     there = pc.binary_length(words).to_numpy() > 0
     if not there.all():  # texts without a word
@@ -92,6 +94,21 @@ def split_words(column: pa.Array, lower: bool = True) -> tuple[pa.Array, np.ndar
     return words, count
 
 
+def word_counts(column: pa.Array) -> np.ndarray:
+    """The number of each text's words."""
+    column = pc.fill_null(column, "").cast(pa.large_binary())
+    edge = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    text = np.frombuffer(column.buffers()[2], np.uint8)[edge[0] : edge[-1]] if len(column) and edge[-1] > edge[0] else np.zeros(0, np.uint8)
+    edge = edge - edge[0] if len(column) else edge
+    word = (text != 32) & ((text - np.uint8(9)) > 4)
+    begin = word.copy()
+    begin[1:] &= ~word[:-1]
+    first = edge[:-1][np.diff(edge) > 0]
+    begin[first] = word[first]
+    held = np.concatenate([[0], np.cumsum(begin, dtype=np.int64)])
+    return np.diff(held[edge]) if len(column) else np.zeros(0, np.int64)
+
+
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``word_hashes`` of a column's texts, one after another, and where each text begins and the last one ends."""
     words, count = split_words(column)
@@ -258,8 +275,16 @@ def hopeful(edge: np.ndarray, r: np.ndarray, p: np.ndarray, k: int = SEED_WORDS,
 
 def edits(a: list[int], b: list[int]) -> int:
     """Edit distance of two word lists (bit-parallel, Myers 1999, in Hyyrö's form)."""
-    if not a or not b:
-        return len(a) + len(b)
+    x, y = 0, min(len(a), len(b))
+    while x < y and a[x] == b[x]:  # what they begin and end with alike costs nothing
+        x += 1
+    y -= x
+    z = 0
+    while z < y and a[-1 - z] == b[-1 - z]:
+        z += 1
+    a, b = a[x : len(a) - z], b[x : len(b) - z]
+    if len(a) < 2 and len(b) < 2 or not a or not b:
+        return max(len(a), len(b))
     places: dict[int, int] = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | 1 << i
@@ -277,17 +302,18 @@ def edits(a: list[int], b: list[int]) -> int:
 
 def _stretch(a: np.ndarray, b: np.ndarray, drop: int = 6) -> tuple[int, int]:
     """Words by which an alignment goes on along its diagonal, and the edits among them."""
-    n = min(len(a), len(b))
-    if not n:
-        return 0, 0
-    same = a[:n] == b[:n]
-    score = np.cumsum(np.where(same, 1, -1))
-    over = np.flatnonzero(np.maximum.accumulate(np.maximum(score, 0)) - score > drop)
-    score = score[: over[0]] if len(over) else score
-    if not len(score) or score.max() <= 0:
-        return 0, 0
-    most = len(score) - int(np.argmax(score[::-1]))  # of equals the longest
-    return most, int((~same[:most]).sum())
+    n, score, best, most, bad, found = min(len(a), len(b)), 0, 0, 0, 0, 0
+    for k in range(0, n, 64):
+        for i, same in enumerate((a[k : min(k + 64, n)] == b[k : min(k + 64, n)]).tolist(), k + 1):
+            if same:
+                score += 1
+                if score >= best and score > 0:  # of equals the longest
+                    best, most, found = score, i, bad
+            else:
+                score, bad = score - 1, bad + 1
+                if best - score > drop:
+                    return most, found
+    return most, found
 
 
 def passages(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int]], least: int = LEAST_WORDS, similarity: float = SIMILARITY) -> list[tuple[int, int, int, int]]:
@@ -318,7 +344,7 @@ def passages(a: np.ndarray, b: np.ndarray, blocks: list[tuple[int, int, int]], l
             if n <= 0:
                 continue
         n = min(n, len(a) - r, len(b) - p)
-        bad = int((a[r : r + n] != b[p : p + n]).sum())
+        bad = int(np.count_nonzero(a[r : r + n] != b[p : p + n]))
         if now is not None:
             gap = edits(a[now[1] : r].tolist(), b[now[3] : p].tolist()) if max(r - now[1], p - now[3]) <= 20 * BREAK_EDITS else BREAK_EDITS + 1
             if gap <= BREAK_EDITS:
@@ -658,14 +684,22 @@ def _chains(batches):
 
     def take(rep, key, r, p, last):
         edge = np.concatenate([[0], np.flatnonzero((np.diff(rep) != 0) | (np.diff(key) != 0)) + 1, [len(rep)]])
-        rows = []
+        said, size, made = [], [], []
         for k in np.flatnonzero(hopeful(edge, r, p)[: None if last else -1]).tolist():
             a, b = edge[k], edge[k + 1]
             for blocks in chain(r[a:b], p[a:b]):
-                rows.append((int(rep[a]), int(key[a]), [{"r": x, "p": y, "n": z} for x, y, z in blocks]))
-        return rows, edge[-2]
+                said.append(a)
+                size.append(len(blocks))
+                made.extend(blocks)
+        return [rep[said], key[said], size, made] if said else None, edge[-2]
+
+    def told(rows):
+        rep, key, size, made = rows
+        made = np.array(made, np.int64)
+        blocks = pa.StructArray.from_arrays([pa.array(made[:, i]) for i in range(3)], names=["r", "p", "n"])
+        offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+        return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(key), pa.ListArray.from_arrays(offsets, blocks)], names=["rep", "key", "blocks"])
 
-    kind = pa.schema([("rep", pa.int64()), ("key", pa.int64()), ("blocks", pa.list_(pa.struct([("r", pa.int64()), ("p", pa.int64()), ("n", pa.int64())])))])
     for batch in batches:
         now = [batch.column(c).to_numpy() for c in ("rep", "key", "r", "p")]
         if left is not None:
@@ -675,11 +709,11 @@ def _chains(batches):
         rows, rest = take(*now, False)
         left = [c[rest:] for c in now]
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=kind)
+            yield told(rows)
     if left is not None and len(left[0]):
         rows, _ = take(*left, True)
         if rows:
-            yield pa.RecordBatch.from_pylist([dict(zip(kind.names, r)) for r in rows], schema=kind)
+            yield told(rows)
 
 
 def _unlike(batches):
@@ -730,17 +764,17 @@ def alike(windows: list[bytes], label: np.ndarray, split: int, least: int = SHAR
     """
     n = len(windows)
     row, column = word_pairs(windows)
-    often = np.bincount(column) if len(column) else np.zeros(0, np.int64)
-    kept = often[column] > 1
+    often = np.bincount(column, minlength=1)
+    common = (often > 1) & (often * 16 > n)
+    dense = np.zeros((n, int(common.sum())), np.float32)
+    dense[row[common[column]], (np.cumsum(common) - 1)[column[common[column]]]] = 1
+    kept = (often[column] > 1) & ~common[column]
     row, column = row[kept], column[kept]
-    common = often[column] * 16 > n
-    dense = np.zeros((n, len(set(column[common].tolist()))), np.float32)
-    dense[row[common], np.unique(column[common], return_inverse=True)[1]] = 1
-    row, column = row[~common], column[~common]
-    by = np.argsort(column, kind="stable")
-    holders, column_of = row[by], column[by]
-    begin, end = np.searchsorted(column_of, column), np.searchsorted(column_of, column, side="right")
+    holders = row[np.argsort(column, kind="stable")]
+    start = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=len(often)))])
+    begin, end = start[column], start[column + 1]
     edge = np.searchsorted(row, np.arange(n + 1))
+    rare = np.diff(edge)
     one, two = [], []
     top = split or n
     for a in range(0, top, 256):
@@ -753,10 +787,9 @@ def alike(windows: list[bytes], label: np.ndarray, split: int, least: int = SHAR
         shared = dense[a:b] @ dense[others].T
         where = np.full(n, -1)
         where[others] = np.arange(len(others))
-        for i in range(a, b):
-            if edge[i] < edge[i + 1]:
-                met = where[np.concatenate([holders[x:y] for x, y in zip(begin[edge[i] : edge[i + 1]].tolist(), end[edge[i] : edge[i + 1]].tolist())])]
-                shared[i - a] += np.bincount(met[met >= 0], minlength=len(others))
+        for i in (a + np.flatnonzero((rare[a:b] > 0) & (shared.max(1) + rare[a:b] >= least))).tolist():  # the others cannot come to ``least``
+            met = where[np.concatenate([holders[x:y] for x, y in zip(begin[edge[i] : edge[i + 1]].tolist(), end[edge[i] : edge[i + 1]].tolist())])]
+            shared[i - a] += np.bincount(met[met >= 0], minlength=len(others))
         x, y = np.nonzero(shared >= least)
         x, y = x + a, others[y]
         ok = (x < y) & ((label[x] != label[y]) | (label[x] == 0))
@@ -813,7 +846,8 @@ def may_match(sides: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray
         side[row, code] = True
         side[:, SLOTS] = False
         codes.append((code, np.where(words < 0, SLOTS, words % SLOTS)))
-    share, step = (1 - SIMILARITY) / SIMILARITY, np.arange(n + 1, dtype=np.float32)
+    lacks = [(~side).view(np.uint8).ravel() for side in held]
+    share, step = (1 - SIMILARITY) / SIMILARITY, np.arange(n + 1, dtype=np.float32)[:, None]
     rest, most = np.maximum(LEAST_WORDS - SEED_WORDS - np.arange(n + 1), 0), AROUND + SEED_WORDS - 1 - SHARED
     out = np.zeros(len(one), bool)
     for k in range(0, len(one), 512):
@@ -821,16 +855,17 @@ def may_match(sides: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray
         within, beyond = [], np.zeros(len(i), bool)
         for at, to in ((i, j), (j, i)):
             found = []
-            for (code, any_), side in zip(codes, held):
-                missed = np.zeros((len(at), n + 1), np.float32)
-                np.cumsum(~side[to[:, None], code[at]], axis=1, out=missed[:, 1:], dtype=np.float32)
-                whole = np.where(code[at, -1] == SLOTS, 1e6, missed[:, -1])
-                missed[:, 1:][~side[to[:, None], any_[at]]] = 1e6  # no passage ends there
+            base = (to * (SLOTS + 1))[:, None]
+            for (code, any_), side in zip(codes, lacks):
+                missed = np.zeros((n + 1, len(at)), np.float32)
+                missed[1:] = np.cumsum(side.take((code[at] + base).T), axis=0, dtype=np.uint8)
+                whole = np.where(code[at, -1] == SLOTS, 1e6, missed[-1])
+                missed[1:] += side.take((any_[at] + base).T) * np.float32(1e6)  # no passage ends there
                 found.append((missed - share * step, whole, missed))
             (less, lowest, before), (more, highest, after) = found
-            best = np.minimum.accumulate(more[:, ::-1], axis=1)[:, ::-1]
-            within.append((less + best[:, rest] <= share * SEED_WORDS + 1e-3).any(1))
-            beyond |= np.minimum((2 * before - step).min(1) + 2 * highest, (2 * after - step).min(1) + 2 * lowest) <= most
+            best = np.minimum.accumulate(more[::-1])[::-1]
+            within.append((less + best[rest] <= share * SEED_WORDS + 1e-3).any(0))
+            beyond |= np.minimum((2 * before - step).min(0) + 2 * highest, (2 * after - step).min(0) + 2 * lowest) <= most
             beyond |= 2 * (lowest + highest) - AROUND <= most
         out[k : k + 512] = beyond | within[0] & within[1]
     return out
@@ -880,6 +915,7 @@ def _compared(batches):
     group is held.
     """
     names, numbers = ["seed", "lo", "hi", "block", "label", "key", "place"], 7
+    told = [np.zeros(0, np.uint64)]  # hashes of the pairs told so far
     met: list[tuple] = []  # (windows, place, key, one, two) of groups whose edits are not counted yet
 
     def take(columns, words):
@@ -903,9 +939,17 @@ def _compared(batches):
         place, key = (np.concatenate([m[k] for m in met]) for k in (1, 2))
         one, two = (np.concatenate([m[k] + x for m, x in zip(met, start)]) for k in (3, 4))
         met.clear()
-        good = few_edits(windows, place, one, two)
-        a, b = key[one[good]], key[two[good]]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        a, b = np.minimum(key[one], key[two]), np.maximum(key[one], key[two])
+        pair = mixed(a, b)
+        found = []
+        for once in (True, False):  # of a pair of texts that is told, no other places are looked at
+            left = np.flatnonzero(~among(pair, told[0]))
+            at = left[np.unique(pair[left], return_index=True)[1]] if once else left
+            if len(at):
+                found.append(at[few_edits(windows, place, one[at], two[at])])
+                told[0] = np.union1d(told[0], pair[found[-1]])
+        found = np.concatenate([np.zeros(0, np.int64), *found])
+        pairs = np.unique(np.stack([a[found], b[found]]), axis=1)
         for k in range(0, pairs.shape[1], 200_000):
             yield pa.RecordBatch.from_arrays([pa.array(v[k : k + 200_000]) for v in pairs], names=["rep", "key"])
 
@@ -1069,8 +1113,10 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
             return
         done.add(key)
         words = words.astype(np.uint16)
+        sides = [(words ^ np.uint16(BEFORE)).tobytes(), words.tobytes()]
         for w in wanted:
-            yield key, w["seed"], w["place"], w["label"], w["n"], words[max(w["place"] - AROUND, 0) : w["place"] + SEED_WORDS + AROUND].tobytes()
+            at = 2 * w["place"]
+            yield key, w["seed"], w["place"], w["label"], w["n"], sides[0][max(at - 2 * AROUND, 0) : at] + sides[1][at : at + 2 * (SEED_WORDS + AROUND)]
 
     around = per_text(keyed.join(wanted, "key"), ["key", "text", "wanted"], "key long, seed long, place long, label long, n long, words binary", windows)
     blocks = F.ceil(F.col("n") / BLOCK)
@@ -1089,7 +1135,7 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
 
     def found(key, text):
         if key not in met:
-            if len(met) >= 256:
+            if sum(len(seed) for seed, _ in met.values()) >= DEALT:
                 met.clear()
             met[key] = sorted_seeds(word_hashes(text, known))
         return met[key]
@@ -1130,16 +1176,27 @@ def passage_pairs(keyed: DataFrame, chains: DataFrame) -> DataFrame:
     placed = chains.withColumns({"a": F.greatest(first["r"] - MARGIN, F.lit(0)), "b": last["r"] + last["n"] + MARGIN, "c": F.greatest(first["p"] - MARGIN, F.lit(0)), "d": last["p"] + last["n"] + MARGIN})
     both = placed.join(named(1), (F.col("rep") == F.col("k1")) & (F.col("a") == F.col("f1")) & (F.col("b") == F.col("t1"))).join(named(2), (F.col("key") == F.col("k2")) & (F.col("c") == F.col("f2")) & (F.col("d") == F.col("t2")))
 
-    def aligned(rep, key, blocks, a, c, w1, w2):
-        one, two = np.frombuffer(w1, np.int32), np.frombuffer(w2, np.int32)
-        for r0, r1, p0, p1 in passages(one, two, [(x["r"] - a, x["p"] - c, x["n"]) for x in blocks]):
-            yield rep, r0 + a, r1 + a, key, p0 + c, p1 + c
-
-    found = cut(per_row(both, ["rep", "key", "blocks", "a", "c", "w1", "w2"], "rep long, rep_from long, rep_to long, key long, `from` long, `to` long", aligned))
+    found = cut(both.select("rep", "key", "blocks", "a", "c", "w1", "w2").mapInArrow(_aligned, "rep long, rep_from long, rep_to long, key long, `from` long, `to` long"))
     forget(keyed.sparkSession, path)
     return found
 
 
+def _aligned(batches):
+    """The passages along chains, from (rep, key, blocks, a, c, w1, w2): the words of both texts from places a and c on."""
+    for batch in batches:
+        made = []
+        blocks = batch.column("blocks")
+        flat, edge = blocks.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(blocks).to_numpy())]).tolist()
+        rows = list(zip(*(flat.field(n).to_numpy().tolist() for n in ("r", "p", "n"))))
+        whole = [batch.column(c).to_numpy().tolist() for c in ("rep", "key", "a", "c")]
+        words = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("w1", "w2")]
+        for x, y, rep, key, a, c, w1, w2 in zip(edge, edge[1:], *whole, *words):
+            for r0, r1, p0, p1 in passages(np.frombuffer(w1, np.int32), np.frombuffer(w2, np.int32), [(r - a, p - c, n) for r, p, n in rows[x:y]]):
+                made.append((rep, r0 + a, r1 + a, key, p0 + c, p1 + c))
+        if made:
+            yield _batch(("rep", "rep_from", "rep_to", "key", "from", "to"), np.array(made, np.int64).T)
+
+
 def _islands(found: DataFrame, classes: DataFrame) -> DataFrame:
     """(key, from, to, root): maximal stretches of overlapping passages, with one root for a class, from ``passage_pairs`` and the texts that have copies."""
     pairs = cut(found.withColumn("pair", F.monotonically_increasing_id()))
@@ -1175,7 +1232,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def counted(batches):
         for batch in batches:
-            count = [split_words(part.column("text"), False)[1] for part in sliced(batch)]
+            count = [word_counts(part.column("text")) for part in sliced(batch)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.concatenate([np.zeros(0, np.int64), *count]))], names=["doc_id", "h1", "h2", "n_words"])
 
     sized = cut(keyed.select("doc_id", "h1", "h2", "text").mapInArrow(counted, f"doc_id {kind}, h1 long, h2 long, n_words long"))
