@@ -1132,12 +1132,15 @@ def rest_chains(keyed: DataFrame, places: DataFrame, islands: DataFrame) -> Data
 
     known: dict[bytes, int] = {}
     met: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # seeds of some texts that were met
+    n_met = [0]
 
     def found(key, text):
         if key not in met:
-            if sum(len(seed) for seed, _ in met.values()) >= DEALT:
+            if n_met[0] >= DEALT:
                 met.clear()
+                n_met[0] = 0
             met[key] = sorted_seeds(word_hashes(text, known))
+            n_met[0] += len(met[key][0])
         return met[key]
 
     def chains(rep, key, first, first_spans, text, spans):
